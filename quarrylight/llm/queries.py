@@ -1,10 +1,13 @@
 """The registered corpus queries and, where SQL can express them, their SQL."""
 
-from quarrylight.llm import lines
+from quarrylight.llm import lines, simhash, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": lines.op5_line_dedup,
 }
 ORACLE = {
+    "op2_warc": warc.OP2_SQL,
     "op5_line_dedup": lines.OP5_SQL,
 }
