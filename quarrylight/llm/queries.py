@@ -1,11 +1,13 @@
 """The registered corpus queries and, where SQL can express them, their SQL."""
 
-from quarrylight.llm import lines, simhash, warc
+from quarrylight.llm import decontam, lines, packing, simhash, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op7_packing": packing.op7_packing,
+    "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
