@@ -1,12 +1,14 @@
 """The registered corpus queries and, where SQL can express them, their SQL."""
 
-from quarrylight.llm import decontam, lines, packing, simhash, warc
+from quarrylight.llm import decontam, lines, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLE = {
