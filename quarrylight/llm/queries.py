@@ -1,6 +1,6 @@
 """The registered corpus queries and, where SQL can express them, their SQL."""
 
-from quarrylight.llm import decontam, lines, packing, quality, simhash, toxicity, warc
+from quarrylight.llm import decontam, lines, packing, quality, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -8,10 +8,12 @@ QUERIES = {
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
     "op5_line_dedup": lines.OP5_SQL,
+    "op8_substring_dedup": substrings.OP8_SQL,
 }
