@@ -1,8 +1,9 @@
 """The registered corpus queries and, where SQL can express them, their SQL."""
 
-from quarrylight.llm import decontam, lines, packing, quality, simhash, substrings, toxicity, warc
+from quarrylight.llm import decontam, lines, packing, quality, simhash, substrings, toxicity, urls, warc
 
 QUERIES = {
+    "op1_url_filter": urls.op1_url_filter,
     "op2_warc": warc.op2_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": lines.op5_line_dedup,
