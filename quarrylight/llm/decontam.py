@@ -176,6 +176,20 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns, in which no test item is found."""
+    at = docs.columns.index(text_col)
+    for block in blocks_of(benchmark, item_col, item_text_col, block_chars):
+
+        def run(batches, block=block):
+            matcher = Matcher(block, rate, min_words)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op10_decontaminate(spark, sf_dir):
     """Every ``benchmark`` item found in ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

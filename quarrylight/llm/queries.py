@@ -1,10 +1,11 @@
 """The registered corpus queries and, where SQL can express them, their SQL."""
 
-from quarrylight.llm import decontam, lines, packing, quality, simhash, substrings, toxicity, urls, warc
+from quarrylight.llm import decontam, licenses, lines, packing, quality, simhash, substrings, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_warc": warc.op2_warc,
+    "op3_licenses": licenses.op3_licenses,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_quality": quality.op6_quality,

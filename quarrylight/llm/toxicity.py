@@ -318,6 +318,20 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, f"doc_id {ids}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                found = model.marginals([t.as_py() for t in part.column(at)])
+                yield part.filter(pa.array([model.score(f) < threshold for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir):
     """Scores of ``documents``, learnt from rows of ``labels`` not held out."""
     docs = table(spark, sf_dir, "documents")
