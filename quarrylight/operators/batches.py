@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +14,29 @@ def greedy_batches(df: DataFrame, group: str, order: str, tokens: Column, max_it
     closes when it is full or the next item would exceed the token limit. An
     item above the limit is a batch of its own.
 
-    A fold over the group's sizes (two numbers an item) decides; groups run in
-    parallel.
+    The rule looks at one item after the other, so a group is read in order by
+    one task; it is streamed from a sort that can spill, with three numbers of
+    state, and only the sizes move.
     """
     rows = df.select(F.col(group), F.col(order), tokens.cast("long").alias("tokens"))
-    lists = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col("tokens").alias("t")))).alias("items"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+    types = dict(rows.dtypes)
+    streams = rows.repartition(group).sortWithinPartitions(group, order)
 
-    def step(acc: Column, x: Column) -> Column:
-        closed = (acc["n"] >= max_items) | ((acc["n"] > 0) & (acc["sum"] + x["t"] > max_tokens))
-        batch = F.when(closed, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(closed, F.lit(1)).otherwise(acc["n"] + 1).alias("n"), F.when(closed, x["t"]).otherwise(acc["sum"] + x["t"]).alias("sum"), F.concat(acc["out"], F.array(batch)).alias("out"))
+    def fold(batches):
+        last, batch, n, total = object(), 0, 0, 0
+        for part in batches:
+            out = []
+            for g, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                t = t or 0
+                if g != last:
+                    last, batch, n, total = g, 0, 0, 0
+                if n >= max_items or (n and total + t > max_tokens):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + t
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], [group, order, "tokens", "batch"])
 
-    numbered = lists.select(group, F.inline(F.arrays_zip(F.col("items"), F.aggregate("items", start, step)["out"].alias("batch"))).alias("item", "batch"))
-    return numbered.select(group, F.col("item.k").alias(order), F.col("item.t").alias("tokens"), "batch")
+    return streams.mapInArrow(fold, f"`{group}` {types[group]}, `{order}` {types[order]}, tokens long, batch int")
 
 
 def cost_estimate(batches: DataFrame, group: str, prompt_chars: int, answer_chars: int = 500) -> DataFrame:

@@ -18,6 +18,10 @@ def query_terms(query: str) -> list[str]:
     return sorted(set(re.findall(r"[^\W_]+", query.lower())))
 
 
+def equals(term: str):
+    return lambda t: t == F.lit(term)
+
+
 def bm25(docs: DataFrame, query: str, key: str, text_cols: list[str], limit: int | None = LIMIT, k1: float = K1, b: float = B) -> DataFrame:
     """key, score of the rows that hold every term, best first.
 
@@ -28,7 +32,7 @@ def bm25(docs: DataFrame, query: str, key: str, text_cols: list[str], limit: int
     terms = query_terms(query)
     tokens = F.regexp_extract_all(F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols])), F.lit(TOKEN), F.lit(0))
     rows = docs.select(key, tokens.alias("tokens"))
-    counts = [F.size(F.filter("tokens", lambda t, x=x: t == x)).alias(f"tf{i}") for i, x in enumerate(terms)]
+    counts = [F.size(F.filter("tokens", equals(x))).alias(f"tf{i}") for i, x in enumerate(terms)]
     rows = rows.select(key, F.size("tokens").alias("dl"), *counts)
     if not terms:
         return rows.filter("false").select(key, F.lit(0.0).alias("score"))
