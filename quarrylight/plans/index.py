@@ -48,12 +48,12 @@ def run(spark: SparkSession, root: str, store: IndexStore, full: bool = True, ta
     ``purge``; their functions go. taint_new: callers of new functions too.
     """
     sources.assert_work_tree(root)
-    stamp = F.lit(now or utc_now())
+    stamp, stage = F.lit(now or utc_now()), store.stage
     tracked = sources.tracked_paths(root)
     paths = sources.path_table(spark, [p for p in tracked if os.path.isfile(os.path.join(root, p))])
     mine = sources.parseable(paths)
     old_files, old_functions, old_edges, old_extracted = (store.read(t) for t in ("files", "functions", "call_graph", "extracted"))
-    stats = sources.scan(spark, root, mine, content=False).persist()
+    stats = stage(sources.scan(spark, root, mine, content=False))
     if full:
         todo = stats.select("path")
     elif only is not None:
@@ -61,21 +61,21 @@ def run(spark: SparkSession, root: str, store: IndexStore, full: bool = True, ta
     else:
         hits = delta.cache_hits(stats, old_files, "path", "mtime", "file_size").filter("hit").join(old_extracted.select("path"), "path", "left_semi")
         todo = stats.select("path").join(hits, "path", "left_anti")
-    todo = todo.persist()
-    parsed = extract(sources.scan(spark, root, todo)).persist()
+    todo = stage(todo)
+    parsed = stage(extract(sources.scan(spark, root, todo)))
 
-    ids = calls.function_ids(parsed).persist()
+    ids = stage(calls.function_ids(parsed))
     gathered = ids.groupBy(F.col("file").alias("path")).agg(F.collect_list(F.struct("id", "class_name", "name", "calls")).alias("calls"))
     fresh = parsed.select("path", "language", "exports", "imports_raw", "supers").join(gathered, "path", "left").withColumn("calls", F.coalesce("calls", F.array().cast(gathered.schema["calls"].dataType)))
     kept = old_extracted.join(mine.select("path"), "path", "left_semi").join(todo, "path", "left_anti")
-    extracted = kept.unionByName(fresh.select(kept.columns)).persist()
+    extracted = stage(kept.unionByName(fresh.select(kept.columns)))
 
-    edges = imports.resolve(extracted, sources.go_module(root)).persist()
+    edges = stage(imports.resolve(extracted, sources.go_module(root)))
     functions_all = extracted.select("path", F.explode("calls").alias("f")).select("f.id", F.col("path").alias("file"), "f.class_name", "f.name", "f.calls")
     raw = extracted.select("path", F.explode("imports_raw").alias("i")).select("path", "i.module", "i.names", "i.alias")
     shown = extracted.select(F.col("path").alias("file"), F.explode("exports").alias("name"))
     supers = extracted.select(F.col("path").alias("file"), F.explode("supers").alias("s")).select("file", "s.class_name", "s.super")
-    call_graph = calls.resolve(functions_all, raw, edges, shown, supers).persist()
+    call_graph = stage(calls.resolve(functions_all, raw, edges, shown, supers))
 
     # Files: what was parsed is merged, what was not is carried, what has gone turns stale.
     base = parsed.join(stats, "path").select("path", "language", "exports", "semantic_hash", "content_hash", "mtime", "file_size", "error", F.lit(True).alias("is_new"))
@@ -93,15 +93,15 @@ def run(spark: SparkSession, root: str, store: IndexStore, full: bool = True, ta
     merged_functions = delta.carry_over(own, new_functions.drop("is_tainted", "taint_source"), "id", "semantic_hash", FUNCTION_META, stamp)
     merged_functions = merged_functions.withColumn("is_tainted", F.coalesce("is_tainted", F.lit(False)))
     other = old_functions.join(todo.select(F.col("path").alias("file")), "file", "left_anti").join(mine.select(F.col("path").alias("file")), "file", "left_semi")
-    functions = merged_functions.select(old_functions.columns).unionByName(other.select(old_functions.columns)).persist()
+    functions = stage(merged_functions.select(old_functions.columns).unionByName(other.select(old_functions.columns)))
 
-    diff = delta.hash_diff(old_functions.withColumn("c", F.col("semantic_hash")), functions.withColumn("c", F.col("semantic_hash")), "id", "c", "semantic_hash").persist()
+    diff = stage(delta.hash_diff(old_functions.withColumn("c", F.col("semantic_hash")), functions.withColumn("c", F.col("semantic_hash")), "id", "c", "semantic_hash"))
     hot = ["changed", "new"] if taint_new else ["changed"]
     touched = diff.filter(F.col("status").isin(hot)).select("id")
     removed = diff.filter("status = 'removed'").select("id")
     by_change = taint.one_hop_taint(touched, call_graph)
     by_removal = taint.one_hop_taint(removed, old_edges).join(functions.select(F.col("id").alias("caller_id")), "caller_id", "left_semi")
-    marks = by_change.unionByName(by_removal).groupBy("caller_id").agg(F.max("taint_source").alias("taint_source"), F.max("priority").alias("priority")).persist()
+    marks = stage(by_change.unionByName(by_removal).groupBy("caller_id").agg(F.max("taint_source").alias("taint_source"), F.max("priority").alias("priority")))
     functions_out = taint.apply_taint(functions, marks)
     queue_old = store.read("taint_queue")
     queue = queue_old.join(marks.select(F.col("caller_id").alias("function_id")), "function_id", "left_anti").join(functions.select(F.col("id").alias("function_id")), "function_id", "left_semi")
@@ -128,8 +128,7 @@ def run(spark: SparkSession, root: str, store: IndexStore, full: bool = True, ta
     )
     if not dry_run:
         store.commit({"files": files, "functions": functions_out, "call_graph": call_graph, "extracted": extracted, "taint_queue": queue, "directories": directories})
-    for df in (stats, todo, parsed, ids, extracted, edges, call_graph, functions, diff, marks):
-        df.unpersist()
+    store.clear_stage()
     return report
 
 
@@ -154,11 +153,11 @@ def log_commit(spark: SparkSession, root: str, store: IndexStore, commit: str =
     full = sources.git(root, "rev-parse", commit).strip()
     old = store.read("changes")
     rows = spark.createDataFrame([(p, full, subject, "human", now or utc_now()) for p in names], old.schema)
-    fresh = rows.join(old.select("file", "commit_hash"), ["file", "commit_hash"], "left_anti").persist()
+    fresh = store.stage(rows.join(old.select("file", "commit_hash"), ["file", "commit_hash"], "left_anti"))
     n = fresh.count()
     if n:
         store.commit({"changes": retention.latest_per_key(old.unionByName(fresh.select(old.columns)), "file", "timestamp", "commit_hash", retention.CHANGES).drop("pos")})
-    fresh.unpersist()
+    store.clear_stage()
     return n
 
 

@@ -55,6 +55,16 @@ class IndexStore:
         os.replace(temporary, os.path.join(self.root, POINTER))
         self.vacuum(state)
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """df written once and read back, so that what follows neither repeats
+        it nor carries its plan along."""
+        path = f"file://{self.root}/.stage/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear_stage(self) -> None:
+        shutil.rmtree(os.path.join(self.root, ".stage"), ignore_errors=True)
+
     def vacuum(self, state: dict) -> None:
         """Drops versions that neither the pointer nor recent history names."""
         keep = {(n, v) for h in [*state["history"], state["tables"]] for n, v in h.items()}
