@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import settle, table
@@ -77,11 +77,18 @@ def anchors(names: np.ndarray, docs: np.ndarray, width: int = WIDTH, rounds: int
         name = np.where(pair, mix(name, np.append(name[1:], name[:1])), name)
         name, doc, lo, hi = name[keep], doc[keep], lo[keep], hi[keep]
         levels.append((name, lo, hi))
+    # How many symbols start before, and end by, each word: both ascend.
+    ranks = []
+    for _, lo, hi in levels:
+        before = np.cumsum(np.bincount(np.clip(lo + 1, 0, n + 1), minlength=n + 2))
+        until = np.cumsum(np.bincount(np.clip(hi, 0, n + 1), minlength=n + 2))
+        ranks.append((before, until))
     for need in (least, 1):
         for level in range(rounds, -1, -1):
-            name, lo, hi = levels[level]
-            first = np.searchsorted(lo, at, side="left")
-            last = np.searchsorted(hi, at + width, side="right") - 1
+            if not len(at):
+                break
+            name = levels[level][0]
+            first, last = ranks[level][0][at], ranks[level][1][at + width] - 1
             ok = last - first >= need - 1
             f, z = first[ok], last[ok]
             out[at[ok]] = mix(mix(name[f], name[z]), np.full(1, level + 1, np.uint64)) | np.uint64(1)
@@ -95,53 +102,75 @@ def anchors(names: np.ndarray, docs: np.ndarray, width: int = WIDTH, rounds: int
 
 
 def hashed_words(texts: pa.Array):
-    """Blocks of (names, rows): a hash per word of whole texts, and the
-    index of the row that each word is in. A row is never cut."""
+    """Blocks of (names, rows): a hash per word of whole texts, and the index
+    of the row that each word is in. A row is never cut."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    at = 0
+    digest, at = xxhash.xxh64_intdigest, 0
     while at < len(texts):
         total = np.cumsum(sizes[at:])
         end = at + max(1, int(np.searchsorted(total, BLOCK, side="right")))
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, end - at), "").cast(pa.large_string()))
-        flat = lists.flatten()
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        docs = np.repeat(np.arange(at, end), counts)
-        words = pc.dictionary_encode(flat)
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(w) if w else 0 for w in words.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
-        real = np.array([bool(w) for w in words.dictionary.to_pylist()], dtype=bool)
+        words = pc.dictionary_encode(lists.flatten())
+        rows = np.repeat(np.arange(at, end), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        known = words.dictionary.cast(pa.large_binary()).to_pylist()
+        hashes = np.array([digest(w) for w in known], dtype=np.uint64)
         index = words.indices.to_numpy(zero_copy_only=False)
+        if b"" in known:
+            keep = index != known.index(b"")
+            index, rows = index[keep], rows[keep]
         if len(index):
-            keep = real[index]
-            yield hashes[index[keep]], docs[keep]
+            yield hashes[index], rows
         at = end
 
 
+#: A spot is a window's first word and how many windows from there on have the
+#: same anchor, in one number.
+SPAN = 16
+
+
 def anchor_rows(docs: DataFrame, width: int, rounds: int) -> DataFrame:
-    """key, doc: each anchor of each document once."""
+    """key, doc, spot, known: the anchors of documents (doc, text).
+
+    known: another document of the same block has the anchor too, so it is
+    shared. Of such an anchor one row a block goes on to be compared, the others
+    need no comparing; a very common anchor thus stays small.
+    """
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for names, rows in hashed_words(batch.column(1)):
                 keys = anchors(names, rows, width, rounds)
-                has = keys > 0
-                key, doc = keys[has], ids[rows[has]]
+                begins = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
+                first = begins[np.searchsorted(begins, np.arange(len(rows)), side="right") - 1]
+                pos = np.arange(len(rows)) - first
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+                start = np.flatnonzero((keys > 0) & ((np.arange(len(keys)) - head) % (SPAN - 1) == 0))
+                ends = np.append(start[1:], len(keys))
+                stop = np.flatnonzero(np.append(new[1:], True)) + 1
+                ends = np.minimum(ends, stop[np.searchsorted(stop, start, side="right")])
+                key, doc, spot = keys[start].view(np.int64), ids[rows[start]], pos[start] * SPAN + (ends - start)
                 order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(doc[new])], ["key", "doc"])
+                key, doc, spot = key[order], doc[order], spot[order]
+                fresh = np.ones(len(key), bool)
+                fresh[1:] = key[1:] != key[:-1]
+                at = np.flatnonzero(fresh)
+                counts = np.diff(np.append(at, len(key)))
+                many = np.repeat(doc[at] != doc[at + counts - 1], counts)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(spot.astype(np.int64)), pa.array(many), pa.array(fresh | ~many)], ["key", "doc", "spot", "known", "compared"])
 
-    return docs.mapInArrow(run, "key long, doc long")
+    return docs.mapInArrow(run, "key long, doc long, spot long, known boolean, compared boolean")
 
 
 def shared(batches):
-    """Of rows sorted by key and doc, those whose key more than one document
-    shows. A batch's first and last keys pass unseen: their groups may go on in
-    another batch, and a needless candidate does no harm."""
+    """Of rows sorted by key and doc, (doc, spot) of those that are known to be
+    shared or whose key more than one document shows. A batch's first and last
+    keys pass unseen: their groups may go on in another batch, and a needless
+    candidate does no harm."""
     for batch in batches:
-        key, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        key, doc, spot, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if not len(key):
             continue
         new = np.ones(len(key), bool)
@@ -150,39 +179,80 @@ def shared(batches):
         last = np.append(first[1:], len(key)) - 1
         many = doc[first] != doc[last]
         many[0] = many[-1] = True
-        keep = np.repeat(many, last - first + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep])], ["key", "doc"])
+        keep = np.repeat(many, last - first + 1) | known
+        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(spot[keep])], ["doc", "spot"])
 
 
-def window_hashes(width: int, rounds: int):
-    """h1, h2, doc, row, pos for windows whose anchor is among a row's keys."""
+def window_hashes(width: int):
+    """h1, h2, doc, ord, pos of the windows at a row's spots."""
 
     def run(batches):
         for batch in batches:
             ids, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            keys = batch.column(3)
-            for names, rows in hashed_words(batch.column(2)):
-                found = anchors(names, rows, width, rounds).view(np.int64)
-                edge = np.flatnonzero(np.diff(rows)) + 1
-                begins, stops = np.concatenate([[0], edge]), np.append(edge, len(rows))
-                raw, doc, row, pos = [], [], [], []
-                for a, z in zip(begins.tolist(), stops.tolist()):
-                    i = int(rows[a])
-                    at = np.flatnonzero(np.isin(found[a:z], keys[i].values.to_numpy(zero_copy_only=False)) & (found[a:z] != 0))
-                    if not len(at):
-                        continue
-                    words = split(batch.column(2)[i].as_py())
-                    raw += [xxhash.xxh3_128_digest(b" ".join(words[p : p + width])) for p in at.tolist()]
-                    doc.append(np.full(len(at), ids[i]))
-                    row.append(np.full(len(at), own[i]))
-                    pos.append(at)
-                if raw:
-                    h = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (doc, row)), pa.array(np.concatenate(pos).astype(np.int32))], ["h1", "h2", "doc", "row", "pos"])
+            for i, text in enumerate(batch.column(2)):
+                words = split(text.as_py())
+                spots = np.unique(batch.column(3)[i].values.to_numpy(zero_copy_only=False))
+                start, n = spots // SPAN, spots % SPAN
+                at = np.unique(np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
+                at = at[at + width <= len(words)]
+                for a in range(0, len(at), 1 << 17):
+                    part = at[a : a + (1 << 17)]
+                    raw = b"".join([xxhash.xxh3_128_digest(b" ".join(words[p : p + width])) for p in part.tolist()])
+                    h = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(np.full(len(part), ids[i])), pa.array(np.full(len(part), own[i], np.int32)), pa.array(part.astype(np.int32))], ["h1", "h2", "doc", "ord", "pos"])
 
     return run
 
 
+LOST, OPEN, HEAD = 0, 1, 2
+
+
+def first_owners(batches):
+    """kind, h1, h2, doc, ord, pos from windows sorted by hash and document.
+
+    LOST: a smaller document owns the window. A partition's first group may
+    have begun in the one before, so its rows are OPEN; and its last group's
+    first document is told as HEAD.
+    """
+    schema = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("ord", pa.int32()), ("pos", pa.int32())])
+    key, owner, opening = None, None, True
+    for batch in batches:
+        h1, h2, doc, ord_, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        if not len(h1):
+            continue
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        goes_on = key == (h1[0], h2[0])
+        at = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        owners = doc[at].copy()
+        if goes_on:
+            owners[0] = owner
+        is_open = group == 0 if opening and (goes_on or key is None) else np.zeros(len(h1), bool)
+        lost = (doc > owners[group]) & ~is_open
+        opening = bool(opening and (goes_on or key is None) and len(at) == 1)
+        key, owner = (h1[-1], h2[-1]), owners[-1]
+        keep = lost | is_open
+        kind = np.where(is_open, OPEN, LOST).astype(np.int8)[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[keep]) for x in (h1, h2, doc, ord_, pos))], schema=schema)
+    if key is not None:
+        yield pa.RecordBatch.from_pylist([{"kind": HEAD, "h1": int(key[0]), "h2": int(key[1]), "doc": int(owner), "ord": 0, "pos": -1}], schema)
+
+
+def lost_windows(windows: DataFrame) -> DataFrame:
+    """doc, ord, pos of the windows that a smaller document has too.
+
+    Ranges over (hash, document) cut even one very common window across tasks.
+    Groups that a cut divides are settled by the heads of the partitions, of
+    which there is one each.
+    """
+    sorted_ = windows.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc")
+    found = settle(sorted_.mapInArrow(first_owners, "kind byte, h1 long, h2 long, doc long, ord int, pos int"), "owners")
+    owners = found.filter(F.col("kind") != LOST).groupBy("h1", "h2").agg(F.min("doc").alias("owner"))
+    divided = found.filter(F.col("kind") == OPEN).join(owners, ["h1", "h2"]).filter("owner < doc")
+    return found.filter(F.col("kind") == LOST).select("doc", "ord", "pos").unionByName(divided.select("doc", "ord", "pos"))
+
+
 def passage_spans(positions: np.ndarray, width: int) -> list[dict]:
     """Word ranges that the windows at these positions cover."""
     p = np.unique(positions)
@@ -192,28 +262,15 @@ def passage_spans(positions: np.ndarray, width: int) -> list[dict]:
     return [{"start": int(x[0]), "end": int(x[-1]) + width} for x in np.split(p, cut)]
 
 
-def kept_words(text: str | None, spans) -> tuple[int, str]:
+def kept_words(words: list[bytes], spans) -> tuple[int, bytes]:
     """(words removed, the other words joined by one space)."""
-    words = split(text)
     out, at, gone = [], 0, 0
     for s in spans or ():
         out += words[at : s["start"]]
         gone += s["end"] - s["start"]
         at = s["end"]
     out += words[at:]
-    return gone, b" ".join(out).decode("utf-8", "surrogatepass")
-
-
-def word_count(docs: DataFrame, keep: str) -> DataFrame:
-    """doc, row, n_words and the text, or its digest, with nothing removed."""
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            words = [split(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, words)), pa.int64()), pa.array([final(b" ".join(w), keep) for w in words], pa.string())], ["doc", "row", "n_words", "kept"])
-
-    return docs.mapInArrow(run, "doc long, row long, n_words long, kept string")
+    return gone, b" ".join(out)
 
 
 def final(joined: bytes, keep: str) -> str:
@@ -231,30 +288,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     together and each loses its own. An empty table gives no rows. Other
     columns of docs are not read.
     """
-    row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), row.alias("row"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.xxhash64(F.lit(1), text).alias("row2"), text.alias("text"))
     known = rows.filter(F.col("doc").isNotNull())
-    keyed = anchor_rows(known.select("doc", "text"), width, rounds).repartition("key").sortWithinPartitions("key", "doc")
-    wanted = settle(keyed.mapInArrow(shared, "key long, doc long"), "anchors")
-    per_doc = wanted.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    some = settle(known.join(per_doc, "doc").select("doc", "row", "text", "keys"), "candidates")
-    windows = settle(some.mapInArrow(window_hashes(width, rounds), "h1 long, h2 long, doc long, row long, pos int"), "windows")
-    owners = windows.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("h1", "h2", "owner")
-    lost = windows.join(owners, ["h1", "h2"]).filter("owner < doc").groupBy("doc", "row").agg(F.collect_set("pos").alias("positions"))
-    hit = some.select("doc", "row", "text").distinct().join(lost, ["doc", "row"]).select("doc", "row", "text", "positions")
+
+    # A text that a smaller document has whole needs no windows.
+    owners = known.groupBy("row", "row2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("row", "row2", "owner")
+    copies = settle(known.select("doc", "row", "row2").join(owners, ["row", "row2"]).filter("owner < doc").groupBy("doc").agg(F.collect_set("row").alias("copies")), "copies")
+    left = known.select("doc", "row", "text").join(copies, "doc", "left").filter(~F.coalesce(F.array_contains("copies", F.col("row")), F.lit(False))).select("doc", "text")
+
+    keyed = anchor_rows(left, width, rounds)
+    place = F.when(F.col("compared"), F.col("key")).otherwise(F.xxhash64("doc"))
+    dealt = keyed.select("key", "doc", "spot", "known", place.alias("place")).repartition("place").drop("place").sortWithinPartitions("key", "doc")
+    wanted = settle(dealt.mapInArrow(shared, "doc long, spot long"), "anchors")
+
+    # Rows that share an id are told apart by the rank of their text's hash.
+    rank = F.dense_rank().over(Window.partitionBy("doc").orderBy("row"))
+    spots = wanted.groupBy("doc").agg(F.collect_list("spot").alias("spots"))
+    some = known.select("doc", "row", "text").join(spots, "doc").select("doc", rank.alias("ord"), "text", "spots")
+    windows = settle(some.mapInArrow(window_hashes(width), "h1 long, h2 long, doc long, ord int, pos int"), "windows")
+    lost = settle(lost_windows(windows).groupBy("doc").agg(F.collect_list(F.struct("ord", "pos")).alias("lost")), "lost")
+
+    notes = lost.join(copies, "doc", "full_outer").withColumnRenamed("doc", "noted")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches):
         for batch in batches:
-            spans = [passage_spans(p.values.to_numpy(zero_copy_only=False), width) for p in batch.column(3)]
-            done = [kept_words(t.as_py(), s) for t, s in zip(batch.column(2), spans)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([d[0] for d in done], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([final(d[1].encode("utf-8", "surrogatepass"), keep) for d in done], pa.string())],
-                ["doc2", "row2", "gone", "spans", "left"],
-            )
-
-    removed = hit.mapInArrow(cut, "doc2 long, row2 long, gone long, spans array<struct<start:int,end:int>>, left string")
-    joined = word_count(rows, keep).join(removed, (F.col("doc") == F.col("doc2")) & (F.col("row") == F.col("row2")), "left")
-    return joined.select(F.col("doc").alias("doc_id"), "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.coalesce("left", "kept").alias("kept"))
+            out = []
+            for ord_, text, lost, copy in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist()):
+                words = split(text.as_py())
+                spans = []
+                if copy and len(words) >= width:
+                    spans = [{"start": 0, "end": len(words)}]
+                elif lost.is_valid:
+                    own, at = (lost.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    spans = passage_spans(at[own == ord_], width)
+                out.append((len(words), *kept_words(words, spans), spans))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)), pa.array([o[3] for o in out], kind), pa.array([final(o[2], keep) for o in out], pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+
+    joined = known.join(notes, F.col("doc") == F.col("noted"), "left").select("doc", rank.alias("ord"), "text", "lost", F.coalesce(F.array_contains("copies", F.col("row")), F.lit(False)).alias("copy"))
+    free = rows.filter(F.col("doc").isNull()).select("doc", F.lit(0).alias("ord"), "text", F.lit(None).cast(lost.schema["lost"].dataType).alias("lost"), F.lit(False).alias("copy"))
+    return joined.unionByName(free).mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
 
 
 def op8_substring_dedup(spark, sf_dir):
