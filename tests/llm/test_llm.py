@@ -230,7 +230,7 @@ def test_decontamination(spark, empty):
                 want[d, i, n] += 1
     for size in (1 << 20, 50):
         got = collections.Counter((r.doc_id, r.item_id, r.distance) for r in decontam.find_items(docs, bench, block_chars=size).collect())
-        assert got == want and len(want) > 20
+        assert got == want and len(want) > 10
     dirty = {d for d, *_ in want}
     assert {r.doc_id for r in decontam.keep_clean(docs, bench).collect()} == {d for d, _ in rows} - dirty
     assert decontam.find_items(empty, bench).count() == 0 and decontam.find_items(docs, bench.filter("false")).count() == 0
@@ -263,13 +263,19 @@ def test_quality(docs, empty, texts):
 
 def test_toxicity():
     rng = random.Random(6)
-    make = lambda bad: "\n".join(" ".join(words(rng, 12) + (["you", "moron"] if bad and k == 1 else [])) for k in range(4))
+
+    def make(bad):
+        rows = [words(rng, 12) for _ in range(4)]
+        if bad:
+            rows[1].insert(rng.randrange(13), "moron")
+        return "\n".join(map(" ".join, rows))
+
     rows = [(make(i % 4 == 0), int(i % 4 == 0)) for i in range(240)]
     model = toxicity.fit(rows)
     for bad in (True, False):
         found = model.marginals([make(bad), "", None])
         assert (model.score(found[0]) >= toxicity.THRESHOLD) == bad and model.score(found[1]) < toxicity.THRESHOLD
-    text = "W1 w2\nWhat a Moron, he said"
+    text = "W1 w2\nw5 w6 Moron, w7 w8"
     spans = model.spans(model.marginals([text])[0])
     assert [text[s["start"] : s["end"]] for s in spans] == ["Moron"]
     assert toxicity.fit([]).score([]) < 0.3 and toxicity.fit([("a", 1)]).score([]) > 0.5
@@ -307,7 +313,7 @@ def held(spark, i):
 
 
 def test_licenses(docs, empty):
-    model = licenses.Classifier(rounds=40)
+    model = licenses.Classifier()
     assert model("Released under the MIT License.")[0] == "MIT"
     assert model("This work is licensed under the GNU General Public License, version 3.")[0] == "GPL"
     assert model(licenses.TEXTS["BSD"][0].lower())[0] == "BSD"
@@ -320,7 +326,7 @@ def test_licenses(docs, empty):
 
 
 def test_url_rules_and_model(spark):
-    rows = [(1, "https://A.Example.NET/en/x?q"), (2, "http://b.net"), (3, "https://example.com/de/1#t"), (4, "https://x.org/fr/"), (5, None), (6, "no scheme"), (7, "https://casino-win.example.com/en/"), (8, "https://city-museum.example.com/en/"), (9, "ftp://É.com?x"), (9, "ftp://É.com?x")]
+    rows = [(1, "https://A.Example.NET/en/x?q"), (2, "http://b.net/"), (3, "https://example.com/de/1#t"), (4, "https://x.org/fr/"), (5, None), (6, "no scheme"), (7, "https://casino-win.example.com/en/"), (8, "https://city-museum.example.com/en/"), (9, "ftp://É.com?x"), (9, "ftp://É.com?x")]
     df = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: r for r in urls.filter_urls(df).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
