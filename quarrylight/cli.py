@@ -49,8 +49,9 @@ def summarise(spark, store: IndexStore, size: int, force: bool, dry: bool, path:
     answers = llm_client.answers(plan.join(rows.select("path", "payload"), "path"), llm_client.summarizer(), PROMPT, "batch", "payload").persist()
     errors = CodeIndex(spark, store).apply_answers(answers.filter("error IS NULL"))
     failed = [r["error"] for r in answers.filter("error IS NOT NULL").collect()] + [r["error"] for r in errors.collect()]
+    done = plan.count()
     plan.unpersist()
-    return f"{plan.count()} files summarised" + "".join(f"\nerror: {e}" for e in failed)
+    return f"{done} files summarised" + "".join(f"\nerror: {e}" for e in failed)
 
 
 def install_hooks(root: str) -> str:

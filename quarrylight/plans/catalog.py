@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import scalar as S
-from quarrylight.operators import batches, delta, graph, retention, rollup, search, taint
+from quarrylight.operators import batches, calls, delta, graph, imports, retention, rollup, search, taint
+from quarrylight.sources.extract import extract
 from quarrylight.streaming import debounce
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,9 +73,6 @@ def reverse_edges_sorted(spark, d):
     return out.select("l_partkey", F.array_join(F.col("used_by").cast("array<string>"), ",").alias("used_by"), "used_by_count")
 
 
-MEMBERS = "SELECT c_custkey AS node, c_nationkey AS grp FROM customer"
-
-
 @query("""
 WITH e AS (SELECT DISTINCT o_custkey AS caller_id, l_suppkey AS callee_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 m AS (SELECT c_custkey AS node, c_nationkey AS grp FROM customer),
@@ -688,6 +686,51 @@ def cost_estimate(spark, d):
     return batches.cost_estimate(b, "lang", 800)
 
 
+# --- sources ----------------------------------------------------------------
+
+CLIENT = "import s.nat{n} as nat\n\nclass C:\n    def size(self):\n        self.k = {k}\n        return nat.area(self.k)\n    def twice(self):\n        return self.size() + missing()\n"
+
+
+def source_files(spark, d) -> DataFrame:
+    """A Python file for every customer, which uses that of its nation."""
+    text = F.replace(F.replace(F.lit(CLIENT), F.lit("{n}"), F.col("c_nationkey").cast("string")), F.lit("{k}"), F.col("c_custkey").cast("string"))
+    clients = load(spark, d, "customer").select(F.format_string("s/c%d.py", "c_custkey").alias("path"), text.cast("binary").alias("content"))
+    nations = load(spark, d, "nation").select(F.format_string("s/nat%d.py", "n_nationkey").alias("path"), F.lit("def area(x):\n    return x\n").cast("binary").alias("content"))
+    return clients.unionByName(nations)
+
+
+@query("""
+SELECT 's/c' || c_custkey || '.py::C.size' AS id, 'def size(self)' AS signature, 4 AS line_start, 6 AS line_end, 'self.k' AS mutates, 'nat.area' AS calls FROM customer
+UNION ALL SELECT 's/c' || c_custkey || '.py::C.twice', 'def twice(self)', 7, 8, '', 'self.size,missing' FROM customer
+UNION ALL SELECT 's/nat' || n_nationkey || '.py::area', 'def area(x)', 1, 2, '', '' FROM nation
+""")
+def extract_functions(spark, d):
+    rows = calls.function_ids(extract(source_files(spark, d)))
+    made = F.array_join(F.transform("calls", lambda c: F.concat_ws(".", c["object"], c["name"])), ",")
+    return rows.select("id", "signature", "line_start", "line_end", F.array_join("mutates", ",").alias("mutates"), made.alias("calls"))
+
+
+@query("""
+SELECT 's/c' || c_custkey || '.py' AS src, 's/nat' || c_nationkey || '.py' AS dst FROM customer
+""")
+def import_edges(spark, d):
+    return imports.resolve(extract(source_files(spark, d)))
+
+
+@query("""
+SELECT 's/c' || c_custkey || '.py::C.size' AS caller_id, 0 AS pos, 'area' AS callee_name, 's/nat' || c_nationkey || '.py::area' AS callee_id, false AS is_ambiguous FROM customer
+UNION ALL SELECT 's/c' || c_custkey || '.py::C.twice', 0, 'size', 's/c' || c_custkey || '.py::C.size', false FROM customer
+UNION ALL SELECT 's/c' || c_custkey || '.py::C.twice', 1, 'missing', NULL, false FROM customer
+""")
+def call_edges(spark, d):
+    files = extract(source_files(spark, d))
+    functions = calls.function_ids(files)
+    raw = files.select("path", F.explode("imports_raw").alias("i")).select("path", "i.module", "i.names", "i.alias")
+    shown = files.select(F.col("path").alias("file"), F.explode("exports").alias("name"))
+    supers = files.select(F.col("path").alias("file"), F.explode("supers").alias("s")).select("file", "s.class_name", "s.super")
+    return calls.resolve(functions, raw, imports.resolve(files), shown, supers).select("caller_id", "pos", "callee_name", "callee_id", "is_ambiguous")
+
+
 # --- streams ----------------------------------------------------------------
 
 ISLANDS = """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import calls, delta, imports, retention, rollup, taint
 from quarrylight.sources import files as sources
-from quarrylight.sources.extract import SCHEMA, extract, extract_one, language_of
+from quarrylight.sources.extract import extract, extract_one, language_of
 from quarrylight.store import IndexStore
 
 FILE_META = ["system", "purpose", "summary", "danger", "last_change"]
@@ -159,6 +159,3 @@ def log_commit(spark: SparkSession, root: str, store: IndexStore, commit: str =
         store.commit({"changes": retention.latest_per_key(old.unionByName(fresh.select(old.columns)), "file", "timestamp", "commit_hash", retention.CHANGES).drop("pos")})
     store.clear_stage()
     return n
-
-
-EXTRACT_SCHEMA = SCHEMA

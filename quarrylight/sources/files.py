@@ -76,10 +76,8 @@ def scan(spark: SparkSession, root: str, paths: DataFrame, content: bool = True)
     """
     base = os.path.abspath(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    own = F.regexp_replace("path", r"^file:/+", "/")
     rel = F.expr(f"substring(try_url_decode(regexp_replace(path, '[+]', '%2B')), {len('file:') + len(base) + 2})")
     columns = [rel.alias("path"), F.unix_micros(F.col("modificationTime")).cast("double").alias("us"), F.col("length").alias("file_size"), *([F.col("content")] if content else [])]
-    del own
     rows = files.select(*columns).withColumn("mtime", F.col("us") / 1e6).drop("us")
     return rows.join(paths.select("path").distinct(), "path", "left_semi")
 
