@@ -243,14 +243,27 @@ def lost_windows(windows: DataFrame) -> DataFrame:
     """doc, ord, pos of the windows that a smaller document has too.
 
     Ranges over (hash, document) cut even one very common window across tasks.
-    Groups that a cut divides are settled by the heads of the partitions, of
-    which there is one each.
+    Groups that a cut divides are settled by the partitions' first and last
+    groups.
     """
     sorted_ = windows.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc")
     found = settle(sorted_.mapInArrow(first_owners, "kind byte, h1 long, h2 long, doc long, ord int, pos int"), "owners")
-    owners = found.filter(F.col("kind") != LOST).groupBy("h1", "h2").agg(F.min("doc").alias("owner"))
-    divided = found.filter(F.col("kind") == OPEN).join(owners, ["h1", "h2"]).filter("owner < doc")
-    return found.filter(F.col("kind") == LOST).select("doc", "ord", "pos").unionByName(divided.select("doc", "ord", "pos"))
+    # At most two keys a partition come to the driver: its first and its last.
+    divided = found.filter(F.col("kind") != LOST).groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max(F.col("kind") == OPEN).alias("open")).filter("open")
+    owners = {(r.h1, r.h2): r.owner for r in divided.select("h1", "h2", "owner").collect()}
+
+    def settle_open(batches):
+        for batch in batches:
+            kind, h1, h2, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            keep = kind == LOST
+            at = np.flatnonzero(kind == OPEN)
+            if len(at):
+                pairs, which = np.unique(np.stack([h1[at], h2[at]], 1), axis=0, return_inverse=True)
+                least = np.array([owners[int(a), int(b)] for a, b in pairs], np.int64)
+                keep[at] = least[which.ravel()] < doc[at]
+            yield batch.select(["doc", "ord", "pos"]).filter(pa.array(keep))
+
+    return found.mapInArrow(settle_open, "doc long, ord int, pos int")
 
 
 def passage_spans(positions: np.ndarray, width: int) -> list[dict]:
