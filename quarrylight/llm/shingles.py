@@ -1,0 +1,182 @@
+"""Near copies by the exact Jaccard similarity of their word shingles.
+
+Prefix filtering misses no pair: in any order that all sets share, two sets of
+similarity 4/5 or more have a shingle in common among the first n - ceil(4n/5) + 1
+of each. Shingles that a sample shows often come last in that order, so widely
+shared passages name no candidates; the sample changes the work, never the
+result. Candidates are confirmed on the whole sets.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarrylight.llm.common import settle
+from quarrylight.llm.simhash import components, shingle_hashes, words_of
+
+#: Buckets above this size first link neighbours; then only what is still apart
+#: is compared.
+BUCKET = 16
+#: Of how many sets the sample is, how often it must show a shingle for it to
+#: come later, and how many such shingles are kept.
+SAMPLE, OFTEN, MOST = 20_000, 16, 100_000
+BLOCK = 1 << 20
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The sorted distinct shingle hashes; empty where the text has no words."""
+    blocks = list(shingle_hashes(words_of(text), width))
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, "<u8")
+
+
+def least_overlap(n: int) -> int:
+    """How many of its n shingles a set shares with any similar one at least."""
+    return (4 * n + 4) // 5
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, with_set: bool) -> DataFrame:
+    """doc_id, sid (a hash of the set) and, if asked for, the set."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ids = dict(rows.dtypes)["doc_id"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                raw = [shingle_set(t.as_py(), width).tobytes() for t in part.column(1)]
+                sids = pa.array(np.array([xxhash.xxh64_intdigest(x, 7) for x in raw], np.uint64).view(np.int64))
+                more = [pa.array(raw, pa.binary())] if with_set else []
+                yield pa.RecordBatch.from_arrays([part.column(0), sids, *more], ["doc_id", "sid"] + ["set"] * with_set)
+
+    return rows.mapInArrow(run, f"doc_id {ids}, sid long" + ", set binary" * with_set)
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the sets shows often, sorted, and how often."""
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], ["w"])
+
+    every = sets.count() // SAMPLE + 1
+    some = sets.filter(F.pmod(F.xxhash64("sid"), F.lit(every)) == 0).select("set").mapInArrow(run, "w long")
+    counted = some.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "w").limit(MOST).collect()
+    counted.sort(key=lambda r: r.w)
+    return np.array([r.w for r in counted], np.int64), np.array([r.n for r in counted], np.int64)
+
+
+def prefixes(sets: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """w, sid, n, pos: the shingles by which a set can meet a similar one."""
+    known, counts = often
+
+    def run(batches):
+        for batch in batches:
+            for sid, raw in zip(batch.column(0), batch.column(1)):
+                x = np.frombuffer(raw.as_py(), np.int64)
+                if not len(x):
+                    continue
+                late = np.zeros(len(x), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    late = np.where(known[at] == x, counts[at], 0)
+                keep = len(x) - least_overlap(len(x)) + 1
+                first = x[np.lexsort((x, late))[:keep]]
+                columns = [first, np.full(keep, sid.as_py()), np.full(keep, len(x)), np.arange(keep)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["w", "sid", "n", "pos"])
+
+    return sets.select("sid", "set").mapInArrow(run, "w long, sid long, n long, pos long")
+
+
+def fitting(n, pos, i, j):
+    """Which pairs of bucket members can still reach the overlap they need."""
+    most = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
+    return (9 * most >= 4 * (n[i] + n[j])) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+
+
+def bucket_pairs(buckets: DataFrame, apart: bool) -> DataFrame:
+    """a, b from buckets of members (sid, n, pos, root). In a crowded bucket
+    neighbours by size; with ``apart`` instead all pairs of different roots."""
+
+    def pairs(sid, n, pos, root):
+        if not apart and len(sid) > BUCKET:
+            order = np.lexsort((sid, n))
+            order = order[pos[order] < 4]
+            i, j = order[:-1], order[1:]
+            ok = fitting(n, pos, i, j)
+            yield sid[i[ok]], sid[j[ok]]
+            return
+        if apart and (root == root[0]).all():
+            return
+        step = max(1, BLOCK // len(sid))
+        for at in range(0, len(sid), step):
+            i, j = np.divmod(np.arange(min(step, len(sid) - at) * len(sid)), len(sid))
+            i = i + at
+            ok = (i < j) & (root[i] != root[j]) if apart else i < j
+            i, j = i[ok], j[ok]
+            ok = fitting(n, pos, i, j)
+            yield sid[i[ok]], sid[j[ok]]
+
+    def run(batches):
+        for batch in batches:
+            for members in batch.column(0):
+                flat = members.values
+                columns = [flat.field(k).to_numpy(zero_copy_only=False) for k in ("sid", "n", "pos", "root")]
+                for a, b in pairs(*columns):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return buckets.select("members").mapInArrow(run, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar."""
+    pairs = settle(pairs, "shingle-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    some = settle(sets.join(needed, "sid", "left_semi").select("sid", "set"), "shingle-some")
+    both = pairs.join(some.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a").join(some.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            ok = [similar(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return settle(both.mapInArrow(run, "a long, b long"), "shingle-links")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """doc_id, component_id for every row of docs: the least id reachable over
+    links of shingle similarity 4/5 or more.
+
+    Cases as in simhash.near_duplicates: a text with fewer words than ``width``
+    is one shingle; texts without words are copies of each other; a row with a
+    null id links others and lends no id.
+    """
+    ids = settle(sets_of(docs, id_col, text_col, width, False), "shingle-ids")
+    least = ids.groupBy("sid").agg(F.min("doc_id").alias("least"))
+    sets = settle(sets_of(docs, id_col, text_col, width, True).groupBy("sid").agg(F.first("set").alias("set")), "shingle-sets")
+    entries = prefixes(sets, frequent(sets))
+    member = F.struct("sid", "n", "pos", F.lit(0).cast("long").alias("root"))
+    buckets = settle(entries.groupBy("w").agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1), "shingle-buckets")
+    links = confirmed(bucket_pairs(buckets, False), sets)
+    crowded = buckets.filter(F.size("members") > BUCKET)
+    if crowded.limit(1).count():
+        roots = components(links).select(F.col("node").alias("sid"), "root")
+        each = crowded.select("w", F.explode("members").alias("m")).select("w", "m.sid", "m.n", "m.pos").join(roots, "sid", "left")
+        member = F.struct("sid", "n", "pos", F.coalesce("root", "sid").alias("root"))
+        again = each.groupBy("w").agg(F.collect_list(member).alias("members"))
+        links = links.unionByName(confirmed(bucket_pairs(again, True), sets))
+    roots = components(links)
+    grouped = roots.join(least, roots["node"] == least["sid"])
+    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    chained = roots.join(names, "root").select(F.col("node").alias("sid"), "component_id")
+    labels = least.join(chained, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id"))
+    return ids.join(labels, "sid").select("doc_id", "component_id")

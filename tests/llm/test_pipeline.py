@@ -6,7 +6,7 @@ import zlib
 import pytest
 
 import corpus_pipeline
-from quarrylight.llm import decontam, queries, toxicity
+from quarrylight.llm import decontam, queries, shingles, toxicity
 from tests.llm.test_llm import brute_fingerprint, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -86,3 +86,28 @@ def test_registered():
     for n in range(1, 11):
         assert any(q.startswith(f"op{n}_") for q in queries.QUERIES)
     assert corpus_pipeline.ORACLE_SQL is None and zlib.crc32(b"1") % 4 == 3
+
+
+@pytest.mark.parametrize("bucket", [16, 2])
+def test_near_copies_with_scattered_edits(spark, monkeypatch, bucket):
+    monkeypatch.setattr(shingles, "BUCKET", bucket)
+    rng, rows = random.Random(3), []
+    for base in range(12):
+        text = words(rng, 120, 5000)
+        for k in range(rng.choice([1, 2, 24])):
+            own = list(text)
+            for _ in range(k % 5):
+                own[rng.randrange(len(own))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(500, ""), (501, None), (502, "one two"), (503, "One  two")]
+    sets = {i: {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    group = {i: i for i, _ in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()} == group
+    kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()}
+    assert kept == {i for i, g in group.items() if i == g} and len(kept) < len(rows)
