@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.operators.graph import by_unique_name, first_rule
+from quarrylight.operators.graph import ancestor_closure, by_unique_name, first_rule
 
 SELF = ("self", "this", "cls")
-CHAIN = 8
 
 
 def call_sites(functions: DataFrame) -> DataFrame:
@@ -21,17 +20,12 @@ def call_sites(functions: DataFrame) -> DataFrame:
     return functions.select(F.col("id").alias("caller_id"), "file", "class_name", F.posexplode("calls").alias("pos", "c")).select("caller_id", "file", "class_name", "pos", "c.name", "c.object")
 
 
-def class_chain(supers: DataFrame, depth: int = CHAIN) -> DataFrame:
-    """file, class_name, up, distance: superclasses within a file, nearest
+def class_chain(supers: DataFrame) -> DataFrame:
+    """file, class_name, up, distance: all superclasses within a file, nearest
     first; a loop ends the chain."""
-    step = supers.select("file", "class_name", F.col("super").alias("up")).filter("class_name <> up").distinct()
-    level = step.select("file", "class_name", "up", F.lit(1).alias("distance"), F.array("class_name", "up").alias("seen"))
-    out = level
-    nxt = step.select("file", F.col("class_name").alias("up"), F.col("up").alias("further"))
-    for d in range(2, depth + 1):
-        level = level.join(nxt, ["file", "up"]).filter(~F.array_contains("seen", F.col("further"))).select("file", "class_name", F.col("further").alias("up"), F.lit(d).alias("distance"), F.concat("seen", F.array("further")).alias("seen"))
-        out = out.unionByName(level)
-    return out.select("file", "class_name", "up", "distance")
+    pair = lambda name: F.struct("file", F.col(name).alias("name"))
+    step = supers.filter("file IS NOT NULL AND class_name IS NOT NULL AND super IS NOT NULL").select(pair("class_name").alias("child"), pair("super").alias("parent"))
+    return ancestor_closure(step, "child", "parent").select("node.file", F.col("node.name").alias("class_name"), F.col("ancestor.name").alias("up"), "distance")
 
 
 def resolve(functions: DataFrame, imports: DataFrame, import_edges: DataFrame, exports: DataFrame, supers: DataFrame) -> DataFrame:

@@ -75,20 +75,24 @@ def ranked_dependents(scores: DataFrame, candidates: DataFrame, fan_ins: DataFra
     return best.join(fan_ins, node, "left").select(node, F.round("score", 6).alias("score"), F.coalesce("fan_in", F.lit(0)).cast("long").alias("fan_in"), (F.coalesce("fan_in", F.lit(0)) > threshold).alias("compressed"))
 
 
-def ancestor_closure(parents: DataFrame, child: str, parent: str, depth: int) -> DataFrame:
-    """node, ancestor, distance for chains of up to ``depth`` steps; a node
-    that is met again ends the chain, so loops are harmless. One join a step."""
-    step = parents.select(F.col(child).alias("a"), F.col(parent).alias("b")).filter("b IS NOT NULL").distinct()
-    level = step.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("ancestor"), F.lit(1).alias("distance"), F.array("a", "b").alias("seen"))
-    out = level
-    for d in range(2, depth + 1):
-        level = (
-            level.join(step, F.col("ancestor") == F.col("a"))
-            .filter(~F.array_contains(F.col("seen"), F.col("b")))
-            .select("node", F.col("b").alias("ancestor"), F.lit(d).alias("distance"), F.concat("seen", F.array("b")).alias("seen"))
-        )
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df without its lineage; in the checkpoint folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def ancestor_closure(parents: DataFrame, child: str, parent: str, depth: int | None = None) -> DataFrame:
+    """node, ancestor, distance for chains of up to ``depth`` steps, or of any
+    length; a node is no ancestor of itself, so loops are harmless. One join a
+    step until a step adds no pair; each is checkpointed."""
+    step = parents.select(F.col(child).alias("a"), F.col(parent).alias("b")).filter("b IS NOT NULL AND a <> b").distinct()
+    level = checkpointed(step.select(F.col("a").alias("node"), F.col("b").alias("ancestor"), F.lit(1).alias("distance")))
+    out, d = level, 1
+    while (depth is None or d < depth) and not level.isEmpty():
+        d += 1
+        further = level.join(step, F.col("ancestor") == F.col("a")).filter("node <> b").select("node", F.col("b").alias("ancestor"), F.lit(d).alias("distance")).distinct()
+        level = checkpointed(further.join(out, ["node", "ancestor"], "left_anti"))
         out = out.unionByName(level)
-    return out.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+    return out
 
 
 def first_rule(*rules: DataFrame, key: list[str], value: str, name: str = "rule") -> DataFrame:

@@ -1,4 +1,4 @@
-from quarrylight.operators import calls, imports
+from quarrylight.operators import calls, graph, imports
 
 
 def statement(module, names=(), level=0, alias=None):
@@ -71,3 +71,14 @@ def test_call_rules(spark):
     assert target("duck", "make", 2) == "other.py::Manager.make"
     assert target("duck", "execute", 3) == "m.py::Manager.execute"
     assert len(got) == 9
+
+
+def test_chains_of_any_length(spark):
+    steps = [(i, i + 1) for i in range(12)] + [(20, 21), (21, 20), (5, None), (3, 3)]
+    got = {(r.node, r.ancestor): r.distance for r in graph.ancestor_closure(spark.createDataFrame(steps, "a long, b long"), "a", "b").collect()}
+    assert got == {(i, j): j - i for i in range(13) for j in range(i + 1, 13)} | {(20, 21): 1, (21, 20): 1}
+    supers = spark.createDataFrame([("m.py", f"C{i}", f"C{i + 1}") for i in range(11)], "file string, class_name string, super string")
+    functions = spark.createDataFrame([("m.py::C0.go", "m.py", "C0", "go", [("end", "self")]), ("m.py::C11.end", "m.py", "C11", "end", [])], "id string, file string, class_name string, name string, calls array<struct<name:string,object:string>>")
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = calls.resolve(functions, none("path string, module string, names array<string>, alias string"), none("src string, dst string"), none("file string, name string"), supers).collect()
+    assert [r.callee_id for r in out] == ["m.py::C11.end"]
