@@ -261,6 +261,16 @@ def test_quality(docs, empty, texts):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_of_tails():
+    verdict, rng = quality.Judge(), random.Random(2)
+    prose = " ".join(f"{rng.choice(['the', 'a', 'some', 'every'])} {''.join(rng.choice('etaoinshrdlu') for _ in range(rng.randrange(2, 9)))}" for _ in range(800))[:4096]
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(3904))
+    ratio, *_, outside, kept = verdict(prose + noise)
+    low, high = quality.limits(8000)
+    assert low <= ratio <= high and outside == 1 and not kept
+    assert not verdict(noise + prose)[-1] and verdict((prose * 2)[:7000].swapcase()[:4096] + prose[:1000])[-1]
+
+
 def test_toxicity():
     rng = random.Random(6)
 
