@@ -26,6 +26,9 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 24_000_000
 #: times likelier there than in clean ones.
 MIN_CONTEXTS, MIN_RATIO = 5, 20.0
 THRESHOLD = 0.3
+#: Features of the CRF: all toxic words, then the most frequent first words of
+#: lines up to this number.
+VOCABULARY = 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -215,7 +218,9 @@ def fit(rows: list[tuple[str, int]], rounds: int = 40, min_contexts: int = MIN_C
             if own and (any(hit) or any(w in words or stem_of(w) in words for w in own) or len(lines) % 3 == 0):
                 lines.append(own)
                 tags.append(hit)
-    vocabulary = {w: i for i, w in enumerate(sorted(words | {w for own in lines[:20000] for w in own[:2]})[:20000])}
+    others = Counter(w for own in lines for w in own[:2] if w not in words)
+    common = sorted(others, key=lambda w: (-others[w], w))[: max(0, VOCABULARY - len(words))]
+    vocabulary = {w: i for i, w in enumerate(sorted(words) + common)}
     train(model, lines, tags, vocabulary, rounds)
     calibrate(model, [(t, 1) for t in toxic[1::2]] + [(t, 0) for t in clean[1::2]])
     return model
@@ -279,7 +284,8 @@ def calibrate(model: Model, rows: list[tuple[str, int]]) -> None:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """A bounded sample of labelled rows that are not held out, in a fixed
-    order of hashed ids. Its bounds are the three last parameters."""
+    order of hashed ids. Its bounds are the three last parameters; each label
+    has its share of the characters, and a row that would pass it is left out."""
     own = labels.select(F.col(id_col).alias("ql_id"), F.col(label_col).alias("ql_y")).filter(F.col("ql_id").isNotNull() & F.col("ql_y").isNotNull())
     own = own.filter(~held_out(F.col("ql_id"))).distinct()
     order = F.xxhash64(F.lit(11), "ql_id")
@@ -287,13 +293,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
     picked = {r.ql_id: int(r.ql_y) for r in some.collect()}  # at most toxic + clean rows
     if not picked:
         return []
-    found = docs.filter(F.col(id_col).isin(list(picked))).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    rows, held = [], 0
-    for r in sorted(found.toLocalIterator(), key=lambda r: (r.i, r.t or "")):
-        held += len(r.t or "")
-        if held > chars:
-            break
-        rows.append((r.t or "", picked[r.i]))
+    found = docs.filter(F.col(id_col).isin(list(picked))).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.lit(11), F.col(id_col)).alias("h"))
+    rows, left = [], {1: chars * toxic // (toxic + clean), 0: chars * clean // (toxic + clean)}
+    for r in sorted(found.toLocalIterator(), key=lambda r: (r.h, r.i, r.t or "")):
+        size, label = len(r.t or ""), picked[r.i]
+        if size <= left[label]:
+            left[label] -= size
+            rows.append((r.t or "", label))
     return rows
 
 

@@ -318,6 +318,21 @@ def test_toxicity_frame(spark, docs, empty):
     assert 0 < len(rows) < 60 and all(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(60) if held(spark, i))
 
 
+def test_toxicity_sample_leaves_out_long_rows_only(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i < 2 else 10) + str(i)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    some, every = toxicity.training_rows(docs, labels, chars=3000), toxicity.training_rows(docs, labels)
+    assert sorted(some) == sorted(r for r in every if len(r[0]) < 5000) and {y for _, y in some} == {0, 1}
+
+
+def test_toxic_words_come_first_in_the_vocabulary(monkeypatch):
+    monkeypatch.setattr(toxicity, "VOCABULARY", 4)
+    rng = random.Random(6)
+    rows = [(" ".join(words(rng, 12) + ["zzmoron"] * (i % 4 == 0) + words(rng, 3)), int(i % 4 == 0)) for i in range(240)]
+    model = toxicity.fit(rows)
+    assert model.own.get("zzmoron", 0) > 0
+
+
 def held(spark, i):
     return spark.range(1).select(toxicity.held_out(F.lit(i))).first()[0]
 
