@@ -24,6 +24,8 @@ WORD = re.compile(r"[a-z0-9]+(?:[.+\-][a-z0-9]+)*")
 UNKNOWN = "unknown"
 #: Least probability and least share of a template's n-grams for a finding.
 PROBABILITY, SIMILARITY = 0.5, 0.6
+#: Blocks of more lines are also scanned by overlapping runs of so many lines.
+RUN = 40
 COMMON = frozenset("a an the of to in on at by for and or as is are was be been it its this that with from not no any all you your we our i he she they them his her which who".split())
 
 #: Names under which the families go in notices.
@@ -197,20 +199,58 @@ def trained(ordinary: tuple[str, ...]) -> Classifier:
     return Classifier(ordinary)
 
 
-def paragraphs(text: str):
-    """(start, end) of lines, and of blocks of several lines between blank ones."""
-    at, block, lines = 0, 0, 0
+def blocks(text: str):
+    """The (start, end) of the lines of each block between blank lines."""
+    at, lines = 0, []
     for line in text.split("\n"):
         if line.strip():
-            yield at, at + len(line)
-            lines += 1
-        else:
-            if lines > 1:
-                yield block, at - 1
-            block, lines = at + len(line) + 1, 0
+            lines.append((at, at + len(line)))
+        elif lines:
+            yield lines
+            lines = []
         at += len(line) + 1
-    if 1 < lines <= 40:
-        yield block, at - 1
+    if lines:
+        yield lines
+
+
+def stretches(start: int, end: int):
+    """Overlapping runs of up to RUN lines that cover start to end, then the
+    whole where there are several."""
+    if end - start > RUN:
+        for a in range(start, end - RUN // 2, RUN // 2):
+            yield a, min(a + RUN, end)
+    yield start, end
+
+
+def paragraphs(text: str):
+    """(start, end) of lines, and of blocks of several lines between blank ones."""
+    for lines in blocks(text):
+        yield from lines
+        if len(lines) > 1:
+            yield lines[0][0], lines[-1][1]
+
+
+def find(text: str, model: Classifier, similarity: float = SIMILARITY) -> list[dict]:
+    """The findings of a text: single lines, then of each block the runs of
+    lines that hold none of them. A run around a finding of its own family says
+    nothing new."""
+    found = []
+
+    def judge(a, z):
+        hit = model(text[a:z])
+        if not hit or hit[2] < similarity or any(f["family"] == hit[0] and f["start"] < z and a < f["end"] for f in found[before:]):
+            return False
+        found.append({"start": a, "end": z, "family": hit[0], "probability": hit[1], "similarity": hit[2]})
+        return True
+
+    for lines in blocks(text):
+        before = len(found)
+        told = [i for i, (a, z) in enumerate(lines) if judge(a, z)]
+        for last, following in zip([-1, *told], [*told, len(lines)]):
+            if following - last > 2:
+                for i, j in stretches(last + 1, following):
+                    judge(lines[i][0], lines[j - 1][1])
+    return sorted(found, key=lambda f: (f["start"], f["end"]))
 
 
 def ordinary_paragraphs(docs: DataFrame, text_col: str = "text", rows: int = 400) -> tuple[str, ...]:
@@ -240,14 +280,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordina
         for batch in batches:
             out = []
             for text in batch.column(1):
-                text, found = text.as_py() or "", []
-                for a, z in paragraphs(text):
-                    if found and found[-1]["end"] > a:
-                        continue  # a block around lines that are found already
-                    hit = model(text[a:z])
-                    if hit and hit[2] >= similarity:
-                        found.append({"start": a, "end": z, "family": hit[0], "probability": hit[1], "similarity": hit[2]})
-                out.append(found)
+                out.append(find(text.as_py() or "", model, similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "findings"])
 
     return rows.mapInArrow(run, f"doc_id {ids}, findings array<struct<start:bigint,end:bigint,family:string,probability:double,similarity:double>>")

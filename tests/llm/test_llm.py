@@ -350,6 +350,19 @@ def test_licenses(docs, empty):
     assert out.count() == docs.count() and out.filter("size(findings) > 0").count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_in_long_blocks_and_beside_notices():
+    model = licenses.Classifier()
+    wrapped = lambda text, n: "\n".join(" ".join(w[i : i + n]) for w in [text.split()] for i in range(0, len(w), n))
+    gpl = wrapped(licenses.TEXTS["GPL"][0], 4)
+    plain = "\n".join(f"the river ran past house {i} and on" for i in range(60))
+    for text in (f"{plain}\n{gpl}", f"{plain}\n{gpl}\n", f"{gpl}\n{plain}", f"{plain}\n{gpl}\n{plain}\n\nend"):
+        assert {f["family"] for f in licenses.find(text, model)} == {"GPL"}, text
+    text = f"SPDX-License-Identifier: MIT\n{gpl}"
+    assert {f["family"] for f in licenses.find(text, model)} == {"MIT", "GPL"}
+    for n in (41, 60, 61, 100):
+        assert {i for a, z in licenses.stretches(0, n) for i in range(a, z)} == set(range(n))
+
+
 def test_url_rules_and_model(spark):
     rows = [(1, "https://A.Example.NET/en/x?q"), (2, "http://b.net/"), (3, "https://example.com/de/1#t"), (4, "https://x.org/fr/"), (5, None), (6, "no scheme"), (7, "https://casino-win.example.com/en/"), (8, "https://city-museum.example.com/en/"), (9, "ftp://É.com?x"), (9, "ftp://É.com?x")]
     df = spark.createDataFrame(rows, "page_id long, url string")
