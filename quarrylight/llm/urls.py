@@ -36,12 +36,17 @@ REJECTED_WORDS = "ad ads adserver adult banner bet bets betting bonus casino che
 ACCEPTED_WORDS = "about academy archive article blog book books city community data docs edu encyclopedia garden guide health history home journal language library magazine market media museum music news paper press program project reference research review school science story study support travel university weather wiki world".split()
 
 
+def after_scheme(url: Column) -> Column:
+    """What follows ``://``; empty where the url is null or has none."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.char_length(url))).otherwise("")
+    return F.coalesce(rest, F.lit(""))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """The host, A-Z lower-cased, and the path up to ``?`` or ``#``; both empty
     where the url is null or has no ``://``."""
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.substring(url, at + 3, F.char_length(url))).otherwise("")
-    rest = F.coalesce(rest, F.lit(""))
+    rest = after_scheme(url)
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     tail = F.substring(rest, F.char_length(host) + 1, F.char_length(rest))
     return ascii_lower(host), F.regexp_extract(tail, r"^[^?#]*", 0)
@@ -66,7 +71,7 @@ def grams_of(line: Column, order: int) -> Column:
 def padded(text: Column, order: int) -> Column:
     """The text as the models read it: order - 1 start marks, then a-z, digits
     and separators; other characters are one class, digits another."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[^a-z0/\.\-_~%]", "x")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[^a-z0/\.\-_~%?#&=+:]", "x")
     return F.concat(F.lit("^" * (order - 1)), plain, F.lit("$"))
 
 
@@ -134,27 +139,29 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     The rules decide first; elsewhere a URL is allowed if its score reaches the
     limit. Models learn from the URLs that the rules decide and, with
     ``seeds``, from the word lists; every fifth labelled site, by hash, is kept
-    for the calibration. Cases: a null or schemeless url has an empty host and
-    path and is judged by its end mark alone. Repeated rows are judged one by
+    for the calibration. The models
+    read host, path, query and fragment. Cases: a null or schemeless url has an
+    empty host and path and is judged by its end mark alone. Repeated rows are judged one by
     one. An empty table gives no rows; other columns are not read.
     """
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.regexp_extract(after_scheme(F.col(url_col)), r"^[^/?#]*(?s:(.*))", 1).alias("tail"))
     name, accepted = rule_of(F.col("host"), F.col("path"), rules)
-    # The rules go by domain, which says nothing of other sites; the models
-    # read the names below it, and the path.
-    site = F.regexp_replace("host", r"[^.]+\.[^.]+$", "")
-    rows = rows.select("page_id", "host", "path", name.alias("rule"), accepted.alias("accepted"), F.concat(site, "path").alias("text"))
-    labelled = rows.filter("accepted IS NOT NULL").select("text", "accepted").distinct()
+    # The models read the whole URL. In what they learn from, the domain that
+    # the rule itself names is left out: it says nothing of other sites.
+    rows = rows.select("page_id", "host", "path", "tail", name.alias("rule"), accepted.alias("accepted"), F.concat("host", "tail").alias("text"))
+    named = F.char_length(F.substring_index("rule", "/", 1))
+    other = F.substring(F.col("host"), F.lit(1), F.char_length("host") - named)
+    labelled = rows.filter("accepted IS NOT NULL").select(F.col("host").alias("site"), F.concat(other, F.col("tail")).alias("text"), "accepted").distinct()
     if seeds:
-        words = [(f"{a}{w}{b}.{path}", ok) for ws, ok in ((REJECTED_WORDS, False), (ACCEPTED_WORDS, True)) for w in ws for a in ("", "www.", "m.", "blog.", "my-", "the-") for b in ("", "-site") for path in ("/", "/en/1")]
-        labelled = labelled.unionByName(pages.sparkSession.createDataFrame(words, "text string, accepted boolean"))
+        words = [(f"{a}{w}{b}{end}", f"{a}{w}{b}{end}{path}", ok) for ws, ok in ((REJECTED_WORDS, False), (ACCEPTED_WORDS, True)) for w in ws for a in ("", "www.", "m.", "blog.", "my-", "the-") for b in ("", "-site") for end in (".", ".com", ".net", ".org") for path in ("/", "/en/1")]
+        labelled = labelled.unionByName(pages.sparkSession.createDataFrame(words, "site string, text string, accepted boolean"))
     # Whole sites are held back, else the models would know them by name.
-    fold = F.pmod(F.xxhash64(F.lit(5), F.substring_index("text", "/", 1)), F.lit(FOLDS))
+    fold = F.pmod(F.xxhash64(F.lit(5), F.col("site")), F.lit(FOLDS))
     train = labelled.filter(fold != 0)
     model = settle(fit(train, order), "url-model")
     held = labelled.filter(fold == 0)
-    limit = calibrate(score(held, model, ["text", "accepted"], "text", order))
+    limit = calibrate(score(held, model, ["site", "text", "accepted"], "text", order))
     texts = rows.withColumn("uid", F.monotonically_increasing_id())
     judged = score(texts, model, ["uid", "page_id", "host", "path", "rule", "accepted"], "text", order)
     allow = F.coalesce(F.col("accepted"), F.col("llr") >= limit)

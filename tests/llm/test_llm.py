@@ -374,6 +374,12 @@ def test_url_rules_and_model(spark):
     assert urls.filter_urls(df).count() == len(rows) and urls.filter_urls(df.filter("false")).count() == 0
 
 
+def test_url_scores_read_domain_query_and_fragment(spark):
+    rows = [(1, "http://casino-win.com/"), (2, "http://city-museum.com/"), (3, "http://a.org/?q=casino-bonus"), (4, "http://a.org/?q=museum-library"), (5, "http://a.org/#casino-bonus"), (6, "http://a.org/#museum-library"), (7, "http://a.org/")]
+    got = {r.page_id: r.llr for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1] < got[2] and got[3] < got[7] and got[3] < got[4] and got[5] < got[6]
+
+
 def test_warc_round_trip(spark):
     warc.register(spark)
     big = "ä" * 300_000
