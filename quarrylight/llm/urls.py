@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import ascii_lower, settle, table
 
 ORDER = 5
-#: The model's size: the most frequent grams. Longer contexts are dropped first,
-#: since a gram is never more frequent than its suffix.
-MAX_GRAMS = 60_000
+#: Grams seen less often are no part of the models; all others are.
 MIN_COUNT = 4
+#: Rows that look up their distinct grams together.
+GROUP = 4096
+SUBSET_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 #: Prior weight of the shorter context, and the size of the alphabet.
 TAU, ALPHABET = 4.0, 64.0
 FOLDS = 5
@@ -75,11 +76,11 @@ def padded(text: Column, order: int) -> Column:
     return F.concat(F.lit("^" * (order - 1)), plain, F.lit("$"))
 
 
-def fit(labelled: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, min_count: int = MIN_COUNT, tau: float = TAU) -> DataFrame:
+def fit(labelled: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, tau: float = TAU) -> DataFrame:
     """gram, delta from rows (text, accepted).
 
-    At most max_grams rows, whatever the input; counts cover all of it. Without
-    rows of both labels the deltas are 0 or pull one way.
+    All grams with min_count occurrences or more, so the model grows with the
+    input. Without rows of both labels the deltas are 0 or pull one way.
     """
     lines = labelled.filter(F.col("text").isNotNull() & F.col("accepted").isNotNull()).select(padded(F.col("text"), order).alias("line"), "accepted")
     counted = (
@@ -87,8 +88,6 @@ def fit(labelled: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, min
         .groupBy("gram")
         .agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
         .filter(F.col("yes") + F.col("no") >= min_count)
-        .orderBy(F.desc(F.col("yes") + F.col("no")), F.char_length("gram"), "gram")
-        .limit(max_grams)
     )
     counts = settle(counted, "url-grams")
     # Context totals, then each gram with the counts of all of its suffixes.
@@ -111,11 +110,26 @@ def fit(labelled: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, min
 def score(rows: DataFrame, model: DataFrame, keys: list[str], text_col: str = "text", order: int = ORDER) -> DataFrame:
     """keys and ``llr``, the log-likelihood difference per character.
 
-    The model has at most MAX_GRAMS short rows, so it is broadcast.
+    Rows are dealt into groups; each group's distinct grams are joined with the
+    model, and only what the model knows of them comes back to the group. So
+    neither the model is broadcast nor the grams of every row are shuffled.
     """
-    grams = rows.select(*keys, padded(F.coalesce(F.col(text_col), F.lit("")), order).alias("line")).select(*keys, (F.char_length("line") - (order - 1)).alias("n"), F.explode(grams_of(F.col("line"), order)).alias("gram"))
-    found = grams.join(F.broadcast(model), "gram", "left")
-    return found.groupBy(*keys).agg((F.coalesce(F.sum("delta"), F.lit(0.0)) / F.max("n")).alias("llr"))
+    spark = rows.sparkSession
+    lines = settle(rows.select(*keys, padded(F.coalesce(F.col(text_col), F.lit("")), order).alias("line")), "url-lines")
+    groups = lines.count() // GROUP + 1
+    dealt = lines.withColumn("ql_group", F.pmod(F.xxhash64(F.lit(23), *keys), F.lit(groups)))
+    grams = F.explode(grams_of(F.col("line"), order)).alias("gram")
+    known = dealt.select("ql_group", grams).distinct().join(model, "gram").select("ql_group", "gram", "delta")
+    each = dealt.repartition("ql_group").select("ql_group", *keys, (F.char_length("line") - (order - 1)).alias("n"), grams)
+    found = each.join(known.repartition("ql_group").hint("shuffle_hash"), ["ql_group", "gram"], "left")
+    scored = found.groupBy("ql_group", *keys).agg((F.coalesce(F.sum("delta"), F.lit(0.0)) / F.max("n")).alias("llr")).drop("ql_group")
+    # Both sides are dealt by group already; the grams need no other shuffle.
+    before = spark.conf.get(SUBSET_KEYS, None)
+    try:
+        spark.conf.set(SUBSET_KEYS, "false")
+        return settle(scored, "url-scores")
+    finally:
+        spark.conf.set(SUBSET_KEYS, before) if before is not None else spark.conf.unset(SUBSET_KEYS)
 
 
 def calibrate(scored: DataFrame, lost: float = LOST, bins: int = 800, span: float = 8.0) -> float:

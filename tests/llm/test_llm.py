@@ -380,6 +380,24 @@ def test_url_scores_read_domain_query_and_fragment(spark):
     assert got[1] < got[2] and got[3] < got[7] and got[3] < got[4] and got[5] < got[6]
 
 
+def test_url_models_keep_all_grams_that_are_seen_often(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(4000)]
+    rows = [(t, i % 2 == 0) for i, t in enumerate(texts) for _ in range(4)]
+    grams = {p[i - k + 1 : i + 1] for t in texts for p in [f"^^^^{t}$"] for i in range(4, len(p)) for k in range(1, 6)}
+    model = urls.fit(spark.createDataFrame(rows, "text string, accepted boolean"))
+    assert len(grams) > 60_000 and {r.gram for r in model.collect()} == grams
+
+
+def test_url_scores_do_not_depend_on_the_groups(spark, monkeypatch):
+    model = spark.createDataFrame([("a", 0.5), ("b", -1.0), ("ab", 0.25)], "gram string, delta double")
+    rows = spark.createDataFrame([(i, "ab" * (i % 5)) for i in range(50)], "i long, text string")
+    for group in (4096, 3):
+        monkeypatch.setattr(urls, "GROUP", group)
+        got = {r.i: r.llr for r in urls.score(rows, model, ["i"]).collect()}
+        assert got == {i: pytest.approx(-0.25 * (i % 5) / (2 * (i % 5) + 1)) for i in range(50)}
+
+
 def test_warc_round_trip(spark):
     warc.register(spark)
     big = "ä" * 300_000
