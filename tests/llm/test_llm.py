@@ -96,13 +96,15 @@ def test_simhash(docs, empty, texts):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [4096, 1])
+@pytest.mark.parametrize("bucket", [2048, 5])
 def test_links_in_small_and_crowded_buckets(spark, bucket):
     rng = random.Random(1)
     centre = [rng.getrandbits(64) for _ in range(3)]
     xs = sorted({c ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (2**64 - 1) for c in centre for _ in range(25)})
-    df = spark.createDataFrame([(simhash.signed(x),) for x in xs], "fp long")
-    got = {r.node % 2**64: r.root for r in simhash.components(simhash.near_links(df, 4, bucket)).collect()}
+    df = spark.createDataFrame([(simhash.signed(x), [simhash.signed(x)]) for x in xs], "uid long, fp array<long>")
+    found = simhash.near_links(df, 4, 4, bucket)
+    got = {r.node % 2**64: r.root for r in simhash.components(found).collect()}
+    assert all((r.a % 2**64 ^ r.b % 2**64).bit_count() == r.distance <= 4 for r in found.collect())
     group = {x: {x} for x in xs}
     for x in xs:
         for y in xs:
@@ -114,14 +116,38 @@ def test_links_in_small_and_crowded_buckets(spark, bucket):
         for y in xs:
             if x < y and len(group[x]) > 1 and len(group[y]) > 1:
                 assert (got[x] == got[y]) == (group[x] is group[y])
+    assert set(got) == {x for x in xs if len(group[x]) > 1}
+
+
+def test_spanning_links_keep_what_every_distance_links():
+    rng = np.random.default_rng(5)
+    fps = np.repeat(rng.integers(0, 2**63, (4, 2)).astype(np.uint64), 12, axis=0)
+    for k, row in enumerate(fps):
+        for _ in range(k % 12):
+            row[rng.integers(2)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    full = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(axis=2)
+    i, j, d = simhash.spanning_links(fps, 20)
+    assert (full[i, j] == d).all() and len(i) < len(fps)
+
+    def groups(edges):
+        root = list(range(len(fps)))
+        for a, b in edges:
+            root = [root[a] if r == root[b] else r for r in root]
+        return root
+
+    for most in range(21):
+        whole, some = groups(zip(*np.nonzero(full <= most))), groups((a, b) for a, b, x in zip(i, j, d) if x <= most)
+        assert len(set(zip(whole, some))) == len(set(whole)) == len(set(some))
 
 
 def test_covering_masks_cover():
-    masks, rng = simhash.covering_masks(4), random.Random(2)
-    assert len(masks) == 31
-    for _ in range(500):
-        x = sum(1 << b for b in rng.sample(range(64), 4))
-        assert any(x & m == 0 for m in masks)
+    rng = random.Random(2)
+    for seed in range(20, 27):
+        masks = simhash.covering_masks(4, seed)
+        assert len(masks) == 31
+        for _ in range(500):
+            x = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(x & m == 0 for m in masks)
 
 
 def test_substrings(docs, empty, texts):
