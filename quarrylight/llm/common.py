@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_parts(batch: pa.RecordBatch, at: int, limit: int):
+    """Slices of a batch whose texts (column ``at``) have at most ``limit`` bytes
+    together; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), limit, side="right")))
+        yield batch.slice(start, n)
+        start += n
+
+
 def ascii_lower(text: Column) -> Column:
     """text with A-Z, and nothing else, lower-cased.
 

@@ -10,6 +10,7 @@ through a calibrated logistic of their expected number, a document's score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import table
+from quarrylight.llm.common import table, text_parts
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+")
 #: At most so many toxic and clean rows, and so many characters, to learn from.
@@ -29,6 +30,9 @@ THRESHOLD = 0.3
 #: Features of the CRF: all toxic words, then the most frequent first words of
 #: lines up to this number.
 VOCABULARY = 20_000
+#: Bytes of text that are scored together, and words whose weights a task
+#: remembers.
+PART, REMEMBERED = 1 << 20, 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,6 +109,25 @@ def chain(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.nd
     return marg, pairs, starts, float(np.log(scale).sum())
 
 
+class Codes(dict):
+    """word -> the place of its two weights in ``pairs``; few words differ from
+    (0, 0), at place 0."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.places, self.pairs = model, {(0.0, 0.0): 0}, [(0.0, 0.0)]
+
+    def __missing__(self, word: str) -> int:
+        pair = (self.model.weight(word), self.model.beside.get(word, 0.0))
+        code = self.places.setdefault(pair, len(self.pairs))
+        if code == len(self.pairs):
+            self.pairs.append(pair)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = code
+        return code
+
+
 class Model:
     """Weights: bias, one per known word for itself and for either neighbour,
     transitions and starts; and the logistic that makes scores."""
@@ -118,21 +141,24 @@ class Model:
         self.slope, self.shift = 0.0, -20.0
 
     def weight(self, word: str) -> float:
-        """A word's own weight and its stem's; remembered for known words."""
+        """A word's own weight and its stem's."""
         known = self.own.get(word)
         return (known or 0.0) + self.own.get(stem_of(word), 0.0) if len(word) >= STEM else known or 0.0
 
-    def emissions(self, tokens: list[str]) -> np.ndarray:
-        out = np.full(len(tokens), self.bias)
-        if self.own:
-            out += np.fromiter((self.weight(t) for t in tokens), float, len(tokens))
-        if self.beside and len(tokens) > 1:
-            near = np.fromiter((self.beside.get(t, 0.0) for t in tokens), float, len(tokens))
-            out[1:] += near[:-1]
-            out[:-1] += near[1:]
+    def emissions(self, lines: list[list[str]], codes: Codes) -> np.ndarray:
+        """The toxic tag's log scores for the tokens of all lines."""
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        found = np.fromiter((codes[t] for line in lines for t in line), np.int64, int(sizes.sum()))
+        own, near = np.array(codes.pairs).T[:, found]
+        head = np.zeros(len(found), bool)
+        head[np.cumsum(sizes)[:-1]] = True
+        out = self.bias + own
+        if len(found) > 1:
+            out[1:] += np.where(head[1:], 0.0, near[:-1])
+            out[:-1] += np.where(head[1:], 0.0, near[1:])
         return out
 
-    def marginals(self, texts: list[str]):
+    def marginals(self, texts: list[str], codes: Codes | None = None):
         """Per text a list of (line offset, line, marginals) for its lines."""
         rows = []
         for i, text in enumerate(texts):
@@ -143,9 +169,10 @@ class Model:
                     rows.append((i, at, line, tokens))
                 at += len(line) + 1
         rows.sort(key=lambda r: -len(r[3]))
-        emit = [self.emissions(r[3]) for r in rows]
-        lengths = np.array([len(x) for x in emit], dtype=np.int64)
-        marg = chain(np.concatenate(emit) if emit else np.zeros(0), lengths, self.trans, self.start)[0]
+        lines = [r[3] for r in rows]
+        lengths = np.array([len(x) for x in lines], dtype=np.int64)
+        emit = self.emissions(lines, Codes(self) if codes is None else codes) if lines else np.zeros(0)
+        marg = chain(emit, lengths, self.trans, self.start)[0]
         out: list[list] = [[] for _ in texts]
         ends = np.cumsum(lengths)
         for (i, at, line, _), end, n in zip(rows, ends.tolist(), lengths.tolist()):
@@ -215,7 +242,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 40, min_contexts: int = MIN_C
         for line in text.split("\n"):
             own = tokens_of(line)
             hit = [text in marked and (w in words or stem_of(w) in words) for w in own]
-            if own and (any(hit) or any(w in words or stem_of(w) in words for w in own) or len(lines) % 3 == 0):
+            if own and (any(hit) or any(w in words or stem_of(w) in words for w in own) or zlib.crc32(" ".join(own).encode()) % 3 == 0):
                 lines.append(own)
                 tags.append(hit)
     others = Counter(w for own in lines for w in own[:2] if w not in words)
@@ -285,22 +312,36 @@ def calibrate(model: Model, rows: list[tuple[str, int]]) -> None:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """A bounded sample of labelled rows that are not held out, in a fixed
     order of hashed ids. Its bounds are the three last parameters; each label
-    has its share of the characters, and a row that would pass it is left out."""
-    own = labels.select(F.col(id_col).alias("ql_id"), F.col(label_col).alias("ql_y")).filter(F.col("ql_id").isNotNull() & F.col("ql_y").isNotNull())
-    own = own.filter(~held_out(F.col("ql_id"))).distinct()
+    has its share of the characters, and a row that would pass it is left out.
+
+    Cases: an id that is labelled both ways teaches nothing and is left out, as
+    are null ids and labels. Of rows that share an id each distinct text counts
+    as a row. Null texts are empty ones. Without labels there are no rows. No
+    more than toxic + clean ids, places of texts and ``chars`` characters come to
+    the driver.
+    """
+    own = labels.select(F.col(id_col).alias("ql_id"), F.col(label_col).alias("ql_y")).filter(F.col("ql_id").isNotNull() & F.col("ql_y").isNotNull() & ~held_out(F.col("ql_id")))
+    sure = own.groupBy("ql_id").agg(F.min("ql_y").alias("ql_y"), F.max("ql_y").alias("high")).filter(F.col("ql_y") == F.col("high"))
     order = F.xxhash64(F.lit(11), "ql_id")
-    some = own.filter("ql_y = 1").orderBy(order, "ql_id").limit(toxic).unionByName(own.filter("ql_y = 0").orderBy(order, "ql_id").limit(clean))
-    picked = {r.ql_id: int(r.ql_y) for r in some.collect()}  # at most toxic + clean rows
-    if not picked:
+    some = sure.filter("ql_y = 1").orderBy(order, "ql_id").limit(toxic).unionByName(sure.filter("ql_y = 0").orderBy(order, "ql_id").limit(clean)).select("ql_id", "ql_y")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # At most toxic + clean rows, so they may be broadcast.
+    known = docs.select(F.col(id_col).alias("ql_id"), text.alias("t")).join(F.broadcast(some), "ql_id")
+    places = known.select("ql_id", "ql_y", order.alias("h"), F.xxhash64("t").alias("th"), F.char_length("t").alias("n")).distinct()
+    left = {1: chars * toxic // (toxic + clean), 0: chars * clean // (toxic + clean)}
+    chosen = {}
+    for label, most in ((1, toxic), (0, clean)):
+        for r in places.filter(F.col("ql_y") == label).orderBy("h", "ql_id", "th").limit(most).collect():
+            if r.n <= left[label]:
+                left[label] -= r.n
+                chosen[r.ql_id, r.th] = len(chosen), label
+    if not chosen:
         return []
-    found = docs.filter(F.col(id_col).isin(list(picked))).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(F.lit(11), F.col(id_col)).alias("h"))
-    rows, left = [], {1: chars * toxic // (toxic + clean), 0: chars * clean // (toxic + clean)}
-    for r in sorted(found.toLocalIterator(), key=lambda r: (r.h, r.i, r.t or "")):
-        size, label = len(r.t or ""), picked[r.i]
-        if size <= left[label]:
-            left[label] -= size
-            rows.append((r.t or "", label))
-    return rows
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(i, th) for i, th in chosen], places.select("ql_id", "th").schema)
+    found = known.withColumn("th", F.xxhash64("t")).join(F.broadcast(wanted), ["ql_id", "th"], "left_semi").groupBy("ql_id", "th").agg(F.first("t").alias("t")).collect()
+    rows = sorted((*chosen[r.ql_id, r.th], r.t) for r in found)
+    return [(t, label) for _, label, t in rows]
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,24 +356,28 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batches):
+        codes = Codes(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = model.marginals([t.as_py() for t in part.column(1)])
+            for part in text_parts(batch, 1, PART):
+                found = model.marginals([t.as_py() for t in part.column(1)], codes)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(f) for f in found], pa.float64()), pa.array([model.spans(f) for f in found], span)], ["doc_id", "score", "spans"])
 
     return rows.mapInArrow(run, f"doc_id {ids}, score double, spans array<struct<start:bigint,end:bigint,marginal:double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold."""
+    """The rows of docs, all columns, that score below the threshold.
+
+    Cases: a null, empty or wordless text has the base score. Rows that share an
+    id, or have none, are judged one by one. An empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
+        codes = Codes(model)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                found = model.marginals([t.as_py() for t in part.column(at)])
+            for part in text_parts(batch, at, PART):
+                found = model.marginals([t.as_py() for t in part.column(at)], codes)
                 yield part.filter(pa.array([model.score(f) < threshold for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
