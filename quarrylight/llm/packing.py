@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -66,14 +67,12 @@ def encoder(path: str):
     def encode(text: str) -> list[int]:
         parts, out = [text], []
         if special and any(s in text for s in special):
-            import re
-
             parts = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text)
         for part in parts:
             if part in special:
                 out.append(special[part])
             elif part:
-                found = fast.encode_ordinary(part)
+                found = encode_runs(fast, part)
                 out += found if same else [ids[x] for x in found]
         return out
 
@@ -87,6 +86,24 @@ def encoder(path: str):
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: White space as the split sees it (the Unicode property). Fixed value.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{SPACES}]{{4096,}}")
+
+
+def encode_runs(fast, text: str) -> list[int]:
+    """The ids of a text, whose very long white-space runs are given to the BPE
+    as the pieces that the split makes of them: it would recurse once a
+    character there. The last character of a run goes with what follows."""
+    out, at = [], 0
+    for run in LONG_RUN.finditer(text) if len(text) >= 4096 else ():
+        end = run.end() - (run.end() < len(text))
+        out += fast.encode_ordinary(text[at : run.start()])
+        out += fast._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + fast.encode_ordinary(text[at:])
+
+
 def bpe_ranks(vocab: dict[str, int], special: dict[str, int]):
     """(bytes -> rank, word -> rank) from a byte-level vocabulary, whose ids
     follow the order of merges."""
