@@ -6,7 +6,8 @@ last names the archives of a finished write. Reader: archives are dealt to
 partitions by size; predicates on the record type and on other header columns
 are taken over from Spark; headers are inflated first, and a record that the
 predicates refuse, or whose payload nobody asked for, is stepped over without
-inflating the rest of it.
+inflating the rest of it. Archives of other writers are read too: plain ones,
+and gzip members that hold several records or parts of one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, payload_diges
 HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")
 BLOCK = 1 << 16
 HEAD = 1 << 13
+SALTS = 64
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -70,19 +72,23 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    end = body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    if max(size, len(data)) >> 32:  # beyond the field
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + end
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data)) + end
 
 
-def member_length(head: bytes) -> int | None:
-    """The length of the gzip member that starts with head, where it says so."""
+def member_lengths(head: bytes) -> tuple[int, int] | None:
+    """The length of the gzip member that starts with head and that of what it
+    holds, where it says so."""
     if len(head) < 12 or head[:3] != b"\x1f\x8b\x08" or not head[3] & 4:
         return None
     size = struct.unpack_from("<H", head, 10)[0]
     at, end = 12, min(len(head), 12 + size)
     while at + 4 <= end:
         name, n = head[at : at + 2], struct.unpack_from("<H", head, at + 2)[0]
-        if name == b"sl" and n >= 8 and at + 8 <= len(head):
-            return struct.unpack_from("<I", head, at + 4)[0]
+        if name == b"sl" and n >= 8 and at + 12 <= len(head):
+            return struct.unpack_from("<II", head, at + 4)
         at += 4 + n
     return None
 
@@ -186,26 +192,33 @@ class WarcReader(DataSourceReader):
 
 
 def read_archive(f, name: str, wanted, payload: bool):
-    """Rows of one archive, plain or with a gzip member a record."""
+    """Rows of one archive; position is where the record, or the gzip member
+    that it starts in, begins."""
     size, at = f.size(), 0
     while at < size:
         f.seek(at)
         raw = f.read(min(HEAD, size - at))
         if raw[:2] == b"\x1f\x8b":
-            whole = member_length(raw)
-            row, used = read_member(f, at, raw, whole, wanted, payload)
+            members = Members(f, at)
+            for row, position in member_records(members, wanted, payload):
+                yield row | {"archive": name, "position": position}
+            at = max(at + 1, members.at)
         else:
-            row, used = read_plain(f, at, raw, wanted, payload)
-        if row is not None:
-            row |= {"archive": name, "position": at}
-            yield row
-        at += max(1, used)
+            row, used = read_plain(f, raw, wanted, payload)
+            if row is not None:
+                yield row | {"archive": name, "position": at}
+            at += max(1, used)
+
+
+def http_end(block: bytes) -> int:
+    """Where the HTTP headers end; -1 where the block does not show it."""
+    return block.find(b"\r\n\r\n")
 
 
 def finish(row: dict, block: bytes, length: int, payload: bool) -> dict:
     """Adds what the HTTP headers say, and the payload where it is asked for."""
     row |= {"http_status": None, "content_type": None, "payload_length": None, "payload": None}
-    end = block.find(b"\r\n\r\n")
+    end = http_end(block)
     if block[:5] == b"HTTP/" and end >= 0:
         head = block[:end].decode("latin-1").split("\r\n")
         named = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
@@ -221,46 +234,90 @@ def finish(row: dict, block: bytes, length: int, payload: bool) -> dict:
     return row
 
 
-def read_member(f, at: int, raw: bytes, whole: int | None, wanted, payload: bool):
-    unpack = zlib.decompressobj(31)
-    data = unpack.decompress(raw, HEAD)
-    headers = parse_headers(data)
-    source = raw
-
-    def more(limit):
-        """Inflates further, a bounded piece at a time."""
-        nonlocal source
-        piece = unpack.unconsumed_tail
-        if not piece and not unpack.eof:
-            piece = f.read(BLOCK)
-            source = piece
-            if not piece:
+class Members:
+    """What consecutive gzip members hold, inflated a bounded piece at a time."""
+
+    def __init__(self, f, at: int):
+        self.f, self.data = f, bytearray()
+        self.open(at)
+
+    def open(self, at: int) -> None:
+        """Goes to the member at ``at``; the end where none starts there."""
+        self.f.seek(at)
+        self.at, self.pending, self.fresh = at, self.f.read(HEAD), True
+        self.lengths = member_lengths(self.pending)
+        self.unpack = zlib.decompressobj(31) if self.pending[:2] == b"\x1f\x8b" else None
+
+    def more(self) -> bool:
+        """Adds to ``data``; False at the end."""
+        while self.unpack is not None:
+            if self.unpack.eof:
+                self.open(self.f.tell() - len(self.unpack.unused_data))
+                continue
+            piece = self.unpack.unconsumed_tail or self.pending or self.f.read(BLOCK)
+            self.pending = b""
+            found = self.unpack.decompress(piece, HEAD if self.fresh else BLOCK * 4)
+            if not piece and not found and not self.unpack.eof:
                 raise EOFError("a WARC member ends early")
-        return unpack.decompress(piece, limit)
-
-    read_to = lambda: f.tell() - len(unpack.unused_data)
-    while headers is None and not unpack.eof:
-        data += more(BLOCK)
-        headers = parse_headers(data)
-    row = header_row(headers) if headers else None
-    keep = row is not None and wanted(row)
-    if keep:
+            self.fresh = False
+            self.data += found
+            if found:
+                return True
+        return False
+
+    def drop(self, n: int) -> None:
+        """Steps over n bytes of what the members hold."""
+        while len(self.data) < n:
+            n -= len(self.data)
+            self.data.clear()
+            if not self.more():
+                return
+        del self.data[:n]
+
+
+def member_records(members: Members, wanted, payload: bool):
+    """(row, position) of every wanted record from the members on."""
+    data = members.data
+    while True:
+        while True:
+            del data[: len(data) - len(data.lstrip(b"\r\n"))]
+            if data:
+                whole = None
+                break
+            if not members.more():
+                return
+            if data[:1] not in b"\r\n":
+                whole = members.lengths  # the record starts with its member
+                break
+        position = members.at
+        while (headers := parse_headers(data)) is None:
+            if not members.more():
+                return
         start, length = int(headers[""]), int(headers.get("content-length", 0))
-        need = start + length if payload and row["record_type"] != "revisit" else start + min(length, 1 << 14)
-        parts, have = [data], len(data)
-        while have < need and not unpack.eof:
-            parts.append(more(BLOCK * 4))
-            have += len(parts[-1])
-        data = b"".join(parts)
-        row = finish(row, data[start : start + length], length, payload)
-    if whole is not None:
-        return (row if keep else None), whole
-    while not unpack.eof:
-        more(BLOCK * 4)
-    return (row if keep else None), read_to() - at
-
-
-def read_plain(f, at: int, raw: bytes, wanted, payload: bool):
+        row = header_row(headers)
+        if wanted(row):
+            need = start + length
+            while len(data) < need and not enough(data, start, row, payload):
+                if not members.more():
+                    raise EOFError("a WARC record ends early")
+            yield finish(row, bytes(data[start:need]), length, payload), position
+        if whole and members.at == position and start + length + 4 >= whole[1]:
+            data.clear()
+            members.open(position + whole[0])
+        else:
+            members.drop(start + length)
+
+
+def enough(data: bytes, start: int, row: dict, payload: bool) -> bool:
+    """Whether what was read of a record will do: without the payload, the HTTP
+    headers to their end."""
+    if payload and row["record_type"] != "revisit":
+        return False
+    return (len(data) >= start + 5 and data[start : start + 5] != b"HTTP/") or data.find(b"\r\n\r\n", start) >= 0
+
+
+def read_plain(f, raw: bytes, wanted, payload: bool):
+    """(row, bytes used) of the record that raw begins; f stands behind raw."""
     lead = len(raw) - len(raw.lstrip(b"\r\n"))
     data = raw[lead:]
     if not data:
@@ -272,12 +329,16 @@ def read_plain(f, at: int, raw: bytes, wanted, payload: bool):
         data += piece
     start, length = int(headers[""]), int(headers.get("content-length", 0))
     row = header_row(headers)
+    used = lead + start + length
     if not wanted(row):
-        return None, lead + start + length + 4
-    need = start + length if payload and row["record_type"] != "revisit" else start + min(length, 1 << 14)
-    if len(data) < need:
-        data += f.read(need - len(data))
-    return finish(row, data[start : start + length], length, payload), lead + start + length + 4
+        return None, used
+    while len(data) < start + length and not enough(data, start, row, payload):
+        whole = payload and row["record_type"] != "revisit"
+        piece = f.read(start + length - len(data) if whole else BLOCK)
+        if not piece:
+            raise EOFError("a WARC record ends early")
+        data += piece
+    return finish(row, data[start : start + length], length, payload), used
 
 
 class Written(WriterCommitMessage):
@@ -367,9 +428,14 @@ def revisit_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     payload has an id, else a response. A null url gives no target header.
     """
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("payload")).withColumn("sha", F.sha1("payload"))
-    owners = rows.filter((F.octet_length("payload") >= min_payload) & F.col("id").isNotNull()).groupBy("sha").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").select("sha", "owner")
-    joined = rows.join(owners, "sha", "left")
+    salt = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(SALTS)).cast("int")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("payload")).withColumn("sha", F.sha1("payload")).withColumn("salt", salt)
+    large = rows.filter(F.octet_length("payload") >= min_payload)
+    seen = large.groupBy("sha").agg(F.min("id").alias("owner"), F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).filter("n > 1 AND owner IS NOT NULL")
+    # A payload that very many rows share meets its owner salt by salt.
+    places = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("salts"), i) == 1)
+    owners = seen.select("sha", "owner", F.explode(places).alias("salt"))
+    joined = rows.join(owners, ["sha", "salt"], "left")
     revisit = F.col("owner").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("owner")))
     return joined.select(
         F.coalesce(F.concat(F.lit("urn:page:"), F.col("id").cast("string")), F.lit("urn:page:none")).alias("record_id"),
@@ -383,22 +449,17 @@ def revisit_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
 
 def op2_warc(spark, sf_dir):
-    """Writes ``pages`` as WARC archives and reads them back. The response's
-    digest and length are taken from the payload that was read, the revisit's
-    from its headers."""
+    """Writes ``pages`` as WARC archives and reads them back: the responses with
+    their payloads, from which digest and length are taken, and the revisits by
+    their headers alone."""
     register(spark)
     path = scratch_path(spark, "warc")
     revisit_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
-    read = spark.read.format("warc").load(path)
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)")
-    own = F.col("record_type") == "response"
-    return read.select(
-        number("record_id").alias("page_id"),
-        F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(own, base32_of_hex(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
-    )
+    own = spark.read.format("warc").load(path).filter("record_type = 'response'")
+    own = own.select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    again = spark.read.format("warc").option("payload", "false").load(path).filter("record_type = 'revisit'")
+    return own.unionByName(again.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to")))
 
 
 OP2_SQL = """
