@@ -1,13 +1,19 @@
 """Repeated word passages by recompression (operator 8).
 
-Rounds of recompression rename maximal runs and then pairs of symbols. Which
-neighbours pair depends on one pseudo-random side of each name, and a name is a
-hash of what it stands for, so it is the same in every document and every task:
-no dictionary has to be gathered. Equal passages thus get equal symbols in
-their interior. Every symbol knows the words that decide it; a window of
-``width`` words is represented by the highest symbol that its own words decide,
-whatever surrounds it. Windows whose symbol no other document shows cannot be
-repeats. The others are compared by 128-bit hashes of their words.
+Rounds of recompression rename pairs of symbols. Which neighbours pair depends
+on one pseudo-random side of each name, and a name is a hash of what it stands
+for, so it is the same in every document and every task: naming is global
+without a dictionary that rounds would have to exchange, and all rounds run in
+one Spark stage. Equal passages thus get equal symbols in their interior. Every
+symbol knows the words that decide it; a window of ``width`` words is
+represented by the symbols that its own words decide at the highest level that
+has them, whatever surrounds it, and a window inside a run of one word by that
+run. Windows whose symbols no other document shows cannot be repeats. The others
+are verified by 128 bits of hashes of their words.
+
+Runs are named for single words only: naming the runs of symbols in every round
+needs both neighbours of each symbol, so that windows of 13 words reach two
+levels instead of four (README has the figures).
 """
 
 from __future__ import annotations
@@ -18,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import settle, table
 
 WIDTH = 13
 ROUNDS = 4
+SALTS = 64
 #: Bytes of text per block of the parse; a longer document is a block of its own.
 BLOCK = 4 << 20
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -101,9 +108,9 @@ def anchors(names: np.ndarray, docs: np.ndarray, width: int = WIDTH, rounds: int
     return out
 
 
-def hashed_words(texts: pa.Array):
-    """Blocks of (names, rows): a hash per word of whole texts, and the index
-    of the row that each word is in. A row is never cut."""
+def hashed_words(texts: pa.Array, seeds: tuple[int, ...] = (0,)):
+    """Blocks of (names, rows): for each seed a hash per word of whole texts, and
+    the index of the row that each word is in. A row is never cut."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     digest, at = xxhash.xxh64_intdigest, 0
     while at < len(texts):
@@ -113,13 +120,12 @@ def hashed_words(texts: pa.Array):
         words = pc.dictionary_encode(lists.flatten())
         rows = np.repeat(np.arange(at, end), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         known = words.dictionary.cast(pa.large_binary()).to_pylist()
-        hashes = np.array([digest(w) for w in known], dtype=np.uint64)
         index = words.indices.to_numpy(zero_copy_only=False)
         if b"" in known:
             keep = index != known.index(b"")
             index, rows = index[keep], rows[keep]
         if len(index):
-            yield hashes[index], rows
+            yield [np.array([digest(w, seed) for w in known], dtype=np.uint64)[index] for seed in seeds], rows
         at = end
 
 
@@ -139,7 +145,7 @@ def anchor_rows(docs: DataFrame, width: int, rounds: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for names, rows in hashed_words(batch.column(1)):
+            for (names,), rows in hashed_words(batch.column(1)):
                 keys = anchors(names, rows, width, rounds)
                 begins = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
                 first = begins[np.searchsorted(begins, np.arange(len(rows)), side="right") - 1]
@@ -183,23 +189,35 @@ def shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(spot[keep])], ["doc", "spot"])
 
 
+def rolling(names: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the width names from each on; the last width - 1 places
+    have none."""
+    n = max(0, len(names) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        x = names[k : k + n]
+        out += (x ^ (x >> np.uint64(31))) * (M1 * np.uint64(2 * k + 1))
+    return mix(out, np.full(1, width, np.uint64))
+
+
 def window_hashes(width: int):
-    """h1, h2, doc, ord, pos of the windows at a row's spots."""
+    """h1, h2, doc, row, pos of the windows at a row's spots."""
 
     def run(batches):
         for batch in batches:
-            ids, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i, text in enumerate(batch.column(2)):
-                words = split(text.as_py())
-                spots = np.unique(batch.column(3)[i].values.to_numpy(zero_copy_only=False))
-                start, n = spots // SPAN, spots % SPAN
-                at = np.unique(np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
-                at = at[at + width <= len(words)]
-                for a in range(0, len(at), 1 << 17):
-                    part = at[a : a + (1 << 17)]
-                    raw = b"".join([xxhash.xxh3_128_digest(b" ".join(words[p : p + width])) for p in part.tolist()])
-                    h = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(np.full(len(part), ids[i])), pa.array(np.full(len(part), own[i], np.int32)), pa.array(part.astype(np.int32))], ["h1", "h2", "doc", "ord", "pos"])
+            docs, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            spots = batch.column(3)
+            for names, rows in hashed_words(batch.column(2), (0, 1)):
+                first, second = (rolling(x, width) for x in names)
+                begins = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1, [len(rows)]])
+                for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist()):
+                    i = int(rows[begin])
+                    some = np.unique(spots[i].values.to_numpy(zero_copy_only=False))
+                    start, n = some // SPAN, some % SPAN
+                    at = np.unique(np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
+                    at = at[at + width <= end - begin]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(first[begin + at].view(np.int64)), pa.array(second[begin + at].view(np.int64)), pa.array(np.full(len(at), docs[i])), pa.array(np.full(len(at), own[i])), pa.array(at.astype(np.int32))], ["h1", "h2", "doc", "row", "pos"])
 
     return run
 
@@ -208,16 +226,16 @@ LOST, OPEN, HEAD = 0, 1, 2
 
 
 def first_owners(batches):
-    """kind, h1, h2, doc, ord, pos from windows sorted by hash and document.
+    """kind, h1, h2, doc, row, pos from windows sorted by hash and document.
 
     LOST: a smaller document owns the window. A partition's first group may
     have begun in the one before, so its rows are OPEN; and its last group's
     first document is told as HEAD.
     """
-    schema = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("ord", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32())])
     key, owner, opening = None, None, True
     for batch in batches:
-        h1, h2, doc, ord_, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        h1, h2, doc, row, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         if not len(h1):
             continue
         new = np.ones(len(h1), bool)
@@ -234,20 +252,20 @@ def first_owners(batches):
         key, owner = (h1[-1], h2[-1]), owners[-1]
         keep = lost | is_open
         kind = np.where(is_open, OPEN, LOST).astype(np.int8)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[keep]) for x in (h1, h2, doc, ord_, pos))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[keep]) for x in (h1, h2, doc, row, pos))], schema=schema)
     if key is not None:
-        yield pa.RecordBatch.from_pylist([{"kind": HEAD, "h1": int(key[0]), "h2": int(key[1]), "doc": int(owner), "ord": 0, "pos": -1}], schema)
+        yield pa.RecordBatch.from_pylist([{"kind": HEAD, "h1": int(key[0]), "h2": int(key[1]), "doc": int(owner), "row": 0, "pos": -1}], schema)
 
 
 def lost_windows(windows: DataFrame) -> DataFrame:
-    """doc, ord, pos of the windows that a smaller document has too.
+    """doc, row, pos of the windows that a smaller document has too.
 
     Ranges over (hash, document) cut even one very common window across tasks.
     Groups that a cut divides are settled by the partitions' first and last
     groups.
     """
     sorted_ = windows.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc")
-    found = settle(sorted_.mapInArrow(first_owners, "kind byte, h1 long, h2 long, doc long, ord int, pos int"), "owners")
+    found = settle(sorted_.mapInArrow(first_owners, "kind byte, h1 long, h2 long, doc long, row long, pos int"), "owners")
     # At most two keys a partition come to the driver: its first and its last.
     divided = found.filter(F.col("kind") != LOST).groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max(F.col("kind") == OPEN).alias("open")).filter("open")
     owners = {(r.h1, r.h2): r.owner for r in divided.select("h1", "h2", "owner").collect()}
@@ -261,9 +279,9 @@ def lost_windows(windows: DataFrame) -> DataFrame:
                 pairs, which = np.unique(np.stack([h1[at], h2[at]], 1), axis=0, return_inverse=True)
                 least = np.array([owners[int(a), int(b)] for a, b in pairs], np.int64)
                 keep[at] = least[which.ravel()] < doc[at]
-            yield batch.select(["doc", "ord", "pos"]).filter(pa.array(keep))
+            yield batch.select(["doc", "row", "pos"]).filter(pa.array(keep))
 
-    return found.mapInArrow(settle_open, "doc long, ord int, pos int")
+    return found.mapInArrow(settle_open, "doc long, row long, pos int")
 
 
 def passage_spans(positions: np.ndarray, width: int) -> list[dict]:
@@ -302,12 +320,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns of docs are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.xxhash64(F.lit(1), text).alias("row2"), text.alias("text"))
+    salt = F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(SALTS)).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.xxhash64(F.lit(1), text).alias("row2"), salt.alias("salt"), text.alias("text"))
     known = rows.filter(F.col("doc").isNotNull())
 
-    # A text that a smaller document has whole needs no windows.
-    owners = known.groupBy("row", "row2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("row", "row2", "owner")
-    copies = settle(known.select("doc", "row", "row2").join(owners, ["row", "row2"]).filter("owner < doc").groupBy("doc").agg(F.collect_set("row").alias("copies")), "copies")
+    # A text that a smaller document has whole needs no windows. One that very
+    # many documents have meets its owner salt by salt.
+    owners = known.groupBy("row", "row2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).filter("owner < last")
+    places = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("salts"), i) == 1)
+    owners = owners.select("row", "row2", "owner", F.explode(places).alias("salt"))
+    copies = settle(known.select("doc", "row", "row2", "salt").join(owners, ["row", "row2", "salt"]).filter("owner < doc").groupBy("doc").agg(F.collect_set("row").alias("copies")), "copies")
     left = known.select("doc", "row", "text").join(copies, "doc", "left").filter(~F.coalesce(F.array_contains("copies", F.col("row")), F.lit(False))).select("doc", "text")
 
     keyed = anchor_rows(left, width, rounds)
@@ -315,32 +337,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = keyed.select("key", "doc", "spot", "known", place.alias("place")).repartition("place").drop("place").sortWithinPartitions("key", "doc")
     wanted = settle(dealt.mapInArrow(shared, "doc long, spot long"), "anchors")
 
-    # Rows that share an id are told apart by the rank of their text's hash.
-    rank = F.dense_rank().over(Window.partitionBy("doc").orderBy("row"))
+    # Rows that share an id all get its spots; a needless one does no harm.
     spots = wanted.groupBy("doc").agg(F.collect_list("spot").alias("spots"))
-    some = known.select("doc", "row", "text").join(spots, "doc").select("doc", rank.alias("ord"), "text", "spots")
-    windows = settle(some.mapInArrow(window_hashes(width), "h1 long, h2 long, doc long, ord int, pos int"), "windows")
-    lost = settle(lost_windows(windows).groupBy("doc").agg(F.collect_list(F.struct("ord", "pos")).alias("lost")), "lost")
+    some = known.select("doc", "row", "text").join(spots, "doc").select("doc", "row", "text", "spots")
+    windows = settle(some.mapInArrow(window_hashes(width), "h1 long, h2 long, doc long, row long, pos int"), "windows")
+    lost = settle(lost_windows(windows).groupBy("doc", "row").agg(F.collect_list("pos").alias("lost")), "lost")
 
-    notes = lost.join(copies, "doc", "full_outer").withColumnRenamed("doc", "noted")
+    gone = lost.select(F.col("doc").alias("noted"), F.col("row").alias("own"), "lost", F.lit(False).alias("copy"))
+    whole = copies.select(F.col("doc").alias("noted"), F.explode("copies").alias("own"), F.lit(None).cast("array<int>").alias("lost"), F.lit(True).alias("copy"))
+    notes = gone.unionByName(whole).groupBy("noted", "own").agg(F.first("lost", ignorenulls=True).alias("lost"), F.max("copy").alias("copy"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches):
         for batch in batches:
             out = []
-            for ord_, text, lost, copy in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist()):
+            for text, lost, copy in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist()):
                 words = split(text.as_py())
                 spans = []
                 if copy and len(words) >= width:
                     spans = [{"start": 0, "end": len(words)}]
                 elif lost.is_valid:
-                    own, at = (lost.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                    spans = passage_spans(at[own == ord_], width)
+                    spans = passage_spans(lost.values.to_numpy(zero_copy_only=False), width)
                 out.append((len(words), *kept_words(words, spans), spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)), pa.array([o[3] for o in out], kind), pa.array([final(o[2], keep) for o in out], pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    joined = known.join(notes, F.col("doc") == F.col("noted"), "left").select("doc", rank.alias("ord"), "text", "lost", F.coalesce(F.array_contains("copies", F.col("row")), F.lit(False)).alias("copy"))
-    free = rows.filter(F.col("doc").isNull()).select("doc", F.lit(0).alias("ord"), "text", F.lit(None).cast(lost.schema["lost"].dataType).alias("lost"), F.lit(False).alias("copy"))
+    joined = known.join(notes, (F.col("doc") == F.col("noted")) & (F.col("row") == F.col("own")), "left").select("doc", "text", "lost", "copy")
+    free = rows.filter(F.col("doc").isNull()).select("doc", "text", F.lit(None).cast("array<int>").alias("lost"), F.lit(False).alias("copy"))
     return joined.unionByName(free).mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
 
 
