@@ -106,20 +106,20 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``ql_n_dropped`` and ``ql_keep_bitmap`` (null: all lines stay). Cases as
     in keep_bitmaps.
     """
-    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, salts).select(
-        F.col("doc_id").alias("ql_doc"), F.col("row").alias("ql_row"), F.col("n_dropped").alias("ql_dropped"), F.col("keep_bitmap").alias("ql_keep_bitmap")
-    )
-    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    joined = docs.join(bitmaps, (docs[id_col] == F.col("ql_doc")) & (own == F.col("ql_row")), "left")
-    lines = split_lines(docs[text_col])
-    text = F.when(F.col("ql_keep_bitmap").isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(
-        F.array_join(kept_lines(lines, decode_bitmap(F.col("ql_keep_bitmap"))), "\n")
-    )
+    if clash := {"ql_n_lines", "ql_n_dropped", "ql_keep_bitmap"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are names of results")
+    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, salts).toDF("doc", "row", "dropped", "bitmap")
+    # The columns of docs travel as one, so that none of them can clash.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    own_text, own_id = F.col("own").getField(text_col), F.col("own").getField(id_col)
+    joined = packed.join(bitmaps, (own_id == F.col("doc")) & (F.xxhash64(F.coalesce(own_text, F.lit(""))) == F.col("row")), "left")
+    lines = split_lines(own_text)
+    text = F.when(F.col("bitmap").isNull(), F.coalesce(own_text, F.lit(""))).otherwise(F.array_join(kept_lines(lines, decode_bitmap(F.col("bitmap"))), "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else docs[c] for c in docs.columns],
+        *[text.alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in docs.columns],
         F.size(lines).cast("long").alias("ql_n_lines"),
-        F.coalesce("ql_dropped", F.lit(0)).cast("long").alias("ql_n_dropped"),
-        "ql_keep_bitmap",
+        F.coalesce("dropped", F.lit(0)).cast("long").alias("ql_n_dropped"),
+        F.col("bitmap").alias("ql_keep_bitmap"),
     )
 
 
