@@ -45,6 +45,7 @@ NAMES = {
     "CC-BY-SA": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 3.0"],
     "CC-BY-NC": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC-SA 4.0"],
     "Unlicense": ["Unlicense", "The Unlicense"],
+    "EUPL-1.2": ["European Union Public Licence 1.2", "European Union Public Licence, version 1.2", "EUPL-1.2", "EUPL v1.2"],
 }
 NOTICES = ["Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "This project is licensed under the terms of the {}.", "SPDX-License-Identifier: {}", "Distributed under the {}, see the LICENSE file.", "This software is available under the {}.", "License: {}", "You may use this text under the {}."]
 
@@ -253,12 +254,13 @@ def find(text: str, model: Classifier, similarity: float = SIMILARITY) -> list[d
     return sorted(found, key=lambda f: (f["start"], f["end"]))
 
 
-def ordinary_paragraphs(docs: DataFrame, text_col: str = "text", rows: int = 400) -> tuple[str, ...]:
+def ordinary_paragraphs(docs: DataFrame, text_col: str = "text", rows: int = 400, chars: int = 1000) -> tuple[str, ...]:
     """First lines of about ``rows`` documents (no more), spread by their texts'
-    hashes: what the unknown class is trained on besides the decoys."""
+    hashes: what the unknown class is trained on besides the decoys. Documents
+    with a first line of more than ``chars`` characters are no part of it."""
     every = docs.count() // rows + 1
     h = F.xxhash64(F.lit(17), text_col)
-    found = docs.filter(F.col(text_col).isNotNull() & (F.pmod(h, F.lit(every)) == 0)).select(F.substring(F.substring_index(F.col(text_col), "\n", 1), 1, 1000).alias("p"), h.alias("h"))
+    found = docs.filter(F.col(text_col).isNotNull() & (F.pmod(h, F.lit(every)) == 0)).select(F.substring_index(F.col(text_col), "\n", 1).alias("p"), h.alias("h")).filter(F.char_length("p") <= chars)
     return tuple(sorted(r.p for r in found.orderBy("h", "p").limit(rows).collect()))
 
 
