@@ -3,7 +3,8 @@
 A test item of m words may differ by e = floor(rate * m) word edits. Cut into
 e + 1 pieces, at least one piece survives any e edits; an automaton finds exact
 piece hits in whole texts, and Myers' bit-parallel distance over words decides
-around each hit.
+around each hit. Items of very few words are no evidence inside a sentence; they
+count where a whole line of the text consists of them.
 """
 
 from __future__ import annotations
@@ -80,10 +81,14 @@ class Matcher:
     def __init__(self, items: list[tuple], rate: float, min_words: int):
         import ahocorasick
 
-        self.items, found = [], {}
+        self.items, self.short, found = [], {}, {}
         for name, text in items:
             w = words(text)
+            if not w:
+                continue
             if len(w) < min_words:
+                self.short.setdefault(tuple(w), []).append(len(self.items))
+                self.items.append((name, w, 0))
                 continue
             e = int(rate * len(w))
             n = len(self.items)
@@ -95,6 +100,7 @@ class Matcher:
             self.tree.add_word(key, value)
         if found:
             self.tree.make_automaton()
+        self.longest = max(map(len, self.short), default=0)
 
     def find(self, text: str | None) -> list[tuple]:
         """(item, distance, start word, end word), best match per item."""
@@ -102,10 +108,10 @@ class Matcher:
             return []
         own = words(text)
         line = " " + " ".join(own) + " "
-        best: dict[int, tuple] = {}
+        best = self.whole_lines(text) if self.short else {}
         tried = set()
         at, count = 0, 0
-        for end, uses in self.tree.iter(line):
+        for end, uses in self.tree.iter(line) if len(self.tree) else ():
             count += line.count(" ", at, end)
             at = end
             for n, a, length in uses:
@@ -121,6 +127,18 @@ class Matcher:
         return [(self.items[n][0], *hit) for n, hit in sorted(best.items())]
 
 
+    def whole_lines(self, text: str | None) -> dict[int, tuple]:
+        """The short items that are a whole line, at their first place."""
+        best: dict[int, tuple] = {}
+        at = 0
+        for line in (text or "").split("\n"):
+            own = words(line)
+            for n in self.short.get(tuple(own), ()) if own and len(own) <= self.longest else ():
+                best.setdefault(n, (0, at, at + len(own)))
+            at += len(own)
+        return best
+
+
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple]]:
     """The test items, in blocks of at most ``limit`` characters (or one item)."""
     out, held = [[]], 0
@@ -139,19 +157,22 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     found in a text within floor(rate * n_words) word edits, at its best place.
 
     Cases: null, empty and wordless texts or items match nothing; items of
-    fewer than ``min_words`` words are no evidence and are not searched. Rows
+    fewer than ``min_words`` words are found where they are a whole line. Rows
     that share an id, or have none, are searched one by one; repeated items are
-    reported each. Empty tables give no rows. The benchmark is the query set:
-    it is dealt in blocks of a checked size, each held by one automaton.
+    reported each. Empty tables give no rows. The benchmark is the query set: it
+    is dealt in blocks of a checked size, each broadcast and held by one
+    automaton a task; each block is one more pass over the texts.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ids = dict(rows.dtypes)["doc_id"]
     item_type = dict(benchmark.dtypes)[item_col]
     schema = f"doc_id {ids}, item_id {item_type}, distance int, n_words int, start_word int, end_word int"
     out = None
-    for block in blocks_of(benchmark, item_col, item_text_col, block_chars):
+    for items in blocks_of(benchmark, item_col, item_text_col, block_chars):
+        held = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches, block=block):
+        def run(batches, held=held):
+            block = held.value
             matcher = Matcher([(i, t) for i, (_, t) in enumerate(block)], rate, min_words)
             for batch in batches:
                 found = [(d, *hit) for d, t in zip(range(batch.num_rows), batch.column(1)) for hit in matcher.find(t.as_py())]
@@ -177,12 +198,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, all columns, in which no test item is found."""
+    """The rows of docs, all columns, in which no test item is found.
+
+    Cases as in find_items: null, empty and wordless texts stay, and rows that
+    share an id, or have none, are judged one by one. An empty benchmark keeps
+    every row.
+    """
     at = docs.columns.index(text_col)
-    for block in blocks_of(benchmark, item_col, item_text_col, block_chars):
+    for items in blocks_of(benchmark, item_col, item_text_col, block_chars):
+        held = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches, block=block):
-            matcher = Matcher(block, rate, min_words)
+        def run(batches, held=held):
+            matcher = Matcher(held.value, rate, min_words)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
