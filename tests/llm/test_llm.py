@@ -4,7 +4,9 @@ empty and long texts, ties, repeated rows and clashing columns."""
 import base64
 import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -223,6 +225,16 @@ def test_fast_encoder_agrees():
         assert fast(t) == slow.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\u3000", " \t", "a", "7", "!", "é"])
+def test_encoder_on_very_long_runs(run):
+    from tokenizers import Tokenizer
+
+    slow, fast = Tokenizer.from_file(packing.default_tokenizer()), packing.encoder(packing.default_tokenizer())
+    for text in (run * 5000, f"x{run * 5000}y", f"{run * 4096} {run * 5000}\n\nb  c"):
+        assert fast(text) == slow.encode(text, add_special_tokens=False).ids
+    assert len(fast("a" + run * 2_000_000 + "b")) > 1000
+
+
 def edit_distance(a, b):
     row = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
@@ -277,6 +289,7 @@ def test_quality(docs, empty, texts):
         covered = {q for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for q in range(i, i + 5)}
         real = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
         assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), len(real) - len(set(real)), len(covered)), r.doc_id
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in t)
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and r.kept == (not r.base_failed and r.band_kept)
     verdict = quality.Judge()
     rng = random.Random(1)
@@ -397,7 +410,7 @@ def test_url_rules_and_model(spark):
     assert (got[2].rule, got[2].verdict, got[3].rule, got[3].verdict, got[4].rule) == ("net/", "block", "example.com/de/", "block", "org/fr/")
     assert (got[5].host, got[5].path, got[5].rule) == ("", "", None) and got[6].host == "" and got[9].host == "É.com"
     assert got[7].llr < got[8].llr and got[7].verdict == "block"
-    assert urls.filter_urls(df).count() == len(rows) and urls.filter_urls(df.filter("false")).count() == 0
+    assert len(got) == len({r[0] for r in rows})
 
 
 def test_url_scores_read_domain_query_and_fragment(spark):
@@ -454,3 +467,181 @@ def test_warc_of_other_writers(spark, tmp_path):
     rows = spark.read.format("warc").load(str(tmp_path)).collect()
     assert sorted((r.archive, r.record_type) for r in rows) == sorted((a, t) for a in ("a.warc", "b.warc.gz") for t in ("warcinfo", "response", "request"))
     assert {(r.http_status, len(r.payload)) for r in rows if r.record_type == "response"} == {(404, 100_000)}
+
+
+@pytest.mark.parametrize("head", [10, 20_000, 300_000])
+def test_warc_members_of_several_records_and_long_http_headers(spark, tmp_path, head):
+    import gzip
+
+    def record(k, kind, body):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX-Long: " + random.Random(1).randbytes(head).hex().encode() + b"\r\n\r\n"
+    data = [record(k, "response" if k % 2 else "request", (http if k % 2 else b"GET / HTTP/1.1\r\n\r\n") + b"z" * (4 + k)) for k in range(5)]
+    whole = b"".join(data)
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole))
+    cut = len(whole) // 2
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(whole[:cut]) + gzip.compress(whole[cut:]))
+    (tmp_path / "d.warc.gz").write_bytes(warc.gzip_member(b"".join(data[:3])) + b"".join(map(warc.gzip_member, data[3:])))
+    (tmp_path / "e.warc.gz").write_bytes(b"")
+    warc.register(spark)
+    for payload in ("true", "false"):
+        read = spark.read.format("warc").option("payload", payload).load(str(tmp_path))
+        rows = read.collect()
+        assert sorted((r.archive, r.record_id) for r in rows) == [(a, f"urn:{k}") for a in ("a.warc", "b.warc.gz", "c.warc.gz", "d.warc.gz") for k in range(5)]
+        for r in rows:
+            k = int(r.record_id[4:])
+            if k % 2:
+                assert (r.http_status, r.payload_length, r.payload) == (200, 4 + k, b"z" * (4 + k) if payload == "true" else None)
+        some = read.filter("record_type = 'request' AND record_id = 'urn:4'").collect()
+        assert sorted(r.archive for r in some) == ["a.warc", "b.warc.gz", "c.warc.gz", "d.warc.gz"]
+
+
+def test_warc_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "u", "same", 5, "x"), (1, "u", "same", 6, "y"), (2, "v", "same", 7, "z"), (3, "w", "other", 8, "q"), (None, "n", None, 9, "r"), (None, "n", None, 9, "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, id long, sha string").withColumn("salt", F.lit(1)).withColumn("payload", F.lit("p"))
+    got = sorted((r.record_id, r.record_type, r.refers_to or "") for r in warc.revisit_records(pages).collect())
+    assert got == [("urn:page:1", "response", ""), ("urn:page:1", "response", ""), ("urn:page:2", "revisit", "urn:page:1"), ("urn:page:3", "response", ""), ("urn:page:none", "response", ""), ("urn:page:none", "response", "")]
+    assert warc.revisit_records(pages.filter("false")).count() == 0
+
+
+def brute_deltas(rows, order=5, least=4, tau=4.0):
+    """gram -> what it adds to the log ratio, straight from the definition."""
+    def line(t):
+        t = re.sub(r"[^a-z0/.\-_~%?#&=+:]", "x", re.sub("[0-9]+", "0", t.lower()))
+        return "^" * (order - 1) + t + "$"
+
+    def grams(t):
+        p = line(t)
+        return [p[i - k + 1 : i + 1] for i in range(order - 1, len(p)) for k in range(1, order + 1)]
+
+    counts = [collections.Counter(g for t, y in rows if y == want for g in grams(t)) for want in (True, False)]
+    known = {g for g in counts[0] | counts[1] if counts[0][g] + counts[1][g] >= least}
+    context = [collections.Counter() for _ in counts]
+    for g in known:
+        for c, n in zip(context, counts):
+            c[g[:-1]] += n[g]
+
+    def ratio(parts):
+        p = [1 / 64, 1 / 64]
+        for part in parts:
+            p = [(n[part] + tau * q) / (c[part[:-1]] + tau) for n, c, q in zip(counts, context, p)]
+        return math.log(p[0]) - math.log(p[1])
+
+    suffixes = {g: [g[-k:] for k in range(1, len(g) + 1)] for g in known}
+    return {g: ratio(s) - ratio(s[:-1]) for g, s in suffixes.items()}, grams, line
+
+
+def test_url_ratio_and_limit_against_brute_force(spark):
+    rng = random.Random(4)
+    pick = lambda xs: "-".join(rng.choice(xs) for _ in range(rng.randrange(1, 4)))
+    rows = [(f"{pick(['casino', 'win', 'bet'])}.com/{rng.randrange(99)}?q={k}", False) for k in range(80)] + [(f"{pick(['museum', 'art', 'city'])}.org/en/{rng.randrange(99)}#É{k}", True) for k in range(90)]
+    want, grams, line = brute_deltas(rows)
+    model = urls.fit(spark.createDataFrame(rows, "text string, accepted boolean"))
+    got = {r.gram: r.delta for r in model.collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    scored = urls.score(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, text string, accepted boolean"), model, ["i", "accepted"])
+    llr = {r.i: r.llr for r in scored.collect()}
+    brute = {i: sum(want.get(g, 0.0) for g in grams(t)) / (len(line(t)) - 4) for i, (t, _) in enumerate(rows)}
+    assert all(llr[i] == pytest.approx(brute[i]) for i in brute)
+    for lost in (0.0, 0.1, 0.5):
+        limit = urls.calibrate(scored, lost)
+        good = [brute[i] for i, r in enumerate(rows) if r[1]]
+        rejected = lambda x: sum(v < x - 1e-9 for v in good)
+        assert rejected(limit) <= lost * len(good) < rejected(limit + 16 / 800 + 1e-6) + 1e-9 or limit >= 8
+    assert urls.calibrate(scored.filter("not accepted")) == -float("inf")
+
+
+def test_what_rules_test_is_no_part_of_the_models(spark):
+    rows = [("a.example.net", "/en/x?q"), ("net", "/"), ("b.org", "/fr/"), ("c.example.com", "/de/1"), ("planet", "/deep"), ("x.io", "")]
+    df = spark.createDataFrame(rows, "host string, tail string").select(*urls.told_by_rules(F.col("host"), F.col("tail")))
+    assert [tuple(r) for r in df.collect()] == [("a.", "/x?q"), ("", "/"), ("b.", "/"), ("c.", "/1"), ("planet", "/deep"), ("x.io", "")]
+
+
+def test_urls_of_clashing_columns_long_texts_and_empty_tables(spark):
+    rows = [(1, "http://a.org/" + "x" * 20_000, "z"), (1, "http://a.org/" + "x" * 20_000, "z"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string").withColumns({c: F.lit(c) for c in ("path", "rule", "llr", "gram", "uid", "site", "line")})
+    got = urls.filter_urls(df).collect()
+    assert [(r.page_id, r.rule, len(r.path)) for r in sorted(got, key=lambda r: r.page_id or 0)] == [(None, None, 0), (1, None, 20_001), (1, None, 20_001)]
+    assert urls.filter_urls(df.filter("false"), seeds=False).count() == 0
+
+
+def test_quality_bands_follow_the_labels(spark):
+    rng = random.Random(7)
+    good = lambda n: " ".join("".join(rng.choice("etaoinshrdlucmf") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+    poor = lambda n: " ".join("".join(rng.choice("etaoinshrdlucmf") for _ in range(rng.randrange(2, 10))) + "###" for _ in range(n))
+    texts = [(i, good(300) if i % 4 else poor(205), int(bool(i % 4))) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(500, None), (3, "twice")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts if i < 160] + [(500, 1), (None, 1), (7, None), (8, 1)], "doc_id long, quality int")
+    fixed = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
+    bands = quality.fit(docs, labels, least=40)
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, **bands).collect()}
+    fresh = [(i, q) for i, _, q in texts if i >= 160]
+    assert all(fixed[i] for i, _ in fresh) and all(kept[i] == bool(q) for i, q in fresh)
+    assert quality.fit(docs, labels.filter("false")) == {"bands": quality.BANDS, "chunk_band": quality.CHUNK_BAND}
+    assert quality.fit(docs.filter("false"), labels) == {"bands": quality.BANDS, "chunk_band": quality.CHUNK_BAND}
+    # Lengths that no label shows keep the fixed limits.
+    sizes = sorted(len(t) for i, t, q in texts if q and i < 160)
+    assert quality.limits(sizes[-1] * 4, bands["bands"]) == quality.limits(sizes[-1] * 4) and quality.limits(200, bands["bands"]) == quality.limits(200)
+
+
+def test_toxicity_learns_nothing_from_held_out_rows_ties_and_copies(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(80)] + [(3, "text 3"), (3, "other 3"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(4, 1), (5, 0), (3, 1), (None, 1), (6, None)], "doc_id long, toxic int")
+    held_out = {i for i in range(80) if zlib.crc32(str(i).encode()) % 4 == 2}
+    got = sorted(toxicity.training_rows(docs, labels))
+    sure = [i for i in range(80) if i not in held_out and i not in (4, 5)]
+    want = [(f"text {i}", i % 2) for i in sure] + [("other 3", 1)] * (3 in sure) + [("", 1)] * (7 in sure)
+    assert held_out and got == sorted(want)
+    assert len(toxicity.training_rows(docs, labels, toxic=5, clean=7)) == 12
+
+
+def test_toxicity_of_long_texts_and_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(" ".join(words(rng, 12) + ["zzmoron"] * (i % 4 == 0) + words(rng, 3)), int(i % 4 == 0)) for i in range(240)]
+    model = toxicity.fit(rows)
+    texts = [t for t, _ in rows[:20]] + ["w1 " * 200_000 + "zzmoron", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: (round(r.score, 9), len(r.spans)) for r in toxicity.score_documents(docs, model).collect()}
+    monkeypatch.setattr(toxicity, "PART", 100)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    codes = toxicity.Codes(model)
+    parts = {i: (round(model.score(f), 9), len(model.spans(f))) for i, t in enumerate(texts) for f in model.marginals([t], codes)}
+    assert whole == parts and whole[20][1] == 1
+
+
+def test_short_benchmark_items_count_as_whole_lines(spark):
+    items = [(1, "Zebra"), (2, "two words"), (3, "two words"), (4, "..."), (5, "one two three four five")]
+    docs = spark.createDataFrame([(1, "a zebra ran"), (2, "x\n ZEBRA! \nzebra"), (3, "two  words\n\nzebra"), (4, "a two words b"), (5, "so one two three four five it is")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(9))
+    got = sorted((r.doc_id, r.item_id, r.distance, r.start_word, r.end_word) for r in decontam.find_items(docs, bench).collect())
+    assert got == [(2, 1, 0, 1, 2), (3, 1, 0, 2, 3), (3, 2, 0, 0, 2), (3, 3, 0, 0, 2), (5, 5, 0, 1, 6)]
+    assert sorted(r.doc_id for r in decontam.keep_clean(docs, bench).collect()) == [1, 4]
+
+
+def test_licences_in_documents(spark):
+    plain = "the river ran past the house and on\nthrough the field"
+    notices = {1: "Released under the MIT License.", 2: "SPDX-License-Identifier: Apache-2.0", 3: "This work is licensed under CC BY-NC 4.0.", 4: "Licensed under the European Union Public Licence 1.2."}
+    families = {1: "MIT", 2: "Apache-2.0", 3: "CC-BY-NC", 4: "EUPL-1.2"}
+    rows = [(i, f"{plain}\n{n}\n{plain}") for i, n in notices.items()] + [(5, licenses.TEXTS["ISC"][0]), (6, plain), (7, None), (1, plain)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, findings string, family int")
+    got = [(r.doc_id, [(f.family, f.start, f.end, f.probability > 0.5 and f.similarity >= 0.6) for f in r.findings]) for r in licenses.scan(docs).collect()]
+    start = len(plain) + 1
+    want = [(i, [(families[i], start, start + len(n), True)]) for i, n in notices.items()] + [(5, [("ISC", 0, len(licenses.TEXTS["ISC"][0]), True)]), (6, []), (7, []), (1, [])]
+    assert sorted(got) == sorted(want)
+
+
+def test_lines_beside_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a common line here", "r", 5, b"k"), (2, "a common line here\nx", "s", 6, b"l")], "doc_id long, text string, row string, dropped int, bitmap binary").withColumns({"ql_doc": F.lit(1), "doc": F.lit(2), "own": F.lit(3), "a.b": F.lit(4)})
+    got = {r.doc_id: r for r in lines.deduplicate_lines(docs).collect()}
+    assert got[2].text == "x" and got[2].ql_n_dropped == 1 and (got[2].row, got[2].dropped, got[2]["a.b"]) == ("s", 6, 4) and got[1].text == "a common line here"
+    with pytest.raises(ValueError):
+        lines.deduplicate_lines(docs.withColumn("ql_n_lines", F.lit(1)))
+
+
+def test_repeats_shared_by_very_many_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()}
+    assert got == {i: 40 if i else 0 for i in range(300)}
