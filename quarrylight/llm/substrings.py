@@ -33,7 +33,7 @@ WIDTH = 13
 ROUNDS = 4
 SALTS = 64
 #: Bytes of text per block of the parse; a longer document is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -210,14 +210,17 @@ def window_hashes(width: int):
             for names, rows in hashed_words(batch.column(2), (0, 1)):
                 first, second = (rolling(x, width) for x in names)
                 begins = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1, [len(rows)]])
+                places, firsts = [], []
                 for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist()):
-                    i = int(rows[begin])
-                    some = np.unique(spots[i].values.to_numpy(zero_copy_only=False))
+                    some = spots[int(rows[begin])].values.to_numpy(zero_copy_only=False)
                     start, n = some // SPAN, some % SPAN
                     at = np.unique(np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
                     at = at[at + width <= end - begin]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(first[begin + at].view(np.int64)), pa.array(second[begin + at].view(np.int64)), pa.array(np.full(len(at), docs[i])), pa.array(np.full(len(at), own[i])), pa.array(at.astype(np.int32))], ["h1", "h2", "doc", "row", "pos"])
+                    places.append(begin + at)
+                    firsts.append(np.full(len(at), begin))
+                at, begin = np.concatenate(places), np.concatenate(firsts)
+                own_rows = rows[at]
+                yield pa.RecordBatch.from_arrays([pa.array(first[at].view(np.int64)), pa.array(second[at].view(np.int64)), pa.array(docs[own_rows]), pa.array(own[own_rows]), pa.array((at - begin).astype(np.int32))], ["h1", "h2", "doc", "row", "pos"])
 
     return run
 
