@@ -29,6 +29,32 @@ def key_of(*parts: str) -> str:
     return hashlib.sha256("".join(parts).encode()).hexdigest()[:12]
 
 
+TEXT, WHOLE, TEXTS = "string", "integer", "array"
+#: Tools with their arguments: name -> (description, {argument: (type, what it
+#: is)}, required arguments). Names and types are what clients send.
+TOOLS = {
+    "get_context": ("The ranked and budgeted document about a file.", {"file": (TEXT, "path in the repository"), "line": (WHOLE, "functions near this line come first")}, ["file"]),
+    "get_function": ("All that is known of a function, with its source.", {"id": (TEXT, "path::name")}, ["id"]),
+    "search": ("Files by full text, then files and functions by substring.", {"query": (TEXT, "what to look for"), "limit": (WHOLE, "10 by default, 50 at most")}, ["query"]),
+    "get_dangers": ("Recorded dangers.", {"scope": (TEXT, "a path; global ones are always shown")}, []),
+    "get_decisions": ("Recorded decisions with what was rejected.", {"scope": (TEXT, "a path; global ones are always shown")}, []),
+    "get_callers": ("The functions that call a function.", {"function_id": (TEXT, "path::name")}, ["function_id"]),
+    "get_tainted": ("Functions that depend on something changed.", {"file": (TEXT, "only those of a file")}, []),
+    "ctx_status": ("Figures of the index.", {}, []),
+    "update_file": ("Describes a file; it counts as fresh then.", {c: (TEXT, f"the file's {c.replace('_', ' ')}") for c in ("file", "purpose", "summary", "danger", "last_change", "system")}, ["file"]),
+    "update_function": ("Describes a function; it counts as fresh and untainted then.", {**{c: (TEXT, f"the function's {c.replace('_', ' ')}") for c in ("id", "summary", "summary_long", "danger")}, "mutates": (TEXTS, "what it changes")}, ["id"]),
+    "add_danger": ("Records a danger.", {"scope": (TEXT, "a path, or * for all"), "description": (TEXT, "the danger"), "reason": (TEXT, "why")}, ["description"]),
+    "remove_danger": ("Removes a danger that a model has added.", {"id": (TEXT, "its id")}, ["id"]),
+    "add_decision": ("Records a decision.", {"scope": (TEXT, "a path, or * for all"), "decision": (TEXT, "what was decided"), "alternatives": (TEXT, "what was rejected"), "reason": (TEXT, "why")}, ["decision"]),
+    "log_session": ("Adds to the log of sessions, of which the last 10 stay.", {"entry": (TEXT, "what was done"), "files_touched": (TEXTS, "paths")}, ["entry"]),
+    "log_change": ("Adds to the changes of a file, of which the last 20 stay.", {"file": (TEXT, "path"), "summary": (TEXT, "one sentence")}, ["file", "summary"]),
+    "mark_tainted": ("Marks a function as suspect and queues it.", {"function_id": (TEXT, "path::name"), "taint_source": (TEXT, "what has changed")}, ["function_id", "taint_source"]),
+    "clear_taint": ("Clears a function after review.", {"function_id": (TEXT, "path::name")}, ["function_id"]),
+    "update_summary": ("Summarises a file or a function; it counts as fresh then.", {"type": (TEXT, "file (default) or function"), "id": (TEXT, "path or path::name"), "summary": (TEXT, "short text"), "summary_long": (TEXT, "long text; a file's purpose")}, ["id", "summary"]),
+    "plan": ("Adds a plan to the log of sessions.", {"plan": (TEXT, "the plan"), "files_touched": (TEXTS, "paths")}, ["plan"]),
+}
+
+
 class CodeIndex:
     """All tools over one store; root is the repository it describes."""
 
@@ -46,7 +72,8 @@ class CodeIndex:
             except Exception as problem:  # noqa: BLE001
                 return f"Error: {problem}"
         if name in self.WRITE:
-            return getattr(self, name)(**arguments)
+            with self.store.lock:
+                return getattr(self, name)(**arguments)
         return f"Error: unknown tool '{name}'."
 
     def row(self, table: str, **keys):
@@ -103,7 +130,7 @@ class CodeIndex:
         return "\n".join(f"[{r['scope'] or '*'}] {r['description']}" + (f" — {r['reason']}" if r["reason"] else "") for r in self.scoped("dangers", scope)) or "No dangers."
 
     def get_decisions(self, scope: str | None = None) -> str:
-        return "\n".join(f"[{r['scope'] or '*'}] {r['decision']} — {r['reason']}" + (f" (instead of {r['alternatives']})" if r["alternatives"] else "") for r in self.scoped("decisions", scope)) or "No decisions."
+        return "\n".join(f"[{r['scope'] or '*'}] {r['decision']}" + (f" — {r['reason']}" if r["reason"] else "") + (f" (instead of {r['alternatives']})" if r["alternatives"] else "") for r in self.scoped("decisions", scope)) or "No decisions."
 
     def get_callers(self, function_id: str | None = None) -> str:
         if error := need(function_id=function_id):
@@ -134,34 +161,35 @@ class CodeIndex:
         """Non-empty texts replace what is there."""
         self.merge(table, key, value, **{c: t for c, t in texts.items() if t}, **fixed)
 
-    def update_file(self, file=None, purpose=None, summary=None, danger=None) -> str:
+    def update_file(self, file=None, purpose=None, summary=None, danger=None, last_change=None, system=None) -> str:
         if error := need(file=file):
             return error
         if self.row("files", path=file) is None:
             return f"Error: file '{file}' is not indexed."
-        self.patch_row("files", "path", file, {"purpose": purpose, "summary": summary, "danger": danger}, confidence=1.0, is_stale=False, updated_at=self.now())
+        self.patch_row("files", "path", file, {"purpose": purpose, "summary": summary, "danger": danger, "last_change": last_change, "system": system}, confidence=1.0, is_stale=False, updated_at=self.now())
         return f"Updated file '{file}'."
 
     def untaint(self, function_id: str) -> None:
         queue = self.store.read("taint_queue")
         self.store.commit({"taint_queue": queue.filter(F.col("function_id") != function_id)})
 
-    def update_function(self, id=None, summary=None, summary_long=None, danger=None) -> str:
+    def update_function(self, id=None, summary=None, summary_long=None, danger=None, mutates=None) -> str:
         if error := need(id=id):
             return error
         if self.row("functions", id=id) is None:
             return f"Error: function '{id}' is not indexed."
-        self.patch_row("functions", "id", id, {"summary": summary, "summary_long": summary_long, "danger": danger}, confidence=1.0, is_stale=False, is_tainted=False, taint_source=F.lit(None), updated_at=self.now())
+        fixed = {} if mutates is None else {"mutates": F.array(*map(F.lit, mutates)).cast("array<string>")}
+        self.patch_row("functions", "id", id, {"summary": summary, "summary_long": summary_long, "danger": danger}, confidence=1.0, is_stale=False, is_tainted=False, taint_source=F.lit(None), updated_at=self.now(), **fixed)
         self.untaint(id)
         return f"Updated function '{id}'."
 
-    def update_summary(self, target=None, summary=None, summary_long=None) -> str:
+    def update_summary(self, type="file", id=None, summary=None, summary_long=None) -> str:
         """A file's summary (and with a long text its purpose), or a function's."""
-        if error := need(target=target, summary=summary):
+        if error := need(id=id, summary=summary):
             return error
-        if self.row("files", path=target) is not None:
-            return self.update_file(target, purpose=summary_long, summary=summary)
-        return self.update_function(target, summary=summary, summary_long=summary_long)
+        if type == "function":
+            return self.update_function(id, summary=summary, summary_long=summary_long)
+        return self.update_file(id, purpose=summary_long, summary=summary)
 
     def add(self, table: str, row: tuple, what: str) -> str:
         old = self.store.read(table)
@@ -187,7 +215,7 @@ class CodeIndex:
         return f"Danger removed: {id}"
 
     def add_decision(self, decision=None, reason=None, scope="*", alternatives=None) -> str:
-        if error := need(decision=decision, reason=reason):
+        if error := need(decision=decision):
             return error
         return self.add("decisions", (key_of(scope, decision), scope, decision, alternatives, reason, "model", self.now()), "Decision")
 
@@ -211,17 +239,17 @@ class CodeIndex:
         self.store.commit({"changes": retention.latest_per_key(rows, "file", "timestamp", "commit_hash", retention.CHANGES).drop("pos")})
         return f"Change of '{file}' logged."
 
-    def mark_tainted(self, function_id=None, source=None) -> str:
-        if error := need(function_id=function_id):
+    def mark_tainted(self, function_id=None, taint_source=None) -> str:
+        if error := need(function_id=function_id, taint_source=taint_source):
             return error
         r = self.row("functions", id=function_id)
         if r is None:
             return f"Error: function '{function_id}' is not indexed."
         if r["is_tainted"]:
             return f"Function '{function_id}' is tainted already."
-        self.merge("functions", "id", function_id, is_tainted=True, taint_source=F.lit(source))
+        self.merge("functions", "id", function_id, is_tainted=True, taint_source=F.lit(taint_source))
         queue = self.store.read("taint_queue")
-        self.store.commit({"taint_queue": delta.insert_or_ignore(queue, self.frame("taint_queue", (function_id, source, self.now(), 0)), ["function_id"])})
+        self.store.commit({"taint_queue": delta.insert_or_ignore(queue, self.frame("taint_queue", (function_id, taint_source, self.now(), 0)), ["function_id"])})
         return f"Function '{function_id}' marked as tainted."
 
     def clear_taint(self, function_id=None) -> str:
@@ -234,7 +262,7 @@ class CodeIndex:
         self.untaint(function_id)
         return f"Taint of '{function_id}' cleared."
 
-    def apply_answers(self, answers: DataFrame, column: str = "answer") -> DataFrame:
+    def apply_answers(self, answers: DataFrame, column: str = "answer", confidence: float = 1.0) -> DataFrame:
         """Merges a summariser's answers; returns the errors."""
         from quarrylight.operators.summaries import parsed_answers
 
@@ -252,8 +280,8 @@ class CodeIndex:
 
         queue = self.store.read("taint_queue").join(u.select(F.col("id").alias("function_id")), "function_id", "left_anti")
         self.store.commit({
-            "files": merged(files, f, "path", ["purpose", "summary", "danger"], {"confidence": 1.0, "is_stale": False}),
-            "functions": merged(functions, u, "id", ["summary", "summary_long", "danger"], {"confidence": 1.0, "is_stale": False, "is_tainted": False, "taint_source": None}),
+            "files": merged(files, f, "path", ["purpose", "summary", "danger"], {"confidence": confidence, "is_stale": False}),
+            "functions": merged(functions, u, "id", ["summary", "summary_long", "danger"], {"confidence": confidence, "is_stale": False, "is_tainted": False, "taint_source": None}),
             "taint_queue": queue,
         })
         errors = rows.filter("error IS NOT NULL").select("error")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.scratch import settle
+
 DAMPING, ITERATIONS = 0.85, 5
 TOP, COMPRESS = 12, 15
 
@@ -75,22 +77,17 @@ def ranked_dependents(scores: DataFrame, candidates: DataFrame, fan_ins: DataFra
     return best.join(fan_ins, node, "left").select(node, F.round("score", 6).alias("score"), F.coalesce("fan_in", F.lit(0)).cast("long").alias("fan_in"), (F.coalesce("fan_in", F.lit(0)) > threshold).alias("compressed"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df without its lineage; in the checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def ancestor_closure(parents: DataFrame, child: str, parent: str, depth: int | None = None) -> DataFrame:
     """node, ancestor, distance for chains of up to ``depth`` steps, or of any
     length; a node is no ancestor of itself, so loops are harmless. One join a
-    step until a step adds no pair; each is checkpointed."""
+    step until a step adds no pair; each is written to the shared folder."""
     step = parents.select(F.col(child).alias("a"), F.col(parent).alias("b")).filter("b IS NOT NULL AND a <> b").distinct()
-    level = checkpointed(step.select(F.col("a").alias("node"), F.col("b").alias("ancestor"), F.lit(1).alias("distance")))
+    level = settle(step.select(F.col("a").alias("node"), F.col("b").alias("ancestor"), F.lit(1).alias("distance")), "closure")
     out, d = level, 1
     while (depth is None or d < depth) and not level.isEmpty():
         d += 1
         further = level.join(step, F.col("ancestor") == F.col("a")).filter("node <> b").select("node", F.col("b").alias("ancestor"), F.lit(d).alias("distance")).distinct()
-        level = checkpointed(further.join(out, ["node", "ancestor"], "left_anti"))
+        level = settle(further.join(out, ["node", "ancestor"], "left_anti"), "closure")
         out = out.unionByName(level)
     return out
 
@@ -107,9 +104,22 @@ def first_rule(*rules: DataFrame, key: list[str], value: str, name: str = "rule"
 
 
 def by_unique_name(nodes: DataFrame, key: str, name: str, most: int = 5) -> DataFrame:
-    """name -> target where one node has it; else the first candidates."""
-    agg = nodes.groupBy(name).agg(F.count("*").alias("n_matches"), F.min(key).alias("least"), F.array_sort(F.collect_set(key)).alias("all"))
-    return agg.select(name, "n_matches", F.when(F.col("n_matches") == 1, F.col("least")).alias("target"), (F.col("n_matches") > 1).alias("is_ambiguous"), F.slice("all", 1, most).alias("candidates"))
+    """name -> target where one node has it; else the first candidates. Of a
+    name that very many nodes have no more than ``most`` keys a task are moved."""
+    counts = nodes.groupBy(name).agg(F.count("*").alias("n_matches"), F.min(key).alias("least"))
+    rank = F.row_number().over(Window.partitionBy("_name").orderBy(key))
+    first = nodes.select(F.col(name).alias("_name"), key).distinct().withColumn("_rank", rank).filter(F.col("_rank") <= most)
+    lists = first.groupBy("_name").agg(F.array_sort(F.collect_list(key)).alias("candidates"))
+    joined = counts.join(lists, F.col(name).eqNullSafe(F.col("_name")), "left")
+    return joined.select(name, "n_matches", F.when(F.col("n_matches") == 1, F.col("least")).alias("target"), (F.col("n_matches") > 1).alias("is_ambiguous"), F.coalesce("candidates", F.array().cast(lists.schema["candidates"].dataType)).alias("candidates"))
+
+
+def rebuild_scope(edges: DataFrame, callers: DataFrame, callees: DataFrame, caller_col: str, callee_col: str) -> DataFrame:
+    """id of every caller whose edges must be made again: the callers that are
+    in ``callers`` themselves and those of anything in ``callees``, once each."""
+    own = edges.join(callers.select(caller_col).distinct(), caller_col, "left_semi")
+    others = edges.join(callees.select(callee_col).distinct(), callee_col, "left_semi")
+    return own.select(F.col(caller_col).alias("id")).unionByName(others.select(F.col(caller_col).alias("id"))).distinct()
 
 
 def first_candidate(wanted: DataFrame, key: str, candidates: Column, known: DataFrame, known_col: str, name: str = "resolved") -> DataFrame:

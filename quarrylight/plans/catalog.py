@@ -7,35 +7,18 @@ files, events are changes, page URLs are paths.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import scalar as S
 from quarrylight.operators import batches, calls, delta, graph, imports, retention, rollup, search, taint
+from quarrylight.plans import code_catalog  # noqa: F401 - registers its queries
+from quarrylight.plans.registry import ORACLE, QUERIES, load, query
+from quarrylight.scratch import settle
 from quarrylight.sources.extract import extract
 from quarrylight.streaming import debounce
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def take(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return take
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLE", "QUERIES"]
 
 # --- graph -----------------------------------------------------------------
 
@@ -140,7 +123,7 @@ FROM c JOIN s5 ON s5.node = c.node LEFT JOIN f ON f.node = c.node ORDER BY round
 )
 def ranked_dependents(spark, d):
     """Flagship: the best-ranked neighbours of a node, with fan-in compression."""
-    edges = part_graph(spark, d)
+    edges = settle(part_graph(spark, d), "part-graph")
     nodes = load(spark, d, "part").select(F.col("p_partkey").alias("node"))
     near = edges.filter("src = 7").select(F.col("dst").alias("node")).unionByName(edges.filter("dst = 7").select(F.col("src").alias("node"))).distinct()
     fan = graph.fan_in(edges, "dst").withColumnRenamed("dst", "node")
@@ -175,13 +158,13 @@ def removed_snapshot_taint(spark, d):
 @query("""
 WITH RECURSIVE p AS (SELECT DISTINCT c_custkey AS a, (c_custkey // 3)::BIGINT AS b FROM customer WHERE c_custkey <> c_custkey // 3),
 c(node, ancestor, distance) AS (
-  SELECT a, b, 1 FROM p UNION ALL SELECT c.node, p.b, c.distance + 1 FROM c JOIN p ON p.a = c.ancestor WHERE c.distance < 4
+  SELECT a, b, 1 FROM p UNION ALL SELECT c.node, p.b, c.distance + 1 FROM c JOIN p ON p.a = c.ancestor
 )
 SELECT node, ancestor, min(distance)::INT AS distance FROM c GROUP BY 1, 2
 """)
 def ancestor_closure(spark, d):
     parents = load(spark, d, "customer").select(F.col("c_custkey").alias("child"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"))
-    return graph.ancestor_closure(parents, "child", "parent", 4)
+    return graph.ancestor_closure(parents, "child", "parent")
 
 
 @query("""
@@ -232,7 +215,7 @@ def candidate_resolution(spark, d):
 
 OLD_DOCS = """
 SELECT doc_id, sha256(text || CASE WHEN lang = 'de' THEN ' ' ELSE '' END) AS content_hash,
-  sha256(CASE WHEN n_chars > 4000 THEN substr(text, 1, 40) || '!' ELSE text END) AS semantic_hash FROM documents WHERE lang <> 'fr'"""
+  sha256(CASE WHEN n_chars > 4000 THEN text || '!' ELSE text END) AS semantic_hash FROM documents WHERE lang <> 'fr'"""
 NEW_DOCS = "SELECT doc_id, sha256(text) AS content_hash, sha256(text) AS semantic_hash FROM documents WHERE source <> 'src3'"
 
 
@@ -244,7 +227,7 @@ def document_states(spark, d) -> tuple[DataFrame, DataFrame]:
     old = docs.filter("lang <> 'fr'").select(
         "doc_id",
         S.content_hash(F.concat("text", F.when(F.col("lang") == "de", " ").otherwise(""))).alias("content_hash"),
-        S.content_hash(F.when(F.col("n_chars") > 4000, F.concat(F.substring("text", 1, 40), F.lit("!"))).otherwise(F.col("text"))).alias("semantic_hash"),
+        S.content_hash(F.when(F.col("n_chars") > 4000, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("semantic_hash"),
     )
     new = docs.filter("source <> 'src3'").select("doc_id", S.content_hash(F.col("text")).alias("content_hash"), S.content_hash(F.col("text")).alias("semantic_hash"))
     return old, new
@@ -311,13 +294,23 @@ def content_hash_dupes(spark, d):
     return load(spark, d, "documents").groupBy(S.content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
 
 
-@query("""
-SELECT sha256(array_to_string(list_transform(string_split(substr(text, 1, 40), ' '), lambda x: lower(x)), ' ')) AS semantic_hash,
-  count(*)::BIGINT AS n, count(DISTINCT sha256(text))::BIGINT AS n_contents FROM documents GROUP BY 1 HAVING count(DISTINCT sha256(text)) > 1
-""")
+@query(r"""
+WITH v AS (SELECT text FROM documents UNION ALL SELECT replace(text, ' ', '  ') FROM documents WHERE lang = 'de' UNION ALL SELECT text || chr(10) FROM documents WHERE lang = 'fr'),
+h AS (
+  SELECT sha256(array_to_string(list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ')) AS semantic_hash,
+    sha256(coalesce(text, '')) AS content FROM v
+)
+SELECT semantic_hash, count(*)::BIGINT AS n, count(DISTINCT content)::BIGINT AS n_contents FROM h GROUP BY 1
+""".replace("\\\\", "\\"))
 def semantic_hash_groups(spark, d):
-    tokens = F.transform(F.split(F.substring("text", 1, 40), " "), F.lower)
-    return load(spark, d, "documents").groupBy(S.token_hash(tokens).alias("semantic_hash")).agg(F.count("*").alias("n"), F.countDistinct(S.content_hash(F.col("text"))).alias("n_contents")).filter("n_contents > 1")
+    """Whole texts, and German and French ones laid out in another way: case and
+    white space do not matter."""
+    docs = load(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("text"), "lang")
+    spaced = docs.filter("lang = 'de'").select(F.replace("text", F.lit(" "), F.lit("  ")).alias("text"))
+    ended = docs.filter("lang = 'fr'").select(F.concat("text", F.lit("\n")).alias("text"))
+    rows = docs.select("text").unionByName(spaced).unionByName(ended)
+    tokens = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return rows.groupBy(S.token_hash(tokens).alias("semantic_hash")).agg(F.count("*").alias("n"), F.countDistinct(S.content_hash(F.col("text"))).alias("n_contents"))
 
 
 @query("SELECT n_nationkey, substr(sha256(n_name || n_regionkey::VARCHAR), 1, 12) AS id FROM nation")
@@ -401,10 +394,16 @@ def directory_rollup(spark, d):
 
 
 @query(f"""
-SELECT page_id, array_to_string(list_filter(string_split('a/./b/../' || {PATHS} || '/x/..', '/'), lambda x: x NOT IN ('', '.', '..', 'b', 'x')), '/') AS path FROM pages
+WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a/./b/../' || {PATHS} || '/x/..' WHEN 1 THEN '../../' || {PATHS} || '//y/.' WHEN 2 THEN {PATHS} || '/../../../z' ELSE '/' || {PATHS} END AS path FROM pages),
+s AS (SELECT page_id, list_concat([['']], list_transform(string_split(path, '/'), lambda x: [x])) AS steps FROM p)
+SELECT page_id, array_to_string(list_filter(list_reduce(steps, lambda done, x:
+  CASE WHEN x[1] IN ('', '.') THEN done WHEN x[1] = '..' THEN done[1:greatest(len(done) - 1, 1)] ELSE list_concat(done, x) END), lambda x: x <> ''), '/') AS path FROM s
 """)
 def path_normalise(spark, d):
-    return url_paths(spark, d).select("page_id", S.normal_path(F.concat(F.lit("a/./b/../"), F.col("path"), F.lit("/x/.."))).alias("path"))
+    """Folds of dots inside, above and at the end of paths."""
+    p, k = F.col("path"), F.col("page_id") % 4
+    odd = F.when(k == 0, F.concat(F.lit("a/./b/../"), p, F.lit("/x/.."))).when(k == 1, F.concat(F.lit("../../"), p, F.lit("//y/."))).when(k == 2, F.concat(p, F.lit("/../../../z"))).otherwise(F.concat(F.lit("/"), p))
+    return url_paths(spark, d).select("page_id", S.normal_path(odd).alias("path"))
 
 
 @query(f"""
@@ -651,9 +650,10 @@ UNION SELECT l_partkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM s
 def rebuild_scope(spark, d):
     """Callers in changed files and callers of anything in them, once each."""
     l = load(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
-    own = l.filter("l_returnflag = 'R'").join(load(spark, d, "part").filter("p_size < 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-    others = l.join(load(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_semi")
-    return own.select(F.col("l_partkey").alias("id")).unionByName(others.select(F.col("l_partkey").alias("id"))).distinct()
+    small = load(spark, d, "part").filter("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
+    callers = l.filter("l_returnflag = 'R'").join(small, "l_partkey", "left_semi")
+    callees = load(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return graph.rebuild_scope(l, callers, callees, "l_partkey", "l_suppkey")
 
 
 @query("""

@@ -24,10 +24,14 @@ def tag(row) -> str:
 def heading(row, short: bool = False) -> list[str]:
     """A file's header."""
     out = [f"## {row['path']}{tag(row)}"]
+    if row["system"]:
+        out.append(f"System: {row['system']}")
     if row["purpose"]:
         out.append(f"Purpose: {row['purpose']}")
     if row["danger"]:
         out.append(f"DANGER: {row['danger']}")
+    if row["last_change"]:
+        out.append(f"Last change: {row['last_change']}")
     if not short:
         if row["summary"]:
             out.append(f"Summary: {row['summary']}")
@@ -44,7 +48,7 @@ def function_lines(row, short: bool = False) -> list[str]:
     if text:
         out.append(f"  {text}")
     if row["mutates"]:
-        out.append("  Mutates: " + ", ".join(row["mutates"][:8]))
+        out.append("  Mutates: " + ", ".join(row["mutates"]))
     if row["danger"]:
         out.append(f"  DANGER: {row['danger']}")
     return out
@@ -54,9 +58,9 @@ def guardrails(store: IndexStore, path: str, deps: list[str], compact: bool = Fa
     """Zone 3: the project, the tree around the file, dangers, decisions and,
     unless compact, the last sessions."""
     files, dirs = store.read("files"), store.read("directories")
-    systems = rollup.group_counts(files, "system").orderBy(F.desc("n"), "system").limit(20).collect()
+    systems = rollup.group_counts(files, "system").orderBy(F.desc("n"), "system").collect()
     out = ["# Project", ", ".join(f"{r['system']}: {r['n']} files" for r in systems) or f"{files.count()} files"]
-    tree = rollup.folded_tree(files.select("path"), path, directories=dirs.select("path", "summary")).orderBy("kind", "entry").limit(200).collect()
+    tree = rollup.folded_tree(files.select("path"), path, directories=dirs.select("path", "summary")).orderBy("kind", "entry").collect()
     out += [r["entry"] for r in tree]
     dangers = store.read("dangers").filter(F.col("scope").isNull() | F.col("scope").isin("*", path, *deps)).orderBy("scope", "id").collect()
     if dangers:
@@ -172,13 +176,14 @@ def status_text(figures: dict) -> str:
 
 
 def search_rows(store: IndexStore, query: str, limit: int) -> list[tuple[str, str]]:
-    """(id, text) of files by rank, then files and functions by substring."""
+    """(id, text) of files by rank in the kept index, then files and functions by
+    substring."""
     from quarrylight.operators import search
 
     limit = min(limit or search.LIMIT, search.MOST)
     files, functions = store.read("files"), store.read("functions")
     found: list[tuple[str, str]] = []
-    for r in search.bm25(files, query, "path", ["path", "purpose", "summary"], limit).join(files.select("path", "purpose"), "path", "left").orderBy(F.desc("score"), "path").collect():
+    for r in search.bm25_indexed(store.read("postings"), query, "path", limit).join(files.select("path", "purpose"), "path", "left").orderBy(F.desc("score"), "path").collect():
         found.append((r["path"], r["purpose"] or ""))
     if not found:
         found += [(r["path"], r["purpose"] or "") for r in search.contains(files, query, ["purpose", "summary"]).orderBy("path").limit(limit).collect()]

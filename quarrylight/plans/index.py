@@ -16,6 +16,8 @@ from quarrylight.store import IndexStore
 
 FILE_META = ["system", "purpose", "summary", "danger", "last_change"]
 FUNCTION_META = ["summary", "summary_long", "danger", "is_tainted", "taint_source"]
+#: Errors that a report shows; ``failed`` counts all of them.
+SHOWN = 100
 
 
 @dataclass
@@ -33,6 +35,11 @@ class Report:
     tainted: int = 0
     edges: int = 0
     unresolved: int = 0
+    failed: int = 0
+    #: Files with changed or new functions; of a run over named files, also the
+    #: ids of these functions.
+    touched: list[str] = field(default_factory=list)
+    functions_touched: list[str] = field(default_factory=list)
 
 
 def utc_now() -> dt.datetime:
@@ -113,11 +120,16 @@ def run(spark: SparkSession, root: str, store: IndexStore, full: bool = True, ta
     counts = diff.groupBy("status").agg(F.count("*").alias("n")).collect()
     by = {r.status: r.n for r in counts}
     total = call_graph.agg(F.count("*").alias("n"), F.count_if(F.col("callee_id").isNull()).alias("open")).first()
+    hit = diff.filter("status IN ('changed', 'new')").select("id", F.substring_index("id", "::", 1).alias("path"))
+    broken = parsed.filter("error IS NOT NULL").select("path", "error")
     report = Report(
         tracked=len(tracked),
         parsed=parsed.count(),
         reused=kept.count(),
-        errors=[(r.path, r.error) for r in parsed.filter("error IS NOT NULL").select("path", "error").orderBy("path").limit(100).collect()],
+        errors=[(r.path, r.error) for r in broken.orderBy("path").limit(SHOWN).collect()],
+        failed=broken.count(),
+        touched=[r.path for r in hit.select("path").distinct().orderBy("path").collect()],
+        functions_touched=[r.id for r in hit.orderBy("id").collect()] if only is not None else [],
         functions=sum(n for s, n in by.items() if s != "removed"),
         new=by.get("new", 0),
         changed=by.get("changed", 0),

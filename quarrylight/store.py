@@ -2,74 +2,81 @@
 
 A commit writes each changed table under a new version and then replaces the
 pointer file in one rename; readers see the old or the new state, never a mix.
+The postings of the full-text search follow the files in the same commit.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.schemas import TABLES, VERSION
+from quarrylight import scratch
+from quarrylight.operators import search
+from quarrylight.schemas import SEARCHED, TABLES, VERSION
 
 POINTER = "current.json"
 KEPT = 3
 
 
 class IndexStore:
-    """Tables under a folder that all executors reach."""
+    """Tables under a folder, or a URI, that all executors reach."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, os.path.abspath(root)
-        os.makedirs(self.root, exist_ok=True)
+        self.spark, self.staged = spark, []
+        self.root = root.rstrip("/") if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+        #: Held by whoever reads a table, changes it and commits it again.
+        self.lock = threading.RLock()
 
     def state(self) -> dict:
-        try:
-            with open(os.path.join(self.root, POINTER), encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"schema": VERSION, "tables": {}}
+        text = scratch.read_text(self.spark, f"{self.root}/{POINTER}")
+        return json.loads(text) if text else {"schema": VERSION, "tables": {}}
 
     def read(self, name: str) -> DataFrame:
         """The table as of the last commit; empty before the first."""
         version = self.state()["tables"].get(name)
         if version is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"file://{self.root}/{name}/{version}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}")
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
         """Writes all tables, then points at them at once."""
-        state, version = self.state(), uuid.uuid4().hex
-        for name, df in tables.items():
-            wanted = self.spark.createDataFrame([], TABLES[name]).columns
-            df.select(*wanted).write.mode("error").parquet(f"file://{self.root}/{name}/{version}")
-        state["schema"] = VERSION
-        state["tables"] |= dict.fromkeys(tables, version)
-        state["history"] = [*state.get("history", []), {n: version for n in tables}][-KEPT:]
-        temporary = os.path.join(self.root, f".{POINTER}.{version}")
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump(state, f)
-        os.replace(temporary, os.path.join(self.root, POINTER))
-        self.vacuum(state)
+        with self.lock:
+            state, version = self.state(), uuid.uuid4().hex
+            for name, df in tables.items():
+                wanted = self.spark.createDataFrame([], TABLES[name]).columns
+                df.select(*wanted).write.mode("error").parquet(f"{self.root}/{name}/{version}")
+            names = [*tables]
+            if "files" in tables:
+                files = self.spark.read.schema(TABLES["files"]).parquet(f"{self.root}/files/{version}")
+                # In the order of terms, so that a search reads few row groups.
+                search.postings(files, "path", SEARCHED).repartitionByRange("term").sortWithinPartitions("term", "path").write.parquet(f"{self.root}/postings/{version}")
+                names.append("postings")
+            state["schema"] = VERSION
+            state["tables"] |= dict.fromkeys(names, version)
+            state["history"] = [*state.get("history", []), {n: version for n in names}][-KEPT:]
+            scratch.replace_text(self.spark, f"{self.root}/{POINTER}", json.dumps(state))
+            self.vacuum(state)
 
     def stage(self, df: DataFrame) -> DataFrame:
-        """df written once and read back, so that what follows neither repeats
-        it nor carries its plan along."""
-        path = f"file://{self.root}/.stage/{uuid.uuid4().hex}"
+        """df written once to the shared folder and read back, so that what
+        follows neither repeats it nor carries its plan along."""
+        path = scratch.scratch_path(self.spark, "index")
+        self.staged.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear_stage(self) -> None:
-        shutil.rmtree(os.path.join(self.root, ".stage"), ignore_errors=True)
+        while self.staged:
+            scratch.remove(self.spark, self.staged.pop())
 
     def vacuum(self, state: dict) -> None:
         """Drops versions that neither the pointer nor recent history names."""
         keep = {(n, v) for h in [*state["history"], state["tables"]] for n, v in h.items()}
         for name in state["tables"]:
-            folder = os.path.join(self.root, name)
-            for version in os.listdir(folder) if os.path.isdir(folder) else ():
+            for version in scratch.children(self.spark, f"{self.root}/{name}"):
                 if (name, version) not in keep:
-                    shutil.rmtree(os.path.join(folder, version), ignore_errors=True)
+                    scratch.remove(self.spark, f"{self.root}/{name}/{version}")

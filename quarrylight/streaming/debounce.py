@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylight.scratch import scratch_path
+
 
 def event_filter(events: DataFrame, extensions: list[str], root: str = "", path: str = "path", is_directory: str = "is_directory") -> DataFrame:
     """Events of parseable files under the root. Batch or stream."""
@@ -14,37 +16,58 @@ def event_filter(events: DataFrame, extensions: list[str], root: str = "", path:
 
 def sessions(events: DataFrame, ts: str, path: str, gap: str, keys: list[str]) -> DataFrame:
     """keys, first_seen, n_events, paths: one row a flush, after ``gap`` of
-    quiet; without keys one timer serves all events. Batch or stream: partial
-    sessions are merged before the shuffle."""
+    quiet; without keys one timer serves all events. Partial sessions are merged
+    before the shuffle."""
     df = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    if not keys:
+        df = quiet_islands(df, gap)
     window = F.session_window("_ts", F.lit(gap))
-    grouped = df.groupBy(window.alias("session"), *keys) if keys else df.groupBy(window.alias("session"))
-    out = grouped.agg(F.min("_ts").alias("first_seen"), F.count("*").alias("n_events"), F.array_sort(F.collect_set(path)).alias("paths"))
+    out = df.groupBy(window.alias("session"), *(keys or ["_island"])).agg(F.min("_ts").alias("first_seen"), F.count("*").alias("n_events"), F.array_sort(F.collect_set(path)).alias("paths"))
     return out.select(*keys, "first_seen", "n_events", "paths")
 
 
+def quiet_islands(events: DataFrame, gap: str) -> DataFrame:
+    """events with ``_island``: numbers of stretches that at least one whole
+    interval of ``gap`` without an event divides. No session reaches from one to
+    another, so one timer for all events needs no single task. What is ordered in
+    one task are intervals with events: one row each, whatever their number."""
+    seconds = F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00' + INTERVAL {gap}) - unix_micros(timestamp'1970-01-01 00:00:00')")
+    slot = F.floor(F.unix_micros("_ts") / seconds).cast("long")
+    slots = events.select(slot.alias("_slot")).distinct()
+    order = Window.orderBy("_slot")
+    fresh = F.when(F.col("_slot") - F.lag("_slot").over(order) <= 1, 0).otherwise(1)
+    islands = slots.withColumn("_fresh", fresh).select("_slot", F.sum("_fresh").over(order).alias("_island"))
+    return events.withColumn("_slot", slot).join(islands, "_slot").drop("_slot")
+
+
 def stream_once(spark: SparkSession, path: str, schema, ts: str, name: str, gap: str, keys: list[str], delay: str = "10 seconds") -> DataFrame:
     """All sessions of the events now at path, from a stream that stops at the
     end of its input (AvailableNow), with watermark ``delay``.
 
-    Sessions that the watermark has not closed when the input ends are flushed
-    too: the sink gets updates, of which the last of a session counts.
+    Closed sessions are appended to files and leave the state. The sessions that
+    are open when the input ends are flushed by one more event, far behind the
+    last, which the stream reads from a file of its own; it closes all others and
+    stays open itself.
     """
-    import uuid
-
-    table = f"ql_stream_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).parquet(f"{path}*").withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    key = [F.col(k) for k in keys]
+    folder = scratch_path(spark, "sessions")
+    last = spark.read.schema(schema).parquet(f"{path}*").agg(F.max(F.col(ts).cast("timestamp")).alias("t"))
+    kinds = {f.name: f.dataType for f in schema}
+    end = [F.expr(f"t + INTERVAL {gap} + INTERVAL {delay} + INTERVAL 1 DAY").alias(c) if c == ts else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    last.select(*end).write.parquet(f"{folder}/end")
+    typed = [F.col(c).cast("timestamp").alias(c) if c == ts else F.col(c) for c in kinds]
+    own = spark.readStream.schema(schema).parquet(f"{path}*").select(*typed)
+    closing = spark.readStream.schema(spark.read.parquet(f"{folder}/end").schema).parquet(f"{folder}/end").select(*typed)
+    stream = own.unionByName(closing).withWatermark(ts, delay)
     window = F.session_window(ts, gap).alias("session")
-    out = stream.groupBy(window, *key).agg(F.min(ts).alias("first_seen"), F.count("*").alias("n_events"), F.array_sort(F.collect_set(name)).alias("paths")).select(*keys, F.col("session.end").alias("until"), "first_seen", "n_events", "paths")
-    query = out.writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).start()
+    out = stream.groupBy(window, *[F.col(k) for k in keys]).agg(F.min(ts).alias("first_seen"), F.count("*").alias("n_events"), F.array_sort(F.collect_set(name)).alias("paths")).select(*keys, "first_seen", "n_events", "paths")
+    query = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
         if query.exception():
             raise query.exception()
     finally:
         query.stop()
-    return spark.table(table).select(*keys, "first_seen", "n_events", "paths")
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 def classify(seen: DataFrame, index: DataFrame, path: str = "path") -> DataFrame:

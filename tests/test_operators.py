@@ -135,3 +135,36 @@ def test_debounce(spark):
     seen = spark.createDataFrame([("a", False, None, None), ("b", True, "c", "s"), ("c", True, "x", "s"), ("d", True, "x", "y"), ("e", True, "x", "y")], "path string, exists boolean, content_hash string, semantic_hash string")
     index = spark.createDataFrame([(p, "c", "s") for p in "abcd"], "path string, content_hash string, semantic_hash string")
     assert [r.action for r in debounce.classify(seen, index).orderBy("path").collect()] == ["deleted", "unchanged", "formatting", "reindex", "ignored"]
+
+
+def test_bm25_from_postings_agrees(spark):
+    docs = spark.createDataFrame([(1, "the cat the dog", "x"), (2, "Cat", None), (3, None, None), (4, "dog dog cat", "cat"), (5, "bird", "the")], "k int, text string, more string")
+    index = search.postings(docs, "k", ["text", "more"])
+    for q in ("cat", "the cat", "dog cat", "zebra", "", "c-a-t"):
+        want = [tuple(r) for r in search.bm25(docs, q, "k", ["text", "more"]).collect()]
+        assert [tuple(r) for r in search.bm25_indexed(index, q, "k").collect()] == want, q
+
+
+def test_islands_do_not_cut_sessions(spark):
+    import random
+
+    rng = random.Random(3)
+    times = sorted(rng.choice([0, 500, 503, 9000, 30_000]) + rng.randrange(0, 400) for _ in range(200))
+    df = spark.createDataFrame([(t, f"p{i % 7}") for i, t in enumerate(times)], "t long, path string").selectExpr("timestamp_seconds(t) AS ts", "path")
+    got = sorted((r.n_events, r.first_seen.timestamp()) for r in debounce.sessions(df, "ts", "path", "10 seconds", []).collect())
+    want, n, first, last = [], 0, None, None
+    for t in times:
+        if last is not None and t - last > 10:
+            want.append((n, float(first)))
+            n, first = 0, None
+        n, first, last = n + 1, t if first is None else first, t
+    want.append((n, float(first)))
+    assert got == sorted(want)
+
+
+def test_candidates_of_common_names_are_the_first(spark):
+    rows = [(f"f{i:03d}", "common") for i in range(300)] + [("a", "one"), ("b", None), ("c", None)]
+    df = spark.createDataFrame(rows, "id string, name string").repartition(5)
+    got = {r.name: r for r in graph.by_unique_name(df, "id", "name").collect()}
+    assert got["common"].candidates == [f"f{i:03d}" for i in range(5)] and got["common"].n_matches == 300 and got["common"].target is None
+    assert got["one"].target == "a" and got[None].candidates == ["b", "c"] and got[None].is_ambiguous
