@@ -1,62 +1,22 @@
-"""What the corpus operators share: the scratch folder and column helpers."""
+"""What the corpus operators share: input tables, slices of batches and column helpers."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.scratch import scratch_path, settle, shared_dir
+
+__all__ = ["SPACE", "SPACE_CHARS", "ascii_lower", "scratch_path", "settle", "shared_dir", "table", "text_parts"]
+
 #: The ASCII white space that separates words, as a character class.
 SPACE = r"\x20\x09-\x0D"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir`` of the session. Where that is unset, a
-    temporary folder serves in local mode; on a cluster that is an error,
-    since executors would not see each other's files.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/quarrylight/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return a read of it: lineage ends
-    there, so a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    # The result is in the shared folder, so this job's shuffle files may go.
-    before = spark.conf.get(CLEANUP, None)
-    try:
-        spark.conf.set(CLEANUP, "true")
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
