@@ -714,7 +714,7 @@ def extract_functions(spark, d):
 SELECT 's/c' || c_custkey || '.py' AS src, 's/nat' || c_nationkey || '.py' AS dst FROM customer
 """)
 def import_edges(spark, d):
-    return imports.resolve(extract(source_files(spark, d)))
+    return imports.resolve(settle(extract(source_files(spark, d)), "parsed"))
 
 
 @query("""
@@ -723,7 +723,7 @@ UNION ALL SELECT 's/c' || c_custkey || '.py::C.twice', 0, 'size', 's/c' || c_cus
 UNION ALL SELECT 's/c' || c_custkey || '.py::C.twice', 1, 'missing', NULL, false FROM customer
 """)
 def call_edges(spark, d):
-    files = extract(source_files(spark, d))
+    files = settle(extract(source_files(spark, d)), "parsed")
     functions = calls.function_ids(files)
     raw = files.select("path", F.explode("imports_raw").alias("i")).select("path", "i.module", "i.names", "i.alias")
     shown = files.select(F.col("path").alias("file"), F.explode("exports").alias("name"))

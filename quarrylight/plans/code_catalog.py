@@ -16,7 +16,7 @@ from quarrylight.functions import scalar as S
 from quarrylight.operators import calls, imports
 from quarrylight.plans import context, index
 from quarrylight.plans.registry import load, query
-from quarrylight.scratch import scratch_path
+from quarrylight.scratch import scratch_path, settle
 from quarrylight.sources import files as sources
 from quarrylight.sources import llm_client
 from quarrylight.sources.extract import extract
@@ -254,7 +254,7 @@ def edges_with(spark, d, language: str, others: list[DataFrame], go_module: str
     files = customer_files(spark, d, language)
     for other in others:
         files = files.unionByName(other)
-    return imports.resolve(extract(files), go_module)
+    return imports.resolve(settle(extract(files), "parsed"), go_module)
 
 
 @query("""
@@ -316,7 +316,7 @@ def call_rules(spark, d):
     only function of a name, several of them, none."""
     own = load(spark, d, "customer").select(F.concat(F.lit("src/o"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), filled("def only{k}():\n    return 1\n", k=F.col("c_custkey")).alias("content"))
     text = "def area(x):\n    return x\n\nclass Z:\n    def both(self):\n        return 1\n"
-    files = extract(customer_files(spark, d, "python").unionByName(own).unionByName(nation_files(spark, d, "src/nat{n}.py", text)))
+    files = settle(extract(customer_files(spark, d, "python").unionByName(own).unionByName(nation_files(spark, d, "src/nat{n}.py", text))), "parsed")
     functions = calls.function_ids(files)
     raw = files.select("path", F.explode("imports_raw").alias("i")).select("path", "i.module", "i.names", "i.alias")
     shown = files.select(F.col("path").alias("file"), F.explode("exports").alias("name"))
@@ -349,7 +349,7 @@ def semantic_hash_invariance(spark, d):
         rows = one if rows is None else rows.unionByName(one)
     n = F.regexp_extract("path", r"(\d+)\.py$", 1)
     hash_of = lambda f: F.filter("functions", lambda x: x["name"] == f)[0]["semantic_hash"]
-    found = extract(rows).select("path", n.alias("n"), "content_hash", "semantic_hash", hash_of("f").alias("f"), hash_of("g").alias("g"))
+    found = settle(extract(rows), "parsed").select("path", n.alias("n"), "content_hash", "semantic_hash", hash_of("f").alias("f"), hash_of("g").alias("g"))
     base = found.filter(F.col("path").startswith("v/base")).select("n", *[F.col(c).alias(f"b_{c}") for c in ("content_hash", "semantic_hash", "f", "g")])
     return found.join(base, "n").select("path", (F.col("semantic_hash") == F.col("b_semantic_hash")).alias("same_file"), (F.col("f") == F.col("b_f")).alias("same_f"), (F.col("g") == F.col("b_g")).alias("same_g"), (F.col("content_hash") == F.col("b_content_hash")).alias("same_bytes"))
 
