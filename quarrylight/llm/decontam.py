@@ -139,17 +139,18 @@ class Matcher:
         return best
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple]]:
-    """The test items, in blocks of at most ``limit`` characters (or one item)."""
-    out, held = [[]], 0
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
+    """The test items, in blocks of at most ``limit`` characters (or one item),
+    of which the driver holds one at a time; one empty block where there are none."""
+    block, held = [], 0
     for row in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).orderBy("i", "t").toLocalIterator():
         n = len(row.t or "")
-        if out[-1] and held + n > limit:
-            out.append([])
-            held = 0
-        out[-1].append((row.i, row.t))
+        if block and held + n > limit:
+            yield block
+            block, held = [], 0
+        block.append((row.i, row.t))
         held += n
-    return out
+    yield block
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
