@@ -73,16 +73,25 @@ def encode_bitmap(flips: Column) -> Column:
 
 def decode_bitmap(bitmap: Column) -> Column:
     """The flips that encode_bitmap wrote; null gives none."""
-    n = (F.octet_length(bitmap) / 4).cast("int")
-    found = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.hex(F.substring(bitmap, i * 4 - 3, F.lit(4))), 16, 10).cast("int"))
-    return F.when(n > 0, found).otherwise(F.array().cast("array<int>"))
+    found = F.transform(F.regexp_extract_all(F.hex(bitmap), F.lit("[0-9A-F]{8}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+    return F.coalesce(found, F.array().cast("array<int>"))
 
 
-def kept_lines(lines: Column, flips: Column) -> Column:
-    """The lines whose keep bit is 1, in order."""
-    bounds = F.concat(F.array(F.lit(0)), flips, F.array(F.size(lines)))
-    runs = F.sequence(F.lit(0), F.size(bounds) - 2, F.lit(2))
-    return F.flatten(F.transform(runs, lambda i: F.slice(lines, F.get(bounds, i) + 1, F.greatest(F.lit(0), F.get(bounds, i + 1) - F.get(bounds, i)))))
+def run_bounds(n_lines: Column, flips: Column) -> Column:
+    """The line numbers at which runs of kept and of dropped lines begin and end."""
+    return F.concat(F.array(F.lit(0)), flips, F.array(n_lines))
+
+
+def kept_lines(lines: Column, bounds: Column) -> Column:
+    """The lines whose keep bit is 1, in order. Both must be plain columns: what
+    a lambda refers to is computed anew for each run."""
+
+    def run(i):
+        first, after = F.get(bounds, i), F.get(bounds, i + 1)
+        return F.when(first < after, F.sequence(first, after - 1)).otherwise(F.array().cast("array<int>"))
+
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2, F.lit(2)), run))
+    return F.transform(kept, lambda i: F.get(lines, i))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, salts: int = SALTS) -> DataFrame:
@@ -114,10 +123,14 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own_text, own_id = F.col("own").getField(text_col), F.col("own").getField(id_col)
     joined = packed.join(bitmaps, (own_id == F.col("doc")) & (F.xxhash64(F.coalesce(own_text, F.lit(""))) == F.col("row")), "left")
     lines = split_lines(own_text)
-    text = F.when(F.col("bitmap").isNull(), F.coalesce(own_text, F.lit(""))).otherwise(F.array_join(kept_lines(lines, decode_bitmap(F.col("bitmap"))), "\n"))
-    return joined.select(
+    # Only texts that lose lines are held as lines, next to the bounds of runs.
+    cut = joined.select("own", "dropped", "bitmap", F.when(F.col("bitmap").isNotNull(), lines).alias("lines"))
+    cut = cut.select("own", "dropped", "bitmap", "lines", F.when(F.col("bitmap").isNotNull(), run_bounds(F.size("lines"), decode_bitmap(F.col("bitmap")))).alias("bounds"))
+    whole = F.col("bitmap").isNull()
+    text = F.when(whole, F.coalesce(own_text, F.lit(""))).otherwise(F.array_join(kept_lines(F.col("lines"), F.col("bounds")), "\n"))
+    return cut.select(
         *[text.alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in docs.columns],
-        F.size(lines).cast("long").alias("ql_n_lines"),
+        F.when(whole, F.size(lines)).otherwise(F.size("lines")).cast("long").alias("ql_n_lines"),
         F.coalesce("dropped", F.lit(0)).cast("long").alias("ql_n_dropped"),
         F.col("bitmap").alias("ql_keep_bitmap"),
     )

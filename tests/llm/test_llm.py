@@ -645,3 +645,12 @@ def test_repeats_shared_by_very_many_rows(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
     got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()}
     assert got == {i: 40 if i else 0 for i in range(300)}
+
+
+def test_lines_of_a_text_with_very_many_runs(spark):
+    n = 3000
+    shared, own = [f"shared line number {i}" for i in range(n)], [f"own line of the second {i}" for i in range(n)]
+    docs = spark.createDataFrame([(1, "\n".join(shared)), (2, "\n".join(x for pair in zip(shared, own) for x in pair))], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.deduplicate_lines(docs).collect()}
+    assert got[1].text == "\n".join(shared) and got[1].ql_keep_bitmap is None
+    assert got[2].text == "\n".join(own) and (got[2].ql_n_lines, got[2].ql_n_dropped) == (2 * n, n)
