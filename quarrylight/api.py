@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalar import source_slice
-from quarrylight.operators import delta, retention
+from quarrylight.operators import retention
 from quarrylight.plans import context
 from quarrylight.store import IndexStore
 
@@ -152,10 +152,15 @@ class CodeIndex:
 
     def merge(self, table: str, key: str, value: str, **columns) -> None:
         """Sets columns of one row."""
+        self.store.commit(rows={table: self.with_columns(table, key, value, columns)})
+
+    def with_columns(self, table: str, key: str, value: str, columns: dict) -> DataFrame:
         df = self.store.read(table)
-        hit = F.col(key) == value
-        out = df.select(*[F.when(hit, v if hasattr(v, "cast") else F.lit(v)).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if (v := columns.get(c, self)) is not self else F.col(c) for c in df.columns])
-        self.store.commit({table: out})
+        set_ = {c: (v if hasattr(v, "cast") else F.lit(v)).cast(df.schema[c].dataType) for c, v in columns.items()}
+        return df.filter(F.col(key) == value).select(*[set_[c].alias(c) if c in set_ else F.col(c) for c in df.columns])
+
+    def keys(self, column: str, *values: str) -> DataFrame:
+        return self.spark.createDataFrame([(v,) for v in values], f"{column} string")
 
     def patch_row(self, table: str, key: str, value: str, texts: dict, **fixed) -> None:
         """Non-empty texts replace what is there."""
@@ -169,18 +174,15 @@ class CodeIndex:
         self.patch_row("files", "path", file, {"purpose": purpose, "summary": summary, "danger": danger, "last_change": last_change, "system": system}, confidence=1.0, is_stale=False, updated_at=self.now())
         return f"Updated file '{file}'."
 
-    def untaint(self, function_id: str) -> None:
-        queue = self.store.read("taint_queue")
-        self.store.commit({"taint_queue": queue.filter(F.col("function_id") != function_id)})
-
     def update_function(self, id=None, summary=None, summary_long=None, danger=None, mutates=None) -> str:
         if error := need(id=id):
             return error
         if self.row("functions", id=id) is None:
             return f"Error: function '{id}' is not indexed."
         fixed = {} if mutates is None else {"mutates": F.array(*map(F.lit, mutates)).cast("array<string>")}
-        self.patch_row("functions", "id", id, {"summary": summary, "summary_long": summary_long, "danger": danger}, confidence=1.0, is_stale=False, is_tainted=False, taint_source=F.lit(None), updated_at=self.now(), **fixed)
-        self.untaint(id)
+        texts = {c: t for c, t in {"summary": summary, "summary_long": summary_long, "danger": danger}.items() if t}
+        row = self.with_columns("functions", "id", id, {**texts, **fixed, "confidence": 1.0, "is_stale": False, "is_tainted": False, "taint_source": F.lit(None), "updated_at": self.now()})
+        self.store.commit(rows={"functions": row}, gone={"taint_queue": self.keys("function_id", id)})
         return f"Updated function '{id}'."
 
     def update_summary(self, type="file", id=None, summary=None, summary_long=None) -> str:
@@ -192,10 +194,9 @@ class CodeIndex:
         return self.update_file(id, purpose=summary_long, summary=summary)
 
     def add(self, table: str, row: tuple, what: str) -> str:
-        old = self.store.read(table)
         known = self.row(table, id=row[0]) is not None
         if not known:
-            self.store.commit({table: delta.insert_or_ignore(old, self.frame(table, row), ["id"])})
+            self.store.commit(rows={table: self.frame(table, row)})
         return f"{what} {'already known' if known else 'added'}: {row[0]}"
 
     def add_danger(self, description=None, scope="*", reason=None) -> str:
@@ -211,7 +212,7 @@ class CodeIndex:
             return f"Error: no danger '{id}'."
         if r["added_by"] == "human":
             return f"Error: danger '{id}' was added by a human and stays."
-        self.store.commit({"dangers": self.store.read("dangers").filter(F.col("id") != id)})
+        self.store.commit(gone={"dangers": self.keys("id", id)})
         return f"Danger removed: {id}"
 
     def add_decision(self, decision=None, reason=None, scope="*", alternatives=None) -> str:
@@ -223,8 +224,9 @@ class CodeIndex:
         if error := need(entry=entry):
             return error
         touched = ", ".join(files_touched) if isinstance(files_touched, (list, tuple)) else files_touched
-        rows = self.store.read("session_log").unionByName(self.frame("session_log", (uuid.uuid4().hex, entry, touched, self.now())))
-        self.store.commit({"session_log": retention.latest(rows, "timestamp", "id", retention.SESSIONS)})
+        old, row = self.store.read("session_log"), self.frame("session_log", (uuid.uuid4().hex, entry, touched, self.now()))
+        kept = retention.latest(old.unionByName(row), "timestamp", "id", retention.SESSIONS)
+        self.store.commit(rows={"session_log": row}, gone={"session_log": old.join(kept.select("id"), "id", "left_anti")})
         return "Session logged."
 
     def plan(self, plan=None, files_touched=None) -> str:
@@ -235,8 +237,9 @@ class CodeIndex:
     def log_change(self, file=None, summary=None) -> str:
         if error := need(file=file, summary=summary):
             return error
-        rows = self.store.read("changes").unionByName(self.frame("changes", (file, uuid.uuid4().hex, summary, "model", self.now())))
-        self.store.commit({"changes": retention.latest_per_key(rows, "file", "timestamp", "commit_hash", retention.CHANGES).drop("pos")})
+        old, row = self.store.read("changes").filter(F.col("file") == file), self.frame("changes", (file, uuid.uuid4().hex, summary, "model", self.now()))
+        kept = retention.latest_per_key(old.unionByName(row), "file", "timestamp", "commit_hash", retention.CHANGES)
+        self.store.commit(rows={"changes": row}, gone={"changes": old.join(kept.select("file", "commit_hash"), ["file", "commit_hash"], "left_anti")})
         return f"Change of '{file}' logged."
 
     def mark_tainted(self, function_id=None, taint_source=None) -> str:
@@ -247,9 +250,9 @@ class CodeIndex:
             return f"Error: function '{function_id}' is not indexed."
         if r["is_tainted"]:
             return f"Function '{function_id}' is tainted already."
-        self.merge("functions", "id", function_id, is_tainted=True, taint_source=F.lit(taint_source))
-        queue = self.store.read("taint_queue")
-        self.store.commit({"taint_queue": delta.insert_or_ignore(queue, self.frame("taint_queue", (function_id, taint_source, self.now(), 0)), ["function_id"])})
+        row = self.with_columns("functions", "id", function_id, {"is_tainted": True, "taint_source": taint_source})
+        queued = {} if self.row("taint_queue", function_id=function_id) else {"taint_queue": self.frame("taint_queue", (function_id, taint_source, self.now(), 0))}
+        self.store.commit(rows={"functions": row, **queued})
         return f"Function '{function_id}' marked as tainted."
 
     def clear_taint(self, function_id=None) -> str:
@@ -258,8 +261,8 @@ class CodeIndex:
         r = self.row("functions", id=function_id)
         if r is None or not r["is_tainted"]:
             return f"Error: function '{function_id}' is not tainted."
-        self.merge("functions", "id", function_id, is_tainted=False, taint_source=F.lit(None))
-        self.untaint(function_id)
+        row = self.with_columns("functions", "id", function_id, {"is_tainted": False, "taint_source": F.lit(None)})
+        self.store.commit(rows={"functions": row}, gone={"taint_queue": self.keys("function_id", function_id)})
         return f"Taint of '{function_id}' cleared."
 
     def apply_answers(self, answers: DataFrame, column: str = "answer", confidence: float = 1.0) -> DataFrame:
@@ -269,20 +272,20 @@ class CodeIndex:
         rows = parsed_answers(answers, column).persist()
         good = rows.filter("error IS NULL AND path IS NOT NULL")
         files, functions = self.store.read("files"), self.store.read("functions")
-        f = good.filter(F.coalesce("purpose_needs_update", F.lit(True))).select("path", *[F.col(c).alias(f"_{c}") for c in ("purpose", "summary", "danger")], F.lit(True).alias("_hit")).dropDuplicates(["path"])
-        u = good.select(F.explode("functions").alias("f")).select(F.col("f.id").alias("id"), *[F.col(f"f.{c}").alias(f"_{c}") for c in ("summary", "summary_long", "danger")], F.lit(True).alias("_hit")).dropDuplicates(["id"])
-        hit = F.col("_hit").isNotNull()
+        f = good.filter(F.coalesce("purpose_needs_update", F.lit(True))).select("path", *[F.col(c).alias(f"_{c}") for c in ("purpose", "summary", "danger")]).dropDuplicates(["path"])
+        u = good.select(F.explode("functions").alias("f")).select(F.col("f.id").alias("id"), *[F.col(f"f.{c}").alias(f"_{c}") for c in ("summary", "summary_long", "danger")]).dropDuplicates(["id"])
 
         def merged(df, updates, key, texts, fixed):
-            j = df.join(updates, key, "left")
-            new = {c: F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), df[c]) for c in texts} | {c: F.when(hit, F.lit(v)).otherwise(df[c]) for c, v in fixed.items()}
+            j = df.join(updates, key)
+            new = {c: F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), df[c]) for c in texts} | {c: F.lit(v) for c, v in fixed.items()}
             return j.select(*[new[c].cast(df.schema[c].dataType).alias(c) if c in new else df[c] for c in df.columns])
 
-        queue = self.store.read("taint_queue").join(u.select(F.col("id").alias("function_id")), "function_id", "left_anti")
-        self.store.commit({
-            "files": merged(files, f, "path", ["purpose", "summary", "danger"], {"confidence": confidence, "is_stale": False}),
-            "functions": merged(functions, u, "id", ["summary", "summary_long", "danger"], {"confidence": confidence, "is_stale": False, "is_tainted": False, "taint_source": None}),
-            "taint_queue": queue,
-        })
+        self.store.commit(
+            rows={
+                "files": merged(files, f, "path", ["purpose", "summary", "danger"], {"confidence": confidence, "is_stale": False}),
+                "functions": merged(functions, u, "id", ["summary", "summary_long", "danger"], {"confidence": confidence, "is_stale": False, "is_tainted": False, "taint_source": None}),
+            },
+            gone={"taint_queue": u.select(F.col("id").alias("function_id"))},
+        )
         errors = rows.filter("error IS NOT NULL").select("error")
         return errors

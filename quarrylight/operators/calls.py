@@ -28,16 +28,23 @@ def class_chain(supers: DataFrame) -> DataFrame:
     return ancestor_closure(step, "child", "parent").select("node.file", F.col("node.name").alias("class_name"), F.col("ancestor.name").alias("up"), "distance")
 
 
-def resolve(functions: DataFrame, imports: DataFrame, import_edges: DataFrame, exports: DataFrame, supers: DataFrame) -> DataFrame:
+def resolve(functions: DataFrame, imports: DataFrame, import_edges: DataFrame, exports: DataFrame, supers: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """caller_id, pos, callee_id, callee_name, callee_file, is_ambiguous,
-    candidates for every call site.
+    candidates for every call site, or those given.
 
     functions: id, file, class_name, name, calls. imports: path and the raw
     import's module, names, alias. exports: file, name. supers: file,
     class_name, super.
     """
-    sites = call_sites(functions)
     f = functions.select("id", "file", "class_name", "name")
+    if sites is None:
+        sites = call_sites(functions)
+    else:
+        # Only what the sites can name takes part.
+        names, files = sites.select("name").distinct(), sites.select("file").distinct()
+        f, exports = f.join(names, "name", "left_semi"), exports.join(names, "name", "left_semi")
+        supers, import_edges = supers.join(files, "file", "left_semi"), import_edges.join(files.withColumnRenamed("file", "src"), "src", "left_semi")
+        imports = imports.join(files.withColumnRenamed("file", "path"), "path", "left_semi")
     free = f.filter("class_name IS NULL").select("id", "file", "name")
     methods = f.filter("class_name IS NOT NULL").select("id", "file", F.col("class_name").alias("owner"), "name")
     key = ["caller_id", "pos"]

@@ -70,6 +70,54 @@ def seeded_centrality(nodes: DataFrame, edges: DataFrame, seed, node: str = "nod
     return scores
 
 
+def seeded_centralities(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", iterations: int = ITERATIONS, damping: float = DAMPING) -> tuple[DataFrame, DataFrame]:
+    """As seeded_centrality for many seeds (one column) at once: (node, score),
+    which no seed has a part in, and (seed, node, score), what a seed adds to it.
+
+    The iteration is linear: teleports give the same to all seeds, and a seed's
+    own start vector spreads over the nodes it reaches only. Both run over one
+    exchange of the edges, which all rounds use again: what arrives at a node is
+    dealt by the node, where sums, and the next round's join, need no other.
+    Seeds that are no nodes start everywhere: their part is that of seed null.
+    """
+    n = nodes.agg(F.count("*").cast("double")).scalar()
+    degrees = edges.groupBy(src).agg(F.count("*").alias("_deg"))
+    weighted = edges.join(degrees, src).select(F.col(src).alias("_src"), F.col(dst).alias("_dst"), (F.lit(damping) / F.col("_deg")).alias("_w")).repartition("_src")
+    names = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
+    known = nodes.select(F.col(node).alias("seed")).distinct()
+
+    def spread(state: DataFrame, keys: list[str]) -> DataFrame:
+        moved = weighted.join(state, F.col("_src") == F.col("node"))
+        return moved.select(*keys, F.col("_dst").alias("node"), (F.col("score") * F.col("_w")).alias("score")).repartition("node").groupBy("node", *keys).agg(F.sum("score").alias("score"))
+
+    every = nodes.select(F.col(node).alias("node")).repartition("node")
+    base = every.withColumn("score", F.lit(0.0))
+    for _ in range(iterations):
+        given = spread(base, []).withColumnRenamed("score", "given")
+        base = every.join(given, "node", "left").select("node", ((1.0 - damping) / n + F.coalesce("given", F.lit(0.0))).alias("score"))
+    own = names.join(known, "seed", "left_semi").select("seed", F.col("seed").alias("node"), F.lit(1.0).alias("score"))
+    strangers = names.join(known, "seed", "left_anti").limit(1).select(F.lit(1).alias("_one"))
+    anywhere = every.withColumn("_one", F.lit(1)).join(F.broadcast(strangers), "_one").select(F.lit(None).cast(names.schema["seed"].dataType).alias("seed"), "node", F.lit(1.0 / n).alias("score"))  # one row at most
+    state = own.unionByName(anywhere).repartition("node")
+    for _ in range(iterations):
+        state = spread(state, ["seed"])
+    return base, state.select("seed", "node", "score")
+
+
+def best_of_seeds(base: DataFrame, parts: DataFrame, seeds: DataFrame, top: int = TOP) -> DataFrame:
+    """seed, node, score, rank: the best nodes of every seed, from
+    seeded_centralities; seeds are nodes. A node that a seed adds nothing to is
+    among its best only if it is among the best without any seed."""
+    name = seeds.columns[0]
+    common = base.orderBy(F.round("score", 9).desc(), F.asc("node")).limit(top).collect()
+    listed = F.array(*[F.struct(F.lit(r.node).alias("node"), F.lit(r.score).alias("score")) for r in common])
+    plain = seeds.select(F.col(name).alias("seed")).distinct().select("seed", F.explode(listed).alias("x")).select("seed", "x.node", "x.score")
+    added = parts.join(base.withColumnRenamed("score", "_base"), "node").select("seed", "node", (F.col("score") + F.col("_base")).alias("score"))
+    all_ = added.unionByName(plain).groupBy("seed", "node").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.round("score", 9).desc(), F.asc("node")))
+    return all_.withColumn("rank", rank).filter(F.col("rank") <= top)
+
+
 def ranked_dependents(scores: DataFrame, candidates: DataFrame, fan_ins: DataFrame, node: str = "node", top: int = TOP, threshold: int = COMPRESS) -> DataFrame:
     """The best-scored candidates with their fan-in, and whether it is large
     enough to show the node in short."""
@@ -78,18 +126,27 @@ def ranked_dependents(scores: DataFrame, candidates: DataFrame, fan_ins: DataFra
 
 
 def ancestor_closure(parents: DataFrame, child: str, parent: str, depth: int | None = None) -> DataFrame:
-    """node, ancestor, distance for chains of up to ``depth`` steps, or of any
-    length; a node is no ancestor of itself, so loops are harmless. One join a
-    step until a step adds no pair; each is written to the shared folder."""
-    step = parents.select(F.col(child).alias("a"), F.col(parent).alias("b")).filter("b IS NOT NULL AND a <> b").distinct()
-    level = settle(step.select(F.col("a").alias("node"), F.col("b").alias("ancestor"), F.lit(1).alias("distance")), "closure")
-    out, d = level, 1
-    while (depth is None or d < depth) and not level.isEmpty():
-        d += 1
-        further = level.join(step, F.col("ancestor") == F.col("a")).filter("node <> b").select("node", F.col("b").alias("ancestor"), F.lit(d).alias("distance")).distinct()
-        level = settle(further.join(out, ["node", "ancestor"], "left_anti"), "closure")
-        out = out.unionByName(level)
-    return out
+    """node, ancestor, distance (of the shortest chain) for chains of up to
+    ``depth`` steps, or of any length; a node is no ancestor of itself, so loops
+    are harmless.
+
+    Each round doubles the distance: pairs at exactly the distance so far are
+    carried on by all pairs known, so chains of n steps take log2(n) rounds. Each
+    round's new pairs are written to the shared folder."""
+    step = parents.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor IS NOT NULL AND node <> ancestor").distinct()
+    known = settle(step.withColumn("distance", F.lit(1)), "closure")
+    span = 1
+    while depth is None or span < depth:
+        ahead = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("distance").alias("more"))
+        further = known.filter(F.col("distance") == span).join(ahead, "ancestor").filter("node <> far")
+        if depth is not None:
+            further = further.filter(F.lit(span) + F.col("more") <= depth)
+        shortest = further.groupBy("node", F.col("far").alias("ancestor")).agg((F.min("more") + span).cast("int").alias("distance"))
+        new = settle(shortest.join(known, ["node", "ancestor"], "left_anti"), "closure")
+        if new.isEmpty():
+            break
+        known, span = known.unionByName(new), span * 2
+    return known
 
 
 def first_rule(*rules: DataFrame, key: list[str], value: str, name: str = "rule") -> DataFrame:

@@ -75,22 +75,44 @@ def rust_candidates(rows: DataFrame) -> DataFrame:
     return each.select("path", "no", F.lit("rs").alias("grp"), opts.alias("opts"))
 
 
-def resolve(files: DataFrame, go_module: str | None = None) -> DataFrame:
+def candidate_paths(rows: DataFrame) -> DataFrame:
+    """path, no, grp, prio, candidate, item: every path that a statement may mean."""
+    candidates = reduce(DataFrame.unionByName, [python_candidates(rows), js_candidates(rows), rust_candidates(rows)])
+    return candidates.select("path", "no", "grp", F.explode("opts").alias("o")).select("path", "no", "grp", "o.prio", "o.candidate", "o.item")
+
+
+def go_folders(rows: DataFrame, go_module: str) -> DataFrame:
+    """path, dir: the folders of the module that Go files import."""
+    m = F.col("module")
+    inside = (m == go_module) | m.startswith(go_module + "/")
+    return rows.filter("language = 'go'").filter(inside).select("path", F.expr(f"substring(module, {len(go_module) + 2})").alias("dir"))
+
+
+def importers(files: DataFrame, changed: DataFrame, go_module: str | None = None) -> DataFrame:
+    """path of every file with an import that may mean one of the changed paths
+    (path), whether or not it does so now."""
+    rows = statements(files)
+    out = candidate_paths(rows).join(changed.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi").select("path")
+    if go_module:
+        folders = changed.select(folder(F.col("path")).alias("dir")).distinct()
+        out = out.unionByName(go_folders(rows, go_module).join(folders, "dir", "left_semi").select("path"))
+    return out.distinct()
+
+
+def resolve(files: DataFrame, go_module: str | None = None, sources: DataFrame | None = None) -> DataFrame:
     """Distinct edges src, dst between known files, without self-imports.
 
-    files: path, language, exports, imports_raw.
+    files: path, language, exports, imports_raw. sources: the files (path) whose
+    imports are wanted; all by default.
     """
-    rows = statements(files)
+    rows = statements(files if sources is None else files.join(sources.select("path").distinct(), "path", "left_semi"))
     known = files.select(F.col("path").alias("candidate"), "exports")
-    candidates = reduce(DataFrame.unionByName, [python_candidates(rows), js_candidates(rows), rust_candidates(rows)])
-    each = candidates.select("path", "no", "grp", F.explode("opts").alias("o")).select("path", "no", "grp", "o.prio", "o.candidate", "o.item")
+    each = candidate_paths(rows)
     found = each.join(known, "candidate").filter(F.col("item").isNull() | (F.col("item") == "*") | F.array_contains("exports", F.col("item")))
     best = found.groupBy("path", "no", "grp").agg(F.min_by("candidate", "prio").alias("dst")).select(F.col("path").alias("src"), "dst")
     edges = best
     if go_module:
-        m = F.col("module")
-        inside = (m == go_module) | m.startswith(go_module + "/")
-        dirs = rows.filter("language = 'go'").filter(inside).select("path", F.substring(m, len(go_module) + 2, 10_000).alias("dir"))
+        dirs = go_folders(rows, go_module)
         go = files.filter("language = 'go'").select(F.col("path").alias("dst"), folder(F.col("path")).alias("dir"))
         edges = edges.unionByName(dirs.join(go, "dir").select(F.col("path").alias("src"), "dst"))
     return edges.filter("src <> dst").distinct()

@@ -16,7 +16,8 @@ def one_hop_taint(changed: DataFrame, edges: DataFrame, key: str = "id", caller:
     taints itself; callers of callers stay untouched.
     """
     hit = edges.join(changed.select(F.col(key).alias(callee)).distinct(), callee).groupBy(caller).agg(F.max(callee).alias("taint_source"))
-    priority = fan_in(edges, callee, "priority").withColumnRenamed(callee, caller)
+    near = edges.join(hit.select(F.col(caller).alias(callee)), callee, "left_semi")
+    priority = fan_in(near, callee, "priority").withColumnRenamed(callee, caller)
     return hit.join(priority, caller, "left").select(caller, "taint_source", F.coalesce("priority", F.lit(0)).cast("long").alias("priority"))
 
 

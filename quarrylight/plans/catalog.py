@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import scalar as S
 from quarrylight.operators import batches, calls, delta, graph, imports, retention, rollup, search, taint
-from quarrylight.plans import code_catalog  # noqa: F401 - registers its queries
+from quarrylight.plans import code_catalog, scale_catalog  # noqa: F401 - they register their queries
 from quarrylight.plans.registry import ORACLE, QUERIES, load, query
 from quarrylight.scratch import settle
 from quarrylight.sources.extract import extract

@@ -183,7 +183,7 @@ def search_rows(store: IndexStore, query: str, limit: int) -> list[tuple[str, st
     limit = min(limit or search.LIMIT, search.MOST)
     files, functions = store.read("files"), store.read("functions")
     found: list[tuple[str, str]] = []
-    for r in search.bm25_indexed(store.read("postings"), query, "path", limit).join(files.select("path", "purpose"), "path", "left").orderBy(F.desc("score"), "path").collect():
+    for r in store.index().search(query, limit).join(files.select("path", "purpose"), "path", "left").orderBy(F.desc("score"), "path").collect():
         found.append((r["path"], r["purpose"] or ""))
     if not found:
         found += [(r["path"], r["purpose"] or "") for r in search.contains(files, query, ["purpose", "summary"]).orderBy("path").limit(limit).collect()]

@@ -10,9 +10,7 @@ DECISIONS = "id string, scope string, decision string, alternatives string, reas
 CHANGES = "file string, commit_hash string, summary string, author string, timestamp timestamp"
 TAINT_QUEUE = "function_id string, taint_source string, queued_at timestamp, priority long"
 SESSIONS = "id string, entry string, files_touched string, timestamp timestamp"
-#: The full-text index: how often a file's text has a term; the empty term stands
-#: for the text itself.
-POSTINGS = "term string, path string, tf long, dl long"
+#: The columns of files that the full-text index holds.
 SEARCHED = ["path", "purpose", "summary"]
 DIRECTORIES = "path string, system string, summary string, file_count long, updated_at timestamp"
 
@@ -27,6 +25,18 @@ TABLES = {
     "taint_queue": TAINT_QUEUE,
     "session_log": SESSIONS,
     "directories": DIRECTORIES,
-    "postings": POSTINGS,
 }
-VERSION = 2
+#: What tells the rows of a table apart.
+KEYS = {
+    "files": ["path"],
+    "functions": ["id"],
+    "call_graph": ["caller_id", "pos"],
+    "extracted": ["path"],
+    "dangers": ["id"],
+    "decisions": ["id"],
+    "changes": ["file", "commit_hash"],
+    "taint_queue": ["function_id"],
+    "session_log": ["id"],
+    "directories": ["path"],
+}
+VERSION = 3

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -67,6 +68,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def children_times(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The names in a folder, each with the milliseconds of its last change."""
+    fs, p = hadoop(spark, path)
+    return [(x.getPath().getName(), x.getModificationTime()) for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text; None where there is none."""
     fs, p = hadoop(spark, path)
@@ -79,8 +86,9 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file under another name and renames it over the old one."""
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file under another name and renames it; False, and no
+    change, where the path exists already."""
     jvm = spark._jvm
     temporary = f"{path}.{uuid.uuid4().hex}"
     fs, p = hadoop(spark, temporary)
@@ -89,8 +97,13 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark.sparkContext._gateway.new_array(kind, 1)
-    options[0] = kind.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
     target = jvm.org.apache.hadoop.fs.Path(path)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(p, target, options)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(p, target, options)
+    except Py4JJavaError as problem:
+        fs.delete(p, False)
+        if problem.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True

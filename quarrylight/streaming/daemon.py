@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import signal
 import time
+from logging.handlers import RotatingFileHandler
 
 PID, STATE, LOG = "watch.pid", "watch-state.json", "watch.log"
+LOG_BYTES, LOG_KEPT = 5 << 20, 3
 
 
 def read_pid(folder: str) -> int | None:
@@ -64,22 +67,37 @@ def load(folder: str) -> dict:
         return {}
 
 
+def log_to(folder: str) -> logging.Handler:
+    """Messages of the package go to a file of the folder from now on; a file of
+    LOG_BYTES is moved aside, and LOG_KEPT of these stay."""
+    os.makedirs(folder, exist_ok=True)
+    handler = RotatingFileHandler(os.path.join(folder, LOG), maxBytes=LOG_BYTES, backupCount=LOG_KEPT, encoding="utf-8")
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    root = logging.getLogger("quarrylight")
+    root.addHandler(handler)
+    root.setLevel(logging.INFO)
+    return handler
+
+
 def stop(folder: str, patience: float = 10.0) -> str:
-    """Asks the watcher to end and waits for it."""
+    """Asks the watcher to end and waits for it; one that hangs is killed."""
     pid = read_pid(folder)
     if pid is None:
         return "The watcher is not running."
     if not alive(pid):
         end(folder)
         return "The watcher had ended already; its file is removed."
-    os.kill(pid, signal.SIGTERM)
-    until = time.monotonic() + patience
-    while alive(pid) and time.monotonic() < until:
-        time.sleep(0.05)
-    if alive(pid):
-        raise RuntimeError(f"the watcher (process {pid}) does not end")
-    end(folder)
-    return "The watcher has ended."
+    said = "The watcher has ended."
+    for number in (signal.SIGTERM, signal.SIGKILL):
+        os.kill(pid, number)
+        until = time.monotonic() + patience
+        while alive(pid) and time.monotonic() < until:
+            time.sleep(0.05)
+        if not alive(pid):
+            end(folder)
+            return said
+        said = "The watcher did not end and was killed."
+    raise RuntimeError(f"the watcher (process {pid}) does not end")
 
 
 def status(folder: str) -> dict:

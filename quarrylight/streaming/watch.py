@@ -100,7 +100,8 @@ class Watcher:
         looked up by the driver: a flush holds the files of one burst of edits."""
         names = [r.path for r in paths.select("path").distinct().toLocalIterator()]
         there = [p for p in names if os.path.isfile(os.path.join(self.root, p))]
-        rows = self.spark.createDataFrame([(p, p in set(there)) for p in names], "path string, exists boolean")
+        known = {p: os.stat(os.path.join(self.root, p)) for p in there}
+        rows = self.spark.createDataFrame([(p, p in known, known[p].st_mtime if p in known else None, known[p].st_size if p in known else None) for p in names], "path string, exists boolean, mtime double, file_size long")
         if not there:
             return rows.withColumns({"content_hash": F.lit(None).cast("string"), "semantic_hash": F.lit(None).cast("string")})
         files = self.spark.read.format("binaryFile").load([os.path.join(os.path.abspath(self.root), p) for p in there])
@@ -118,11 +119,12 @@ class Watcher:
             self.counts[action] += n
         if found.get("deleted") or found.get("formatting"):
             with self.store.lock:
+                now = actions.filter("action IN ('deleted', 'formatting')").select("path", (F.col("action") == "deleted").alias("_gone"), *[F.col(c).alias(f"_{c}") for c in ("content_hash", "mtime", "file_size")])
+                # What was only laid out anew keeps its place in later runs.
+                new = {"is_stale": F.col("_gone") | F.col("is_stale")} | {c: F.when(F.col("_gone"), F.col(c)).otherwise(F.coalesce(f"_{c}", c)) for c in ("content_hash", "mtime", "file_size")}
                 files = self.store.read("files")
-                stale = actions.filter("action = 'deleted'").select("path", F.lit(True).alias("_gone"))
-                fresh = actions.filter("action = 'formatting'").select("path", F.col("content_hash").alias("_hash"))
-                joined = files.join(stale, "path", "left").join(fresh, "path", "left")
-                self.store.commit({"files": joined.select(*[F.coalesce("_gone", "is_stale").alias(c) if c == "is_stale" else F.coalesce("_hash", "content_hash").alias(c) if c == "content_hash" else F.col(c) for c in files.columns])})
+                joined = files.join(now, "path")
+                self.store.commit(rows={"files": joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in files.columns])})
         changed = [r.path for r in actions.filter("action = 'reindex'").select("path").collect()]
         if changed:
             with self.store.lock:
@@ -157,6 +159,7 @@ def watch(spark: SparkSession, root: str, store: IndexStore, folder: str, deboun
     SIGINT. With ``fn`` what was indexed again is summarised too."""
     events = os.path.join(folder, "events")
     daemon.begin(folder)
+    daemon.log_to(folder)
     ended = threading.Event()
     for number in (signal.SIGTERM, signal.SIGINT):
         signal.signal(number, lambda *_: ended.set())

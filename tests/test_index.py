@@ -1,5 +1,6 @@
 import io
 import json
+import logging
 import os
 import subprocess
 import sys
@@ -194,6 +195,28 @@ def test_daemon_files(tmp_path):
     assert daemon.read_pid(folder) is None
 
 
+def test_a_hanging_watcher_is_killed(tmp_path):
+    folder = str(tmp_path)
+    deaf = subprocess.Popen([sys.executable, "-c", "import signal, time; signal.signal(signal.SIGTERM, signal.SIG_IGN); print('up', flush=True); time.sleep(60)"], stdout=subprocess.PIPE)
+    assert deaf.stdout.readline() == b"up\n"
+    daemon.write(folder, daemon.PID, str(deaf.pid))
+    threading.Thread(target=deaf.wait, daemon=True).start()
+    assert "killed" in daemon.stop(folder, 0.5) and daemon.read_pid(folder) is None
+
+
+def test_the_log_is_kept_short(tmp_path, monkeypatch):
+    monkeypatch.setattr(daemon, "LOG_BYTES", 1000)
+    handler = daemon.log_to(str(tmp_path))
+    try:
+        for i in range(200):
+            logging.getLogger("quarrylight.watch").info("flush: %s", i)
+    finally:
+        logging.getLogger("quarrylight").removeHandler(handler)
+        handler.close()
+    names = sorted(f.name for f in tmp_path.iterdir())
+    assert names == ["watch.log", *(f"watch.log.{k}" for k in range(1, daemon.LOG_KEPT + 1))] and "flush: 199" in (tmp_path / "watch.log").read_text()
+
+
 def test_mcp_messages(spark, first, repo, store):
     tools = CodeIndex(spark, store, str(repo))
     sent = [
@@ -238,7 +261,7 @@ def test_sync_reports(spark, first, repo, store):
 
 
 def test_store_takes_uris(spark, tmp_path):
-    a, b = IndexStore(spark, str(tmp_path / "x y")), IndexStore(spark, f"file://{tmp_path}/x y")
+    a, b = IndexStore(spark, str(tmp_path / "x y"), grace=0), IndexStore(spark, f"file://{tmp_path}/x y")
     row = spark.range(1).selectExpr("'p' AS path", "NULL AS system", "'s' AS summary", "1L AS file_count", "NULL AS updated_at")
     for k in range(5):
         a.commit({"directories": row.selectExpr("path", "CAST(system AS string) system", "summary", f"{k}L AS file_count", "CAST(updated_at AS timestamp) updated_at")})
