@@ -33,6 +33,8 @@ BUCKET = 2048
 SPLITS = 5
 #: Blocks of the fingerprints by which shingle similarity is measured.
 BLOCKS = 10
+#: Members of a divided bucket that meet in one task, of each of two tiles.
+TILE = 1024
 CHUNK = 1 << 13
 SALTS = 64
 STEP, MIX2, MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -208,6 +210,73 @@ def near_links(distinct: DataFrame, radius: int = 4, most: int = 4, bucket: int
     return out.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
+def shared_buckets(distinct: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """bucket, uid of the fingerprints that share a bucket of some covering
+    table; and bucket, first, size of the buckets, one for each set of members."""
+    spread = dealt(distinct.select("uid", "fp", F.lit(0).cast("long").alias("bucket")), 0, radius)
+    members = settle(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared_only, spread.schema), "simhash-members")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("uid").alias("first"), F.max("uid").alias("last"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("who"))
+    return members, settle(sizes.groupBy("size", "first", "last", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "first", "size"), "simhash-buckets")
+
+
+def divided_members(members: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, uid, root, size of the buckets that hold more than one component
+    so far, without their first members, which have met all others."""
+    rest = members.join(buckets.filter("size > 2"), "bucket").filter("uid != first").select("bucket", "uid", "size")
+    known = settle(rest.join(roots, F.col("uid") == F.col("node"), "left").select("bucket", "uid", "size", F.coalesce("root", "uid").alias("root")), "simhash-rest")
+    split = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
+    return settle(known.join(split, "bucket"), "simhash-divided")
+
+
+def across(fps: np.ndarray, root: np.ndarray, x: np.ndarray, i: int, j: int, most: int, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, distance: pairs of a tile of up to ``most`` differing bits between
+    different roots; ``best``: for each root only its nearest."""
+    ours, theirs = (np.flatnonzero(x == i), np.flatnonzero(x == j)) if i != j else (np.arange(len(x)), np.arange(len(x)))
+    found = []
+    for start in range(0, len(ours), 64):
+        a = ours[start : start + 64]
+        d = np.zeros((len(a), len(theirs)), np.int64)
+        for block in range(fps.shape[1]):
+            d += np.bitwise_count(fps[a, None, block] ^ fps[theirs, block])
+        good = (d <= most) & (root[a, None] != root[theirs])
+        if i == j:
+            good &= a[:, None] < theirs
+        r, c = np.nonzero(good)
+        found.append(np.stack([a[r], theirs[c], d[r, c]]))
+    a, b, d = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+    if best and len(a):
+        ends = np.concatenate([root[a], root[b]])
+        order = np.lexsort((np.tile(d, 2), ends))
+        _, first = np.unique(ends[order], return_index=True)
+        keep = np.unique(order[first] % len(a))
+        a, b, d = a[keep], b[keep], d[keep]
+    return a, b, d
+
+
+def divided_pairs(members: DataFrame, distinct: DataFrame, most: int, best: bool, tile: int) -> DataFrame:
+    """a, b, distance: pairs of divided buckets (``across``). A bucket is dealt
+    into tiles; a pair of tiles is a task's work of bounded size, whatever the
+    size of the bucket."""
+    tiles = F.ceil(F.col("size") / tile).cast("int")
+    own = members.withColumn("x", F.pmod(F.xxhash64("uid"), tiles).cast("int"))
+    spread = own.withColumn("y", F.explode(F.sequence(F.lit(0), tiles - 1))).join(distinct, "uid")
+    placed = spread.select("bucket", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "root", F.struct("uid", "root", "x", "fp").alias("m"))
+    groups = placed.groupBy("bucket", "i", "j").agg(F.sort_array(F.collect_list("m")).alias("own"), F.min("root").alias("least"), F.max("root").alias("top")).filter("least < top").select("i", "j", "own")
+
+    def run(batches):
+        for batch in batches:
+            for i, j, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                flat = own.values
+                uid, root, x = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("uid", "root", "x"))
+                fps = flat.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(uid), -1)
+                a, b, d = across(fps, root, x, i, j, most, best)
+                if len(a):
+                    a, b = uid[a], uid[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d)], ["a", "b", "distance"])
+
+    return groups.mapInArrow(run, "a long, b long, distance long").distinct()
+
+
 def tables(radius: int, level: int) -> Column:
     """The numbered masks of one level."""
     return F.array(*[F.struct(F.lit(v).alias("v"), F.lit(signed(m)).alias("m")) for v, m in enumerate(covering_masks(radius, 20 + level))])
@@ -357,16 +426,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, blocks: int = BLOCKS, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, blocks: int = BLOCKS, radius: int = 4, tile: int | None = None) -> DataFrame:
     """doc_id, th for one row of each group of near copies: the one with the
     least id and, of those, the least ``th`` (xxhash64 of the text, a null text
     being empty).
 
     Groups are chained by links of Jaccard similarity ``similarity`` or more
-    between sets of ``width``-word shingles. Candidates share a covering table of
-    some block of their fingerprints. A link that the fingerprints leave in doubt
-    and that joins groups is checked on the whole sets. What is missed are pairs
-    without a common bucket: none that differ in up to ``radius`` bits of a block.
+    between sets of ``width``-word shingles. Candidates share a bucket: a covering
+    table of some block of their fingerprints. In each bucket the first member
+    meets all others; in what that leaves divided each component meets the nearest
+    other; then whatever still lies in different components meets. Pairs that the
+    fingerprints leave in doubt are checked on the whole sets. What is missed are
+    pairs without a common bucket, none that differ in up to ``radius`` bits of a
+    block, and pairs so far apart, or so near, by their fingerprints that no check
+    is made (``distances``).
 
     Cases: a text with fewer words than ``width`` is one shingle; texts without
     words are copies of each other. A row with a null id links others and stands
@@ -376,18 +449,34 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = settle(described(docs, id_col, text_col, width, blocks), "simhash-rows")
     per_set = rows.groupBy("s1", "s2").agg(F.first("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("least"), F.min(F.struct("doc_id", "th")).alias("some"))
     distinct = settle(per_set.withColumn("uid", F.monotonically_increasing_id()), "simhash-sets")
+    fps = distinct.select("uid", "fp")
     sure, most = distances(similarity, blocks)
-    links = settle(near_links(distinct.select("uid", "fp"), radius, most, bucket), "simhash-links")
-    certain = links.filter(F.col("distance") <= sure).select("a", "b")
-    roots = components(certain)
-    one, two = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-    doubt = links.filter(F.col("distance") > sure).join(one, "a", "left").join(two, "b", "left")
-    doubt = settle(doubt.withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).filter("ra != rb").select("a", "b"), "simhash-doubt")
-    needed = doubt.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    named = needed.join(distinct, "uid").select("uid", F.col("some.doc_id").alias("own"), F.col("some.th").alias("th"))
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
-    texts = settle(whole.join(named, F.col("doc_id").eqNullSafe(F.col("own")) & (whole["th"] == named["th"])).groupBy("uid").agg(F.first("text").alias("text")), "simhash-texts")
-    joined = confirmed(doubt, texts, width, similarity)
-    roots = components(certain.unionByName(joined))
+    members, buckets = shared_buckets(fps, radius)
+
+    def judged(pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+        """links, and the pairs (a, b, distance) that are links and join more."""
+        certain = pairs.filter(F.col("distance") <= sure).select("a", "b")
+        certain = certain if links is None else links.unionByName(certain)
+        roots = components(certain)
+        one, two = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+        doubt = pairs.filter(F.col("distance") > sure).join(one, "a", "left").join(two, "b", "left")
+        doubt = settle(doubt.filter("coalesce(ra, a) != coalesce(rb, b)").select("a", "b"), "simhash-doubt")
+        needed = doubt.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        named = needed.join(distinct, "uid").select("uid", F.col("some.doc_id").alias("own"), F.col("some.th").alias("th"))
+        whole = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+        texts = settle(whole.join(named, F.col("doc_id").eqNullSafe(F.col("own")) & (whole["th"] == named["th"])).groupBy("uid").agg(F.first("text").alias("text")), "simhash-texts")
+        return settle(certain.unionByName(confirmed(doubt, texts, width, similarity)), "simhash-links")
+
+    stars = members.join(buckets.select("bucket", F.col("first").alias("a")), "bucket").filter("uid != a").select("a", F.col("uid").alias("b")).distinct()
+    links = judged(settle(pair_links(stars, fps, most), "simhash-pairs"), None)
+    for best in (True, False):
+        roots = components(links)
+        left = divided_members(members, buckets, roots)
+        pairs = settle(divided_pairs(left, fps, most, best, tile or TILE), "simhash-pairs")
+        if pairs.isEmpty():
+            break
+        links = judged(pairs, links)
+    else:
+        roots = components(links)
     grouped = distinct.join(roots, F.col("uid") == F.col("node"), "left").select(F.coalesce("root", "uid").alias("root"), "least")
     return grouped.groupBy("root").agg(F.min("least").alias("least")).filter("least IS NOT NULL").select("least.doc_id", "least.th")

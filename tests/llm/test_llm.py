@@ -469,6 +469,46 @@ def test_warc_of_other_writers(spark, tmp_path):
     assert {(r.http_status, len(r.payload)) for r in rows if r.record_type == "response"} == {(404, 100_000)}
 
 
+def test_warc_of_own_and_other_writers_in_one_folder(spark, tmp_path):
+    import gzip
+
+    warc.register(spark)
+    record = lambda k: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
+    (tmp_path / "other-1.warc.gz").write_bytes(gzip.compress(record("x1")))
+    (tmp_path / "part-7.warc").write_bytes(record("x2"))
+    pages = spark.createDataFrame([(1, "http://a", "one"), (2, "http://b", "two")], "page_id long, url string, html string")
+    for _ in range(2):
+        warc.revisit_records(pages).write.format("warc").mode("append").save(str(tmp_path))
+    ids = lambda: sorted(r.record_id for r in spark.read.format("warc").load(str(tmp_path)).select("record_id").collect())
+    want = sorted(["urn:x1", "urn:x2", *["urn:page:1", "urn:page:2"] * 2])
+    assert ids() == want
+    # What an attempt of a finished write has left does not count.
+    job = next(f.name for f in tmp_path.iterdir() if f.name.startswith("_manifest-"))[10:-5]
+    (tmp_path / f"part-{job}-{'0' * 32}.warc.gz").write_bytes(gzip.compress(record("lost")))
+    assert ids() == want
+    (tmp_path / f"part-{'1' * 32}-{'0' * 32}.warc.gz").write_bytes(gzip.compress(record("unknown")))
+    with pytest.raises(Exception, match="without a manifest"):
+        ids()
+
+
+def test_warc_pieces_of_large_archives(spark, tmp_path):
+    import gzip
+
+    warc.register(spark)
+    noise = random.Random(2)
+    body = lambda k: noise.randbytes(noise.choice([3, 700, 5000])) + gzip.compress(b"WARC/1.0 inside") + str(k).encode()
+    record = lambda k: (b := body(k)) and f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n"
+    data = [record(k) for k in range(200)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(b"".join(data[i : i + 7])) for i in range(0, 200, 7)))
+    whole = b"".join(data)
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(gzip.compress(whole[i : i + 9000]) for i in range(0, len(whole), 9000)))
+    for split in (64 << 20, 20_000, 3000):
+        read = spark.read.format("warc").option("splitBytes", split).load(str(tmp_path)).select("archive", "record_id")
+        assert split > 1 << 20 or read.rdd.getNumPartitions() > 20
+        assert sorted(map(tuple, read.collect())) == sorted((a, f"urn:{k}") for a in ("a.warc.gz", "b.warc.gz", "c.warc.gz") for k in range(200))
+
+
 @pytest.mark.parametrize("head", [10, 20_000, 300_000])
 def test_warc_members_of_several_records_and_long_http_headers(spark, tmp_path, head):
     import gzip

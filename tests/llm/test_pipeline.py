@@ -4,6 +4,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrylight.llm import decontam, queries, simhash, toxicity
@@ -106,9 +107,9 @@ def test_registered():
     assert corpus_pipeline.ORACLE_SQL is None and zlib.crc32(b"1") % 4 == 3
 
 
-@pytest.mark.parametrize("bucket", [2048, 4])
-def test_near_copies_with_scattered_edits(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_near_copies_with_scattered_edits(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
     rng, rows = random.Random(3), []
     for base in range(40):
         text = words(rng, 240, 5000)
@@ -139,3 +140,58 @@ def test_near_copies_with_scattered_edits(spark, monkeypatch, bucket):
     assert all(x in own for x, _ in groups)
     extra = len(own) - len(groups)
     assert extra <= 0.1 * (len(sets) - len(groups)) and len(groups) < 60 < len(rows)
+
+
+def brute_groups(sets):
+    """The least index of the component of each set, by links at 0.8."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(len(sets))]
+
+
+@pytest.mark.parametrize("tile", [1024, 50])
+def test_sets_near_the_limit_in_one_bucket(spark, monkeypatch, tile):
+    """Whatever shares a bucket and is no further apart than ``distances`` says is
+    linked, however the first comparisons leave the bucket divided."""
+    rng, texts = random.Random(9), []
+    for _ in range(60):
+        base = words(rng, 240, 9000)
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.randrange(3, 6)):
+                own[rng.randrange(len(own))] = f"y{rng.random()}"
+            texts.append(" ".join(own))
+
+    def one_bucket(distinct, radius):
+        members = distinct.select(F.lit(1).cast("long").alias("bucket"), "uid")
+        return members, members.groupBy("bucket").agg(F.min("uid").alias("first"), F.count("*").alias("size"))
+
+    monkeypatch.setattr(simhash, "shared_buckets", one_bucket)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_copies(docs, tile=tile).collect()}
+    sets = [{tuple(w[p : p + 5]) for p in range(len(w) - 4)} for w in map(str.split, texts)]
+    groups = brute_groups(sets)
+    assert len(set(groups)) > 70  # some bases come out divided
+    assert kept <= {i for i, g in enumerate(groups) if i == g} and len(kept) >= 0.97 * len(set(groups))
+
+
+def test_many_edits_of_one_text(spark):
+    """Thousands of copies with a word changed in each: no crowded bucket is
+    compared pair by pair."""
+    rng = random.Random(4)
+    base, rows = words(rng, 400, 9000), []
+    for k in range(3000):
+        own = list(base)
+        own[k % 400] = f"z{k}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r.doc_id for r in simhash.near_copies(docs).collect()] == [0]
