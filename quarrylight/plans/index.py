@@ -176,6 +176,17 @@ def refresh(spark: SparkSession, root: str, store: IndexStore, taint_new: bool =
     known = old["extracted"].select("path").unionByName(old["files"].filter(F.lit(purge) | ~F.col("is_stale")).select("path")).distinct()
     lost = stage(known.join(mine.select("path"), "path", "left_anti"))
     changed = stage(todo.unionByName(lost).distinct())
+    folders = rollup.directory_rollup(paths)
+    other = incremental.moved(old["directories"].select("path", "file_count"), folders.select("path", "file_count")).select("path").distinct()
+    directories = folders.join(other, "path", "left_semi").join(old["directories"].select("path", "system", "summary"), "path", "left").withColumn("updated_at", stamp)
+    no_folder = old["directories"].select("path").join(folders.select("path"), "path", "left_anti")
+    if changed.isEmpty():
+        total = old["call_graph"].agg(F.count("*").alias("n"), F.count_if(F.col("callee_id").isNull()).alias("open")).first()
+        report = Report(tracked=len(tracked), reused=old["extracted"].count(), functions=old["functions"].count(), edges=total.n, unresolved=total.open)
+        if not dry_run and not other.isEmpty():
+            store.commit(rows={"directories": directories}, gone={"directories": no_folder})
+        store.clear_stage()
+        return report
 
     def after(table: str, rows: DataFrame, gone: DataFrame) -> DataFrame:
         """A table as the commit will leave it."""
@@ -220,11 +231,6 @@ def refresh(spark: SparkSession, root: str, store: IndexStore, taint_new: bool =
     function_rows = taint.apply_taint(merged_functions.unionByName(marked), marks)
     queue = marks.select(F.col("caller_id").alias("function_id"), "taint_source", stamp.alias("queued_at"), "priority")
 
-    folders = rollup.directory_rollup(paths)
-    other = incremental.moved(old["directories"].select("path", "file_count"), folders.select("path", "file_count")).select("path").distinct()
-    directories = folders.join(other, "path", "left_semi").join(old["directories"].select("path", "system", "summary"), "path", "left").withColumn("updated_at", stamp)
-    no_folder = old["directories"].select("path").join(folders.select("path"), "path", "left_anti")
-
     by = {r.status: r.n for r in diff.groupBy("status").agg(F.count("*").alias("n")).collect()}
     total = call_graph.agg(F.count("*").alias("n"), F.count_if(F.col("callee_id").isNull()).alias("open")).first()
     hit = diff.filter("status IN ('changed', 'new')").select("id", F.substring_index("id", "::", 1).alias("path"))
