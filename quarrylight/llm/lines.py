@@ -29,9 +29,12 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     hashes stand for the key.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # What stands beside a generator is computed anew for every row that it makes,
+    # and carried along: the text's hash comes first, the text stays behind.
     lines = (
         docs.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
+        .select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("row"), split_lines(F.col(text_col)).alias("lines"))
+        .select("doc", "row", F.posexplode("lines").alias("pos", "line"))
         .filter(F.char_length("line") >= min_chars)
         .select("doc", "row", "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("line"))
         .filter(F.char_length("line") >= min_chars)
@@ -100,8 +103,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Cases: a null or empty text is one empty line, which always stays. Rows
     with a null id own nothing and lose nothing. Rows that share an id are one
     document: none is a repeat of another, and ``row`` (xxhash64 of the text)
-    tells their bitmaps apart. An empty table gives no rows. Columns of docs
-    other than the two named are not read.
+    tells their bitmaps apart. A very long text is one row of one task when it is
+    split and put together again, in time and memory in proportion to its length.
+    An empty table gives no rows. Columns of docs other than the two named are
+    not read.
     """
     lost = dropped_lines(docs, id_col, text_col, min_chars, salts)
     per_doc = lost.groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("positions"))

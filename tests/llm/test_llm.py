@@ -437,6 +437,17 @@ def test_url_scores_do_not_depend_on_the_groups(spark, monkeypatch):
         assert got == {i: pytest.approx(-0.25 * (i % 5) / (2 * (i % 5) + 1)) for i in range(50)}
 
 
+def test_lines_of_a_very_long_text(spark):
+    """100,000 runs of kept and dropped lines in one text, in time that grows with
+    their number."""
+    n = 100_000
+    rows = [(1, "\n".join(f"shared line {i}" for i in range(0, n, 2))), (2, "\n".join(f"shared line {i}" if i % 2 == 0 else f"own line number {i}" for i in range(n)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.deduplicate_lines(docs).collect()}
+    assert got[1].text == rows[0][1] and got[2].ql_n_dropped == n // 2
+    assert got[2].text == "\n".join(f"own line number {i}" for i in range(1, n, 2))
+
+
 def test_warc_round_trip(spark):
     warc.register(spark)
     big = "ä" * 300_000
