@@ -638,9 +638,7 @@ SELECT c_custkey, c_mktsegment FROM customer c WHERE c_acctbal < 0 OR EXISTS (SE
 """)
 def exists_or_filter(spark, d):
     """EXISTS under OR: an existence join, no row multiplied."""
-    load(spark, d, "customer").createOrReplaceTempView("ql_customer")
-    load(spark, d, "orders").createOrReplaceTempView("ql_orders")
-    return spark.sql("SELECT c_custkey, c_mktsegment FROM ql_customer c WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM ql_orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'P')")
+    return spark.sql("SELECT c_custkey, c_mktsegment FROM {c} c WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM {o} o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'P')", c=load(spark, d, "customer"), o=load(spark, d, "orders"))
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.scratch import scratch_path
+from quarrylight.scratch import hadoop, scratch_path
 
 
 def event_filter(events: DataFrame, extensions: list[str], root: str = "", path: str = "path", is_directory: str = "is_directory") -> DataFrame:
@@ -50,12 +50,16 @@ def stream_once(spark: SparkSession, path: str, schema, ts: str, name: str, gap:
     stays open itself.
     """
     folder = scratch_path(spark, "sessions")
-    last = spark.read.schema(schema).parquet(f"{path}*").agg(F.max(F.col(ts).cast("timestamp")).alias("t"))
+    last = spark.read.schema(schema).parquet(path).agg(F.max(F.col(ts).cast("timestamp")).alias("t"))
     kinds = {f.name: f.dataType for f in schema}
     end = [F.expr(f"t + INTERVAL {gap} + INTERVAL {delay} + INTERVAL 1 DAY").alias(c) if c == ts else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
     last.select(*end).write.parquet(f"{folder}/end")
     typed = [F.col(c).cast("timestamp").alias(c) if c == ts else F.col(c) for c in kinds]
-    own = spark.readStream.schema(schema).parquet(f"{path}*").select(*typed)
+    # A stream reads folders: a single file is taken by its name from its own.
+    fs, p = hadoop(spark, path)
+    one = fs.getFileStatus(p).isFile()
+    reader = spark.readStream.schema(schema)
+    own = (reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString()) if one else reader.parquet(path)).select(*typed)
     closing = spark.readStream.schema(spark.read.parquet(f"{folder}/end").schema).parquet(f"{folder}/end").select(*typed)
     stream = own.unionByName(closing).withWatermark(ts, delay)
     window = F.session_window(ts, gap).alias("session")
