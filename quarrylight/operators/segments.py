@@ -38,7 +38,7 @@ def write_postings(postings: DataFrame, path: str) -> None:
     bounds of every block."""
     spark = postings.sparkSession
     postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
-    bounds = spark.read.parquet(f"{path}/postings").groupBy("term", "block", "seq").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
+    bounds = spark.read.schema(postings.schema).parquet(f"{path}/postings").groupBy("term", "block", "seq").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
     bounds.repartitionByRange("term").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
 
 

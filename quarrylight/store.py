@@ -28,6 +28,8 @@ STATE = re.compile(r"state-(\d+)\.json$")
 KEPT = 3
 #: Seconds that files which no recent state names stay for running readers.
 GRACE = 3600
+#: Every so many commits what nobody needs any more is removed.
+TIDY = 8
 #: Deltas are folded into the base when there are more of them, or when their rows
 #: exceed this share of the base's.
 MOST_DELTAS, SHARE, FEW_ROWS = 32, 0.2, 1000
@@ -67,7 +69,8 @@ class IndexStore:
         state = state | {"schema": VERSION, "number": state["number"] + 1}
         if not scratch.create_text(self.spark, f"{self.root}/state-{state['number']:010d}.json", json.dumps(state)):
             raise Conflict(f"state {state['number']} exists already")
-        self.vacuum()
+        if state["number"] % TIDY == 0 or not self.grace:
+            self.vacuum()
 
     # --- tables
 
@@ -92,7 +95,7 @@ class IndexStore:
         """A new version of a table: its name and number of rows."""
         version = uuid.uuid4().hex
         df.write.mode("error").parquet(self.path(name, version))
-        return version, self.spark.read.parquet(self.path(name, version)).count()
+        return version, self.spark.read.schema(df.schema).parquet(self.path(name, version)).count()
 
     def commit(self, tables: dict[str, DataFrame] | None = None, rows: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> None:
         """All changes at once: whole tables, rows that replace those of their
