@@ -2,10 +2,9 @@
 
 Writer: one gzip member a record, each with the skip length of the whole member
 in its gzip header, in archives of bounded size; a manifest that is written
-last names the archives of a finished write. Reader: archives, large gzip ones in
-pieces, are dealt to partitions by size; archives of other writers count beside
-those that a manifest names, and parts of a write whose manifest is not there are
-an error. Predicates on the record type and on other header columns
+last names the archives of a finished write. Reader: whole archives are dealt to
+partitions by size; archives of other writers count beside those that a manifest
+names, and parts of a write whose manifest is not there are an error. Predicates on the record type and on other header columns
 are taken over from Spark; headers are inflated first, and a record that the
 predicates refuse, or whose payload nobody asked for, is stepped over without
 inflating the rest of it. Archives of other writers are read too: plain ones,
@@ -34,8 +33,6 @@ SCHEMA = "record_id string, record_type string, target_uri string, payload_diges
 HEADER_COLUMNS = ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")
 BLOCK = 1 << 16
 HEAD = 1 << 13
-#: How a gzip member begins.
-MEMBER = b"\x1f\x8b\x08"
 #: Names of this writer's archives: the write, then the archive.
 OWN = re.compile(r"part-([0-9a-f]{32})-[0-9a-f]{32}\.warc\.gz")
 SALTS = 64
@@ -166,18 +163,18 @@ class WarcReader(DataSourceReader):
                 # Of a finished write these are attempts that did not count.
                 unknown += [] if own[1] in jobs else [x.path]
             elif x.base_name.endswith((".warc", ".warc.gz")):
-                pieces = max(1, x.size // self.split) if x.base_name.endswith(".gz") else 1
-                bounds = [x.size * i // pieces for i in range(pieces + 1)]
-                found += [(b - a, x.path, a, b) for a, b in zip(bounds, bounds[1:])]
+                # An archive is never cut: where a member begins inside it cannot
+                # be told from a compressed archive that is somebody's payload.
+                found.append((x.size, x.path))
         if unknown:
             raise ValueError(f"{len(unknown)} archives belong to writes without a manifest here, such as {unknown[0]}: move the manifest along, or remove what an unfinished write has left")
         groups: list[list] = []
-        for size, *piece in sorted(found, reverse=True):
+        for size, path in sorted(found, reverse=True):
             if groups and groups[-1][0] + size <= self.split:
                 groups[-1][0] += size
-                groups[-1][1].append(piece)
+                groups[-1][1].append(path)
             else:
-                groups.append([size, [piece]])
+                groups.append([size, [path]])
         return [Archive(g[1]) for g in groups] or [Archive([])]
 
     def wanted(self, row: dict) -> bool:
@@ -196,10 +193,10 @@ class WarcReader(DataSourceReader):
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
         rows, held = [], 0
-        for path, start, end in partition.files:
+        for path in partition.files:
             fs, base = filesystem(self.path)
             with fs.open_input_file(path) as f:
-                for row in read_archive(f, path.rsplit("/", 1)[-1], self.wanted, self.payload, start, end):
+                for row in read_archive(f, path.rsplit("/", 1)[-1], self.wanted, self.payload):
                     rows.append(row)
                     held += len(row["payload"] or b"")
                     if len(rows) >= 4096 or held >= 16 << 20:
@@ -208,35 +205,11 @@ class WarcReader(DataSourceReader):
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def first_member(f, start: int, size: int) -> int:
-    """The place of the first gzip member from ``start`` on that begins a record;
-    the end of the file where there is none."""
-    at, data = start, b""
+def read_archive(f, name: str, wanted, payload: bool):
+    """Rows of one archive; position is where the record, or the gzip member
+    that it starts in, begins."""
+    size, at = f.size(), 0
     while at < size:
-        f.seek(at)
-        data = f.read(min(1 << 20, size - at))
-        i = data.find(MEMBER)
-        while i >= 0:
-            f.seek(at + i)
-            try:
-                opened = zlib.decompressobj(31).decompress(f.read(BLOCK), 5)
-            except zlib.error:
-                opened = b""
-            if opened == b"WARC/":
-                return at + i
-            i = data.find(MEMBER, i + 1)
-        # The mark may lie across two blocks.
-        at += max(1, len(data) - len(MEMBER) + 1)
-    return size
-
-
-def read_archive(f, name: str, wanted, payload: bool, start: int = 0, end: int | None = None):
-    """Rows of one archive, or of the records that begin in a range of it, at
-    gzip members; position is where the record, or the gzip member that it starts
-    in, begins."""
-    size = f.size()
-    at, end = first_member(f, start, size) if start else 0, size if end is None else end
-    while at < end:
         f.seek(at)
         raw = f.read(min(HEAD, size - at))
         if raw[:2] == b"\x1f\x8b":

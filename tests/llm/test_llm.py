@@ -502,24 +502,6 @@ def test_warc_of_own_and_other_writers_in_one_folder(spark, tmp_path):
         ids()
 
 
-def test_warc_pieces_of_large_archives(spark, tmp_path):
-    import gzip
-
-    warc.register(spark)
-    noise = random.Random(2)
-    body = lambda k: noise.randbytes(noise.choice([3, 700, 5000])) + gzip.compress(b"WARC/1.0 inside") + str(k).encode()
-    record = lambda k: (b := body(k)) and f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n"
-    data = [record(k) for k in range(200)]
-    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))
-    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(b"".join(data[i : i + 7])) for i in range(0, 200, 7)))
-    whole = b"".join(data)
-    (tmp_path / "c.warc.gz").write_bytes(b"".join(gzip.compress(whole[i : i + 9000]) for i in range(0, len(whole), 9000)))
-    for split in (64 << 20, 20_000, 3000):
-        read = spark.read.format("warc").option("splitBytes", split).load(str(tmp_path)).select("archive", "record_id")
-        assert split > 1 << 20 or read.rdd.getNumPartitions() > 20
-        assert sorted(map(tuple, read.collect())) == sorted((a, f"urn:{k}") for a in ("a.warc.gz", "b.warc.gz", "c.warc.gz") for k in range(200))
-
-
 @pytest.mark.parametrize("head", [10, 20_000, 300_000])
 def test_warc_members_of_several_records_and_long_http_headers(spark, tmp_path, head):
     import gzip
