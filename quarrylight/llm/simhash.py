@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import settle, table
+from quarrylight.scratch import remove
 
 BITS = 64
 #: Buckets up to this size are compared inside one task; larger ones are split.
@@ -334,7 +335,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = lower.select("u", F.col("m").alias("v")).unionByName(large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct()
-        edges = settle(small, "links")
+        done, edges = edges, settle(small, "links")
+        for path in {f.rpartition("/")[0] for f in done.inputFiles()}:  # the round before is read no more
+            remove(edges.sparkSession, path)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)), F.countDistinct("u")).first()
         if now[0] == now[2] and now == before:
             break
