@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.scalar import normal_path, path_parent
+from quarrylight.scratch import settle
 
+#: Up to so many answers are broadcast, so that imports that very many files share
+#: need no shuffle.
+BROADCAST = 50_000
 JS_SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
 
@@ -30,11 +34,44 @@ def options(*paths: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("prio"), p.alias("candidate"), F.lit(None).cast("string").alias("item")) for i, p in enumerate(paths)])
 
 
+def read_of(files: DataFrame) -> DataFrame:
+    """The columns that ``resolve`` reads."""
+    return files.select("path", "language", "exports", "imports_raw")
+
+
 def statements(files: DataFrame) -> DataFrame:
     """path, language, no and the fields of every raw import."""
     return files.select("path", "language", F.posexplode("imports_raw").alias("no", "i")).select("path", "language", "no", "i.module", F.coalesce("i.names", F.array().cast("array<string>")).alias("names"), "i.level", "i.alias")
 
 
+def rust_place(path: Column) -> Column:
+    """The module of a Rust file, as a list."""
+    inner = F.regexp_replace(F.regexp_replace(path, "^src/", ""), r"\.rs$", "")
+    return F.filter(F.split(F.regexp_replace(inner, "(^|/)(mod|lib|main)$", ""), "/"), lambda x: x != "")
+
+
+def rust_names() -> Column:
+    """What a Rust statement names, from the outermost."""
+    mod = F.filter(F.split(F.coalesce("module", F.lit("")), "::"), lambda x: x != "")
+    return F.filter(F.concat(mod, F.col("names")), lambda x: x != "self")
+
+
+def place() -> Column:
+    """A path, real or not, that a statement means the same from as from its own,
+    and that as many files as can share: candidates depend on the folder of
+    relative imports alone, and for Rust on the module above."""
+    beside = under(folder(F.col("path")), F.lit("x"))
+    above = rust_place(F.col("path"))
+    above = F.slice(above, F.lit(1), F.greatest(F.size(above) - 1, F.lit(0)))
+    rust = F.concat(F.lit("src/"), F.array_join(F.concat(above, F.array(F.lit("x"))), "/"), F.lit(".rs"))
+    return (
+        F.when((F.col("language") == "python") & (F.col("level") > 0), beside)
+        .when(F.col("language").isin("javascript", "typescript", "tsx") & F.col("module").startswith("."), beside)
+        .when((F.col("language") == "rust") & (F.get(rust_names(), F.lit(0)) == "super"), rust)
+        .otherwise("")
+    )
+
+
 def python_candidates(rows: DataFrame) -> DataFrame:
     rows = rows.filter("language = 'python'")
     module = F.replace(F.coalesce("module", F.lit("")), F.lit("."), F.lit("/"))
@@ -58,10 +95,7 @@ def rust_candidates(rows: DataFrame) -> DataFrame:
     """Longest module prefix first; what is left over must be one item that the
     file exports, or everything."""
     rows = rows.filter("language = 'rust'")
-    inner = F.regexp_replace(F.regexp_replace("path", "^src/", ""), r"\.rs$", "")
-    own = F.filter(F.split(F.regexp_replace(inner, "(^|/)(mod|lib|main)$", ""), "/"), lambda x: x != "")
-    mod = F.filter(F.split(F.coalesce("module", F.lit("")), "::"), lambda x: x != "")
-    full = F.filter(F.concat(mod, F.col("names")), lambda x: x != "self")
+    own, full = rust_place(F.col("path")), rust_names()
     ups = F.size(F.filter(full, lambda x: x == "super"))
     rest = F.filter(full, lambda x: ~x.isin("crate", "super"))
     whole = F.when(F.get(full, F.lit(0)) == "super", F.concat(F.slice(own, F.lit(1), F.greatest(F.size(own) - ups, F.lit(0))), rest)).otherwise(rest)
@@ -99,22 +133,33 @@ def importers(files: DataFrame, changed: DataFrame, go_module: str | None = None
     return out.distinct()
 
 
+def joined_with(df: DataFrame, answers: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """df with its answers. Where these are few, keys that very many rows of df
+    share move no rows."""
+    answers = settle(answers, "answers")
+    return df.join(F.broadcast(answers) if answers.count() <= BROADCAST else answers, on, how)
+
+
 def resolve(files: DataFrame, go_module: str | None = None, sources: DataFrame | None = None) -> DataFrame:
     """Distinct edges src, dst between known files, without self-imports.
 
     files: path, language, exports, imports_raw. sources: the files (path) whose
-    imports are wanted; all by default.
+    imports are wanted; all by default. Statements that mean the same are resolved
+    once, however many files have them.
     """
     rows = statements(files if sources is None else files.join(sources.select("path").distinct(), "path", "left_semi"))
+    rows = rows.withColumn("place", place())
+    rows = rows.withColumn("key", F.to_json(F.struct("language", "place", "module", "names", "level")))
     known = files.select(F.col("path").alias("candidate"), "exports")
-    each = candidate_paths(rows)
+    each = candidate_paths(rows.dropDuplicates(["key"]).withColumns({"path": F.col("place"), "no": F.col("key")}))
     found = each.join(known, "candidate").filter(F.col("item").isNull() | (F.col("item") == "*") | F.array_contains("exports", F.col("item")))
-    best = found.groupBy("path", "no", "grp").agg(F.min_by("candidate", "prio").alias("dst")).select(F.col("path").alias("src"), "dst")
-    edges = best
+    best = found.groupBy("no", "grp").agg(F.min_by("candidate", "prio").alias("dst")).select(F.col("no").alias("key"), "dst").distinct()
+    edges = joined_with(rows.select(F.col("path").alias("src"), "key"), best, "key").select("src", "dst")
     if go_module:
         dirs = go_folders(rows, go_module)
         go = files.filter("language = 'go'").select(F.col("path").alias("dst"), folder(F.col("path")).alias("dir"))
-        edges = edges.unionByName(dirs.join(go, "dir").select(F.col("path").alias("src"), "dst"))
+        inside = joined_with(go, dirs.select("dir").distinct(), "dir", "left_semi")
+        edges = edges.unionByName(joined_with(dirs, inside, "dir").select(F.col("path").alias("src"), "dst"))
     return edges.filter("src <> dst").distinct()
 
 
