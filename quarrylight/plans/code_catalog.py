@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import scalar as S
 from quarrylight.operators import calls, imports
 from quarrylight.plans import context, index
-from quarrylight.plans.registry import load, query
+from quarrylight.plans.registry import load, query, spread
 from quarrylight.scratch import scratch_path, settle
 from quarrylight.sources import files as sources
 from quarrylight.sources import llm_client
@@ -148,7 +148,7 @@ def filled(text: str, **columns):
 def customer_files(spark, d, language: str) -> DataFrame:
     """path, content: src/c<k>.<ext> for every customer."""
     path = F.concat(F.lit("src/c"), F.col("c_custkey").cast("string"), F.lit("." + EXTENSION[language]))
-    return load(spark, d, "customer").select(path.alias("path"), filled(TEMPLATE[language], k=F.col("c_custkey"), n=F.col("c_nationkey")).alias("content"))
+    return spread(load(spark, d, "customer"), "c_custkey").select(path.alias("path"), filled(TEMPLATE[language], k=F.col("c_custkey"), n=F.col("c_nationkey")).alias("content"))
 
 
 def nation_files(spark, d, path: str, text: str) -> DataFrame:
@@ -172,7 +172,7 @@ FROM customer, (VALUES {quoted}) f(name, signature, line_start, line_end, mutate
 
 
 def function_rows(spark, d, language: str) -> DataFrame:
-    rows = calls.function_ids(extract(customer_files(spark, d, language)))
+    rows = calls.function_ids(extract(customer_files(spark, d, language), hashes=False))
     made = F.array_join(F.transform("calls", lambda c: F.concat_ws(".", c["object"], c["name"])), ",")
     return rows.select("id", "signature", "line_start", "line_end", F.array_join("mutates", ",").alias("mutates"), made.alias("calls"))
 
@@ -243,7 +243,7 @@ SELECT 'src/c' || c_custkey || '.' || ext AS path, exports, replace(imports, '{n
 def file_exports_and_imports(spark, d):
     rows = None
     for language in EXTENSION:
-        one = extract(customer_files(spark, d, language))
+        one = extract(customer_files(spark, d, language), hashes=False, functions=False)
         rows = one if rows is None else rows.unionByName(one)
     each = F.transform("imports_raw", lambda i: F.concat_ws("|", i["module"], F.array_join(i["names"], ","), i["level"].cast("string"), F.coalesce(i["alias"], F.lit("-"))))
     up = F.transform("supers", lambda s: F.concat_ws("<", s["class_name"], s["super"]))
@@ -254,7 +254,7 @@ def edges_with(spark, d, language: str, others: list[DataFrame], go_module: str
     files = customer_files(spark, d, language)
     for other in others:
         files = files.unionByName(other)
-    return imports.resolve(settle(extract(files), "parsed"), go_module)
+    return imports.resolve(settle(imports.read_of(extract(files, hashes=False, functions=False)), "parsed"), go_module)
 
 
 @query("""
@@ -314,9 +314,9 @@ UNION ALL SELECT f || 'Shape.twice@23', 2, NULL, false, '' FROM c
 def call_rules(spark, d):
     """Same file, a class two levels up, an imported module, a named class, the
     only function of a name, several of them, none."""
-    own = load(spark, d, "customer").select(F.concat(F.lit("src/o"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), filled("def only{k}():\n    return 1\n", k=F.col("c_custkey")).alias("content"))
+    own = spread(load(spark, d, "customer"), "c_custkey").select(F.concat(F.lit("src/o"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), filled("def only{k}():\n    return 1\n", k=F.col("c_custkey")).alias("content"))
     text = "def area(x):\n    return x\n\nclass Z:\n    def both(self):\n        return 1\n"
-    files = settle(extract(customer_files(spark, d, "python").unionByName(own).unionByName(nation_files(spark, d, "src/nat{n}.py", text))), "parsed")
+    files = settle(extract(customer_files(spark, d, "python").unionByName(own).unionByName(nation_files(spark, d, "src/nat{n}.py", text)), hashes=False), "parsed")
     functions = calls.function_ids(files)
     raw = files.select("path", F.explode("imports_raw").alias("i")).select("path", "i.module", "i.names", "i.alias")
     shown = files.select(F.col("path").alias("file"), F.explode("exports").alias("name"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +39,9 @@ EXTRACTORS: dict[str, Callable[[str], dict]] = {
     "rust": braces.extract_rust,
 }
 
+#: Extractors that can leave out what is not wanted.
+PRUNABLE = (python.extract, braces.extract_js, braces.extract_go, braces.extract_rust)
+
 CALL = pa.struct([("name", pa.string()), ("object", pa.string())])
 FUNCTION = pa.struct([("name", pa.string()), ("class_name", pa.string()), ("signature", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("mutates", pa.list_(pa.string())), ("semantic_hash", pa.string()), ("calls", pa.list_(CALL))])
 IMPORT = pa.struct([("module", pa.string()), ("names", pa.list_(pa.string())), ("level", pa.int32()), ("alias", pa.string())])
@@ -61,8 +65,14 @@ def language_of(path: str) -> str | None:
     return EXTENSIONS.get(name[name.rfind(".") :]) if "." in name[1:] else None
 
 
-def token_hash(tokens: list[str]) -> str:
-    return hashlib.sha256(" ".join(tokens).encode("utf-8", "surrogatepass")).hexdigest()
+def pruned(hashes: bool, functions: bool) -> dict[str, Callable[[str], dict]]:
+    """The extractors without hashes of tokens, or without functions, where they
+    can do without."""
+    return {k: partial(f, hashes=hashes, bodies=functions) if f in PRUNABLE else f for k, f in EXTRACTORS.items()}
+
+
+def token_hash(tokens: list[str] | None) -> str | None:
+    return None if tokens is None else hashlib.sha256(" ".join(tokens).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def extract_one(path: str, language: str | None, content: bytes | None, extractors=None) -> dict:
@@ -82,10 +92,12 @@ def extract_one(path: str, language: str | None, content: bytes | None, extracto
     return row | found | {"semantic_hash": token_hash(tokens), "exports": found["exports"]}
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, hashes: bool = True, functions: bool = True) -> DataFrame:
     """Rows of SCHEMA from files (path, content); files of no known language
-    are left out before any content is read."""
-    known, extractors = dict(EXTENSIONS), dict(EXTRACTORS)
+    are left out before any content is read. Without ``hashes`` the semantic
+    hashes are null, without ``functions`` there are none: most of the time goes
+    into these. Files are read by as many tasks as hold them."""
+    known, extractors = dict(EXTENSIONS), pruned(hashes, functions)
     ext = F.regexp_extract("path", r"[^/]+?(\.[^./]+)$", 1)
     language = F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), ext)
     rows = files.filter(ext.isin(list(known))).select("path", language.alias("language"), "content")

@@ -3,9 +3,12 @@
 import datetime as dt
 
 import duckdb
-from pyspark.sql import functions as F
 
-from quarrylight.plans import catalog
+from quarrylight.operators import imports
+from quarrylight.plans import catalog, code_catalog
+from quarrylight.sources import extract
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_events_at_the_edges_of_intervals(spark, tmp_path):
@@ -22,3 +25,37 @@ def test_events_at_the_edges_of_intervals(spark, tmp_path):
     assert want == [(order, 5, 1, 6)]
     got = catalog.QUERIES["events_in_intervals"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_files_of_a_small_table_are_read_by_several_tasks(spark):
+    """A customer is a file, and all customers lie in one small Parquet file."""
+    for language in code_catalog.EXTENSION:
+        assert code_catalog.customer_files(spark, DATA, language).rdd.getNumPartitions() >= 4
+    assert catalog.source_files(spark, DATA).rdd.getNumPartitions() >= 4
+
+
+def test_what_is_not_wanted_is_not_made():
+    for language, text in code_catalog.TEMPLATE.items():
+        text = text.replace("{n}", "1").replace("{k}", "2")
+        whole = extract.extract_one("a", language, text.encode())
+        bare = extract.extract_one("a", language, text.encode(), extract.pruned(hashes=False, functions=True))
+        assert whole["functions"] and bare == whole | {"semantic_hash": None, "functions": [f | {"semantic_hash": None} for f in whole["functions"]]}
+        assert extract.extract_one("a", language, text.encode(), extract.pruned(hashes=False, functions=False)) == whole | {"semantic_hash": None, "functions": []}
+
+
+def test_imports_that_many_files_share_are_resolved_once(spark, monkeypatch):
+    seen = []
+    plain = imports.candidate_paths
+    monkeypatch.setattr(imports, "candidate_paths", lambda rows: seen.append(rows.count()) or plain(rows))
+    one = lambda module, names, level: {"module": module, "names": names, "level": level, "alias": None}
+    files = [(f"a/{d}/f{i}.py", "python", ["x"], [one("", ["g"], 1), one("lib.os", [], 0), one("up", [], 2)]) for d in "bc" for i in range(40)]
+    files += [(f"a/{d}/g.py", "python", [], []) for d in "bc"] + [("a/up.py", "python", [], []), ("lib/os.py", "python", [], [])]
+    files += [(f"src/r/m{i}.rs", "rust", ["open"], [one("super::util", ["open"], 0), one("super::super", ["top"], 0)]) for i in range(40)]
+    files += [("src/r/util.rs", "rust", ["open"], []), ("src/top/mod.rs", "rust", [], []), ("src/r/deep/mod.rs", "rust", [], [one("super::util", ["open"], 0)])]
+    df = spark.createDataFrame(files, "path string, language string, exports array<string>, imports_raw array<struct<module:string,names:array<string>,level:int,alias:string>>")
+    got = {(r.src, r.dst) for r in imports.resolve(df).collect()}
+    want = {(f"a/{d}/f{i}.py", dst) for d in "bc" for i in range(40) for dst in (f"a/{d}/g.py", "a/up.py", "lib/os.py")}
+    want |= {(f"src/r/m{i}.rs", "src/r/util.rs") for i in range(40)} | {("src/r/deep/mod.rs", "src/r/util.rs")}
+    want |= {(f"src/r/m{i}.rs", "src/top/mod.rs") for i in range(40)}
+    assert got == want
+    assert seen == [7]
