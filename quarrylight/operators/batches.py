@@ -73,8 +73,9 @@ def greedy_batches(df: DataFrame, group: str, order: str, tokens: Column, max_it
 
     # leave[e], n[e]: from the entrance e of the first of a stretch of chunks.
     last = arrays.agg(F.coalesce(F.max("chunk"), F.lit(0))).first()[0]
-    many = arrays.groupBy("g").agg(F.max("chunk").alias("most")).filter("most > 0").select(F.col("g").alias("k"))
-    steps = arrays.join(many, F.col("g").eqNullSafe(F.col("k")), "left_semi") if last else arrays.filter("false")
+    # Of groups of one chunk no maps are needed: a first chunk with a next one shows
+    # items of it.
+    steps = arrays.filter((F.col("chunk") > 0) | (F.element_at("items", -1)["pos"] >= chunk))
     steps = settle(steps.mapInArrow(maps, f"g {types['g']}, chunk long, leave array<long>, n array<long>"), "batches-maps")
     # at: the entrance of each chunk reached so far; every round doubles the chunks behind.
     reach, span = steps.withColumn("from", F.col("chunk")), 1
