@@ -177,9 +177,11 @@ SELECT s_suppkey AS k, v, rule::INT AS rule FROM supplier LEFT JOIN x ON k = s_s
 """)
 def rule_cascade(spark, d):
     s, c = load(spark, d, "supplier"), load(spark, d, "customer")
-    pair = lambda on: s.join(c, on).select(F.col("s_suppkey").alias("k"), F.col("c_custkey").alias("v"))
+    pair = lambda on, c=c: s.join(c, on).select(F.col("s_suppkey").alias("k"), F.col("c_custkey").alias("v"))
     same = F.col("c_nationkey") == F.col("s_nationkey")
-    rules = [pair((F.col("c_custkey") == F.col("s_suppkey") * 100) & same), pair(same & (F.col("c_mktsegment") == "BUILDING")), pair(F.col("c_custkey") == F.col("s_suppkey"))]
+    # Within a rule the least value counts, so a nation answers by its least customer.
+    least = c.filter(F.col("c_mktsegment") == "BUILDING").groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey"))
+    rules = [pair((F.col("c_custkey") == F.col("s_suppkey") * 100) & same), pair(same, least), pair(F.col("c_custkey") == F.col("s_suppkey"))]
     return s.select(F.col("s_suppkey").alias("k")).join(graph.first_rule(*rules, key=["k"], value="v"), "k", "left")
 
 
