@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.scratch import hadoop, scratch_path
@@ -20,24 +20,31 @@ def sessions(events: DataFrame, ts: str, path: str, gap: str, keys: list[str]) -
     before the shuffle."""
     df = events.withColumn("_ts", F.col(ts).cast("timestamp"))
     if not keys:
-        df = quiet_islands(df, gap)
+        return whole_sessions(df, path, gap)
     window = F.session_window("_ts", F.lit(gap))
-    out = df.groupBy(window.alias("session"), *(keys or ["_island"])).agg(F.min("_ts").alias("first_seen"), F.count("*").alias("n_events"), F.array_sort(F.collect_set(path)).alias("paths"))
+    out = df.groupBy(window.alias("session"), *keys).agg(F.min("_ts").alias("first_seen"), F.count("*").alias("n_events"), F.array_sort(F.collect_set(path)).alias("paths"))
     return out.select(*keys, "first_seen", "n_events", "paths")
 
 
-def quiet_islands(events: DataFrame, gap: str) -> DataFrame:
-    """events with ``_island``: numbers of stretches that at least one whole
-    interval of ``gap`` without an event divides. No session reaches from one to
-    another, so one timer for all events needs no single task. What is ordered in
-    one task are intervals with events: one row each, whatever their number."""
-    seconds = F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00' + INTERVAL {gap}) - unix_micros(timestamp'1970-01-01 00:00:00')")
+def gap_micros(gap: str) -> Column:
+    return F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00' + INTERVAL {gap}) - unix_micros(timestamp'1970-01-01 00:00:00')")
+
+
+def whole_sessions(events: DataFrame, path: str, gap: str) -> DataFrame:
+    """Sessions of all events (``_ts``) under one timer, of any length.
+
+    Events of one interval of ``gap`` are of one session, so sessions are made of
+    intervals: aggregated first, they are chained by their first and last event,
+    and a session that holds all events is a row an interval to its task."""
+    seconds = gap_micros(gap)
     slot = F.floor(F.unix_micros("_ts") / seconds).cast("long")
-    slots = events.select(slot.alias("_slot")).distinct()
+    each = events.filter("_ts IS NOT NULL").groupBy(slot.alias("_slot"), F.col(path).alias("_path")).agg(F.min("_ts").alias("_first"), F.max("_ts").alias("_last"), F.count("*").alias("_n"))
     order = Window.orderBy("_slot")
-    fresh = F.when(F.col("_slot") - F.lag("_slot").over(order) <= 1, 0).otherwise(1)
-    islands = slots.withColumn("_fresh", fresh).select("_slot", F.sum("_fresh").over(order).alias("_island"))
-    return events.withColumn("_slot", slot).join(islands, "_slot").drop("_slot")
+    slots = each.groupBy("_slot").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    fresh = F.when(F.unix_micros("_first") - F.unix_micros(F.lag("_last").over(order)) <= seconds, 0).otherwise(1)
+    islands = slots.select("_slot", fresh.alias("_fresh")).select("_slot", F.sum("_fresh").over(order).alias("_island"))
+    out = each.join(islands, "_slot").groupBy("_island").agg(F.min("_first").alias("first_seen"), F.sum("_n").alias("n_events"), F.array_sort(F.collect_set("_path")).alias("paths"))
+    return out.select("first_seen", "n_events", "paths")
 
 
 def stream_once(spark: SparkSession, path: str, schema, ts: str, name: str, gap: str, keys: list[str], delay: str = "10 seconds") -> DataFrame:

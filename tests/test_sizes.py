@@ -3,10 +3,13 @@
 import datetime as dt
 
 import duckdb
+from pyspark.sql import functions as F
 
-from quarrylight.operators import imports
+from quarrylight.operators import batches, graph, imports
 from quarrylight.plans import catalog, code_catalog
+from quarrylight.scratch import settle
 from quarrylight.sources import extract
+from quarrylight.streaming import debounce
 
 DATA = "/root/testdata/sf0.001"
 
@@ -59,3 +62,38 @@ def test_imports_that_many_files_share_are_resolved_once(spark, monkeypatch):
     want |= {(f"src/r/m{i}.rs", "src/top/mod.rs") for i in range(40)}
     assert got == want
     assert seen == [7]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_bring_no_more_than_their_least_values(spark, monkeypatch):
+    seen = []
+    plain = graph.first_rule
+    monkeypatch.setattr(graph, "first_rule", lambda *rules, **o: seen.extend(r.groupBy("k").count().agg(F.max("count")).first()[0] for r in rules) or plain(*rules, **o))
+    catalog.QUERIES["rule_cascade"](spark, DATA)
+    assert len(seen) == 3 and all((n or 0) <= 1 for n in seen)
+
+
+def test_chunks_of_one_group_share_no_join_key(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(batches, "settle", lambda df, name: plans.append((name, plan_of(df))) or settle(df, name))
+    rows = spark.range(200).selectExpr("IF(id < 190, 0, 1) AS g", "id AS o", "id % 5 AS t")
+    out = batches.greedy_batches(rows, "g", "o", F.col("t"), 4, 9, 16)
+    want, n, total = 0, 0, 0
+    for t in (i % 5 for i in range(190)):
+        if n == 4 or n and total + t > 9:
+            want, n, total = want + 1, 0, 0
+        n, total = n + 1, total + t
+    assert out.filter("g = 0").agg(F.max("batch")).first()[0] == want
+    assert [n for n, _ in plans][:2] == ["batches", "batches-maps"] and "Join" not in plans[1][1]
+
+
+def test_one_session_of_all_events_is_no_task_of_all_events(spark):
+    rows = [(t, p) for t, p in [(0, "a"), (600_000_000, "b"), (1_200_000_001, "a"), (1_200_000_001, "c"), (1_799_999_999, "b"), (2_399_999_999, None), (9_000_000_000, "d")]]
+    df = spark.createDataFrame([*rows, (None, "x")], "at long, path string").select(F.timestamp_micros("at").alias("ts"), "path")
+    out = debounce.sessions(df, "ts", "path", "10 minutes", [])
+    got = sorted((r.at, r.n_events, r.paths) for r in out.withColumn("at", F.unix_micros("first_seen")).collect())
+    assert got == [(0, 2, ["a", "b"]), (1_200_000_001, 4, ["a", "b", "c"]), (9_000_000_000, 1, ["d"])]
+    assert "session" not in plan_of(out).lower()
