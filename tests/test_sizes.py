@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 from pyspark.sql import functions as F
 
-from quarrylight.operators import batches, graph, imports
+from quarrylight.operators import batches, graph, imports, seeds
 from quarrylight.plans import catalog, code_catalog
 from quarrylight.scratch import settle
 from quarrylight.sources import extract
@@ -97,3 +97,17 @@ def test_one_session_of_all_events_is_no_task_of_all_events(spark):
     got = sorted((r.at, r.n_events, r.paths) for r in out.withColumn("at", F.unix_micros("first_seen")).collect())
     assert got == [(0, 2, ["a", "b"]), (1_200_000_001, 4, ["a", "b", "c"]), (9_000_000_000, 1, ["d"])]
     assert "session" not in plan_of(out).lower()
+
+
+def test_many_seeds_over_several_blocks(spark, monkeypatch):
+    """What moves between tasks are sums a seed and node, in blocks of any size."""
+    monkeypatch.setattr(seeds, "EDGES", 150)
+    nodes = spark.range(60).select(F.col("id").alias("node"))
+    edges = spark.range(700).selectExpr("(id * 7 + id * id % 11) % 60 AS src", "(id * 13 + id * id % 17) % 60 AS dst")
+    some = nodes.filter("node % 9 = 0")
+    got = {(r.seed, r["rank"]): (r.node, round(r.score, 9)) for r in graph.best_centralities(nodes, edges, some, 4).collect()}
+    for seed in (0, 27, 54):
+        want = {r.node: round(r.score, 9) for r in graph.seeded_centrality(nodes, edges, seed).collect()}
+        best = sorted(want, key=lambda n: (-want[n], n))[:4]
+        assert [got[seed, k + 1] for k in range(4)] == [(n, want[n]) for n in best]
+    assert len(got) == 28
