@@ -10,6 +10,7 @@ classes of length; beyond the lengths that the labels show, fixed ones hold.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import SPACE_CHARS, table
+from quarrylight.llm.common import SPACE_CHARS, settle, table
 
 #: (bytes from, least ratio, greatest ratio) for whole texts; below the first
 #: row a text is too short to judge. Prose at level 3 lies well inside.
@@ -29,10 +30,12 @@ CHUNK = 4096
 CHUNK_BAND = (0.20, 0.80)
 CHUNK_SHARE = 0.25
 LEVEL = 3
-#: At most so many labelled good rows to fit to; a class of length has so many of
-#: them at least; the share of them that lies beyond either limit before it is
-#: moved out by a part of its distance from the median.
-SAMPLE, LEAST, LOST, MARGIN = 20_000, 100, 0.005, 0.25
+#: A class of length has so many labelled good rows at least; the share of them
+#: that lies beyond either limit before it is moved out by a part of its distance
+#: from the median.
+LEAST, LOST, MARGIN = 100, 0.005, 0.25
+#: Bins of the unit interval in which order statistics are looked for.
+BINS = 1 << 16
 SYMBOLS = "#*$%&|<>"
 
 
@@ -94,53 +97,90 @@ def class_starts() -> list[int]:
     return [round(128 * 2 ** (k / 2)) for k in range(60)]
 
 
-def band_of(ratios, lost: float = LOST, margin: float = MARGIN) -> tuple[float, float]:
-    """The limits that these ratios of good texts give."""
-    low, middle, high = np.quantile(ratios, [lost, 0.5, 1 - lost])
-    return float(low - margin * (middle - low)), float(high + margin * (high - middle))
-
-
-def fit_bands(good: list[tuple[int, float]], bands=BANDS, least: int = LEAST, lost: float = LOST, margin: float = MARGIN) -> tuple:
-    """Bands from (bytes, ratio) of good texts, one a class of length. Classes with fewer than
-    ``least`` texts are joined with the next; lengths that no full class shows
-    keep ``bands``."""
-    rows = sorted(r for r in good if r[0] >= bands[0][0])
-    sizes, ratios = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    starts = [x for x in class_starts() if len(rows) and x <= sizes[-1]]
-    out, begin = [], 0
-    for following in [*starts[1:], None]:
-        end = len(rows) if following is None else int(np.searchsorted(sizes, following))
-        if end - begin >= least:
-            out.append((int(sizes[begin]), *band_of(ratios[begin:end], lost, margin)))
-            begin = end
-    if not out:
-        return bands
-    stop = int(sizes[begin - 1]) + 1
-    before = [b for b in bands if b[0] < out[0][0]]
-    return (*before, *out, (stop, *limits(stop, bands)), *[b for b in bands if b[0] > stop])
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE, least: int = LEAST, lost: float = LOST, margin: float = MARGIN) -> dict:
-    """The bands for ``judge`` from rows labelled good (1), of which at most
-    ``rows`` are taken, in the order of hashed ids; rows whose crc32(id) is 2
-    modulo 4 are left out, to measure by.
-
-    Cases: ids that are labelled both ways, null ids and labels teach nothing.
-    Without enough labels the fixed bands hold. Only sizes and ratios come to the
-    driver, no more than ``rows``.
+def band_of(low: float, middle: float, high: float, margin: float = MARGIN) -> tuple[float, float]:
+    """The limits that these quantiles of the ratios of good texts give."""
+    return low - margin * (middle - low), high + margin * (high - middle)
+
+
+def quantiles(rows: DataFrame, counts: dict[int, int], shares: list[float]) -> dict[int, list[float]]:
+    """Exact quantiles, with linear interpolation, of v for every g (rows g, v; as
+    many of each as counts says). Counts by bin come to the driver, no more than
+    the bins; then the distinct values of the bins that hold what is looked for."""
+    binned = rows.withColumn("bin", F.floor(F.col("v") * BINS).cast("long"))
+    wanted = {g: sorted({k for q in shares for k in (int((n - 1) * q), min(int((n - 1) * q) + 1, n - 1))}) for g, n in counts.items()}
+    sizes: dict[int, list] = {}
+    for r in binned.groupBy("g", "bin").count().collect():
+        sizes.setdefault(r.g, []).append((r.bin, r["count"]))
+    holds: dict[tuple[int, int], int] = {}  # a bin that holds a wanted value, and how many come before
+    for g, ranks in wanted.items():
+        before = 0
+        for at, n in sorted(sizes.get(g, [])):
+            if any(before <= k < before + n for k in ranks):
+                holds[g, at] = before
+            before += n
+    if not holds:
+        return {}
+    some = F.broadcast(rows.sparkSession.createDataFrame(list(holds), "g int, bin long"))  # six a group at most
+    found: dict[tuple[int, int], float] = {}
+    upto = dict(holds)
+    for r in sorted(binned.join(some, ["g", "bin"]).groupBy("g", "bin", "v").count().collect(), key=lambda r: (r.g, r.bin, r.v)):
+        start = upto[r.g, r.bin]
+        upto[r.g, r.bin] = start + r["count"]
+        found.update({(r.g, k): r.v for k in wanted[r.g] if start <= k < start + r["count"]})
+
+    def between(g: int, q: float) -> float:
+        at = (counts[g] - 1) * q
+        k, t = int(at), at - int(at)
+        a, b = found[g, k], found[g, min(k + 1, counts[g] - 1)]
+        return b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t
+
+    return {g: [between(g, q) for q in shares] for g in counts}
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: int = LEAST, lost: float = LOST, margin: float = MARGIN) -> dict:
+    """The bands for ``judge`` from all rows labelled good (1); rows whose
+    crc32(id) is 2 modulo 4 are left out, to measure by.
+
+    Bands are one a class of length; classes with fewer than ``least`` texts are
+    joined with the next, and lengths that no full class shows keep the fixed
+    ones. Cases: ids that are labelled both ways, null ids and labels teach
+    nothing. Without enough labels the fixed bands hold. Sizes and ratios are
+    written to the shared folder, a small row a text; texts are not moved.
     """
-    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
-    own = own.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2).groupBy("id").agg(F.min("y").alias("low")).filter("low = 1")
-    order = F.xxhash64(F.lit(13), "id")
-    some = own.select("id").orderBy(order, "id").limit(rows)  # bounded, so it may be broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
-    found = judge(texts, "id", "text", size=True).filter("ratio IS NOT NULL AND NOT base_failed")
-    got = found.select("doc_id", "n_bytes", "ratio", "chunk_low", "chunk_high").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id", "n_bytes", "ratio").limit(rows).collect()
-    chunks = [(r.chunk_low, r.chunk_high) for r in got if r.chunk_low is not None]
-    band = CHUNK_BAND
-    if len(chunks) >= least:
-        band = (band_of([c[0] for c in chunks], lost, margin)[0], band_of([c[1] for c in chunks], lost, margin)[1])
-    return {"bands": fit_bands([(r.n_bytes, r.ratio) for r in got], least=least, lost=lost, margin=margin), "chunk_band": band}
+    teaches = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 4 != 2
+    own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
+    own = own.filter(teaches("doc_id")).groupBy("doc_id").agg(F.min("y").alias("low")).filter("low = 1").select("doc_id")
+    rows = judge(docs.filter(teaches(id_col)), id_col, text_col, size=True).filter("ratio IS NOT NULL AND NOT base_failed")
+    starts = class_starts()
+    kind = sum((F.col("n_bytes") >= x).cast("int") for x in starts) - 1
+    rows = rows.select("doc_id", "n_bytes", "ratio", "chunk_low", "chunk_high").join(own, "doc_id", "left_semi").withColumn("class", kind)
+    good = settle(rows.drop("doc_id"), "ratios")
+    classes = good.groupBy("class").agg(F.count("*").alias("n"), F.min("n_bytes").alias("first"), F.max("n_bytes").alias("last"), F.count("chunk_low").alias("chunks")).orderBy("class").collect()  # a row a class
+    group_of, groups, held = {}, [], []
+    for r in [r for r in classes if r["class"] >= 0]:
+        held.append(r)
+        if sum(h.n for h in held) >= least:
+            group_of.update({h["class"]: len(groups) for h in held})
+            groups.append((held[0].first, held[-1].last, sum(h.n for h in held)))
+            held = []
+    counts = {g: n for g, (_, _, n) in enumerate(groups)}
+    chunks = sum(r.chunks for r in classes)
+    parts = []
+    if groups:
+        of = F.create_map(*[F.lit(x) for kv in group_of.items() for x in kv])
+        parts.append(good.select(of[F.col("class")].cast("int").alias("g"), F.col("ratio").alias("v")).filter("g IS NOT NULL"))
+    if chunks >= least:
+        counts |= {-1: chunks, -2: chunks}
+        parts += [good.select(F.lit(g).alias("g"), F.col(c).alias("v")).filter("v IS NOT NULL") for g, c in ((-1, "chunk_low"), (-2, "chunk_high"))]
+    if not parts:
+        return {"bands": BANDS, "chunk_band": CHUNK_BAND}
+    limits_of = {g: band_of(*q, margin) for g, q in quantiles(reduce(DataFrame.unionByName, parts), counts, [lost, 0.5, 1 - lost]).items()}
+    bands = BANDS
+    if groups:
+        out = [(first, *limits_of[g]) for g, (first, _, _) in enumerate(groups)]
+        stop = groups[-1][1] + 1
+        bands = (*[b for b in BANDS if b[0] < out[0][0]], *out, (stop, *limits(stop)), *[b for b in BANDS if b[0] > stop])
+    return {"bands": bands, "chunk_band": (limits_of[-1][0], limits_of[-2][1]) if chunks >= least else CHUNK_BAND}
 
 
 class Judge:
