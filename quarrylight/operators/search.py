@@ -82,14 +82,19 @@ def bm25_indexed(index: DataFrame, query: str, key: str, limit: int | None = LIM
     return best if limit is None else best.limit(min(limit, MOST))
 
 
-def contains(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """Rows with the query as a substring of any column, ignoring case; the
+def holds(query: str, columns: list[str]) -> Column:
+    """Whether the query is a substring of any column, ignoring case; the
     query's wildcards are ordinary characters."""
     pattern = "%" + query.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
     hit = F.lit(False)
     for c in columns:
         hit = hit | F.coalesce(F.col(c).ilike(pattern), F.lit(False))
-    return df.filter(hit)
+    return hit
+
+
+def contains(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """Rows with the query as a substring of any column."""
+    return df.filter(holds(query, columns))
 
 
 def merge_results(*results: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:

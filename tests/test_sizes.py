@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 from pyspark.sql import functions as F
 
-from quarrylight.operators import batches, graph, imports, seeds
+from quarrylight.operators import batches, graph, imports, seeds, trigrams
 from quarrylight.plans import catalog, code_catalog
 from quarrylight.scratch import settle
 from quarrylight.sources import extract
@@ -111,3 +111,15 @@ def test_many_seeds_over_several_blocks(spark, monkeypatch):
         best = sorted(want, key=lambda n: (-want[n], n))[:4]
         assert [got[seed, k + 1] for k in range(4)] == [(n, want[n]) for n in best]
     assert len(got) == 28
+
+
+def test_texts_of_one_file_are_indexed_and_searched_by_several_tasks(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    index = trigrams.TrigramIndex(docs, "doc_id", ["text", "source"])
+    assert len(index.docs.inputFiles()) >= 4
+    found = index.search("ING the")
+    want = docs.filter("contains(lower(text), 'ing the') OR contains(lower(source), 'ing the')")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
+    # The texts are neither moved nor looked at before it is known where to look.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "CASE WHEN (getbit" in plan
