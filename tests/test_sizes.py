@@ -9,7 +9,7 @@ from quarrylight.operators import batches, graph, imports, seeds, trigrams
 from quarrylight.plans import catalog, code_catalog
 from quarrylight.scratch import settle
 from quarrylight.sources import extract
-from quarrylight.streaming import debounce
+from quarrylight.streaming import debounce, processor
 
 DATA = "/root/testdata/sf0.001"
 
@@ -123,3 +123,74 @@ def test_texts_of_one_file_are_indexed_and_searched_by_several_tasks(spark):
     # The texts are neither moved nor looked at before it is known where to look.
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "CASE WHEN (getbit" in plan
+
+
+class Handle:
+    """State of one key in memory; counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.far, self.held = 0, set(), {}, None
+
+    def count(self, out=None):
+        self.calls += 1
+        return out
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class Value:
+            exists = lambda _: outer.count(outer.held is not None)
+            get = lambda _: outer.count(outer.held)
+            update = lambda _, v: outer.count(setattr(outer, "held", v))
+            clear = lambda _: outer.count(setattr(outer, "held", None))
+
+        return Value()
+
+    def getMapState(self, name, key, value):
+        outer = self
+
+        class Map:
+            containsKey = lambda _, k: outer.count(k in outer.far)
+            getValue = lambda _, k: outer.count(outer.far.get(k))
+            updateValue = lambda _, k, v: outer.count(outer.far.update({k: v}))
+            clear = lambda _: outer.count(outer.far.clear())
+
+        return Map()
+
+    def registerTimer(self, at):
+        self.count(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self.count(self.timers.discard(at))
+
+    def listTimers(self):
+        return self.count(sorted(self.timers))
+
+
+def test_all_bursts_that_are_over_go_out_at_once(spark):
+    """A key costs a fixed number of calls, however many bursts it has."""
+    from types import SimpleNamespace
+
+    quiet, handle, second = processor.QuietPaths(60, 86400), Handle(), 1_000_000
+    quiet.init(handle)
+    at = lambda mark: SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+
+    def fire(mark):
+        out = []
+        for t in sorted(t for t in handle.timers if t <= mark):
+            out += quiet.handleExpiredTimer(("k",), at(mark), SimpleNamespace(getExpiryTimeInMs=lambda: t))
+            handle.timers.discard(t)
+        return out
+
+    rows = [SimpleNamespace(at=i * 1000 * second, path=f"p{i % 300}", state=str(i // 600)) for i in range(900)]
+    assert list(quiet.handleInputRows(("k",), iter(rows), at(0))) == []
+    assert len(handle.timers) == 1 and handle.calls <= 3
+    first = fire(99_100_000)
+    assert [(r.first_seen, r.n_events, r.paths) for r in first] == [(i * 1000 * second, 1, [f"p{i}"]) for i in range(100)]
+    assert handle.calls <= 10 and len(handle.timers) == 1
+    out = first + fire(899_100_000)
+    assert [r.paths for r in out] == [[f"p{i % 300}"] if i < 300 or i >= 600 else [] for i in range(900)]
+    # More paths than a value holds are kept in the map; all goes when it is old.
+    assert handle.held is not None and len(handle.far) == 300 - processor.NEAR and len(handle.timers) == 1
+    fire(10**12)
+    assert handle.held is None and not handle.timers and not handle.far
