@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators.incremental import only_keys
 from quarrylight.operators.search import B, K1, LIMIT, query_terms, tokens_of
+from quarrylight.scratch import remove
 
 #: Segments before the newest are merged.
 MOST = 8
@@ -42,26 +43,41 @@ def write_postings(postings: DataFrame, path: str) -> None:
     bounds.repartitionByRange("term").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
 
 
+def counted(rows: DataFrame, path: str, key: str, text_cols: list[str]) -> DataFrame:
+    """key, dl, terms (term, tf) of texts, which are dealt out to all tasks and
+    tokenised once: written to path."""
+    tokens = rows.select(key, *text_cols).repartition(key).select(key, tokens_of(text_cols).alias("tokens"))
+    # A text without a term stays, by a null one.
+    each = tokens.select(key, F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    whole = each.groupBy(key, "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
+    whole.write.parquet(path)
+    return rows.sparkSession.read.schema(whole.schema).parquet(path)
+
+
 def write(added: DataFrame, removed: DataFrame | None, path: str, seq: int, key: str, text_cols: list[str]) -> int:
     """A segment of the texts ``added`` and of the former ones ``removed``;
     returns the number of texts added. Keys are unique in each."""
-    rows = lambda df: df.select(key, tokens_of(text_cols).alias("tokens")).select(key, "tokens", F.size("tokens").cast("long").alias("dl"))
-    each = in_blocks(rows(added), key).select(key, "dl", "block", F.explode("tokens").alias("term"))
-    postings = each.groupBy("term", "block", key, "dl").agg(F.count("*").alias("tf"))
-    write_postings(postings.select("term", "block", key, "tf", "dl", F.lit(seq).cast("long").alias("seq")), path)
+    spark = added.sparkSession
+    new = counted(added, f"{path}/added", key, text_cols)
+    old = None if removed is None else counted(removed, f"{path}/removed", key, text_cols)
+    each = in_blocks(new, key).select(key, "dl", "block", F.explode("terms").alias("t"))
+    write_postings(each.select("t.term", "block", key, "t.tf", "dl", F.lit(seq).cast("long").alias("seq")), path)
 
     def counts(df: DataFrame, sign: int) -> DataFrame:
-        terms = df.select(F.explode(F.array_distinct("tokens")).alias("term"), F.lit(0).cast("long").alias("dl"))
+        terms = df.select(F.explode("terms.term").alias("term"), F.lit(0).cast("long").alias("dl"))
         both = terms.unionByName(df.select(F.lit("").alias("term"), "dl"))
         return both.groupBy("term").agg((sign * F.count("*")).alias("df"), (sign * F.sum("dl")).alias("length"))
 
-    stats = counts(rows(added), 1)
-    if removed is not None:
-        stats = stats.unionByName(counts(rows(removed), -1)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
+    stats = counts(new, 1)
+    if old is not None:
+        stats = stats.unionByName(counts(old, -1)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
     stats.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    ended = (added if removed is None else removed).select(key, F.lit(seq).cast("long").alias("seq"))
-    (ended.limit(0) if removed is None else ended).write.parquet(f"{path}/gone")
-    return added.count()
+    ended = (new if old is None else old).select(key, F.lit(seq).cast("long").alias("seq"))
+    (ended.limit(0) if old is None else ended).write.parquet(f"{path}/gone")
+    n = new.count()
+    for name in ("added", "removed"):
+        remove(spark, f"{path}/{name}")
+    return n
 
 
 class Index:

@@ -5,7 +5,7 @@ import datetime as dt
 import duckdb
 from pyspark.sql import functions as F
 
-from quarrylight.operators import batches, graph, imports, seeds, trigrams
+from quarrylight.operators import batches, graph, imports, seeds, segments, trigrams
 from quarrylight.plans import catalog, code_catalog
 from quarrylight.scratch import settle
 from quarrylight.sources import extract
@@ -194,3 +194,16 @@ def test_all_bursts_that_are_over_go_out_at_once(spark):
     assert handle.held is not None and len(handle.far) == 300 - processor.NEAR and len(handle.timers) == 1
     fire(10**12)
     assert handle.held is None and not handle.timers and not handle.far
+
+
+def test_texts_of_a_segment_are_tokenised_once(spark, tmp_path, monkeypatch):
+    seen, plain = [], segments.tokens_of
+    monkeypatch.setattr(segments, "tokens_of", lambda columns: seen.append(columns) or plain(columns))
+    docs = spark.createDataFrame([(1, "red tea red"), (2, ""), (3, None), (4, "tea")], "id long, text string")
+    assert segments.write(docs, docs.filter("id = 4").selectExpr("id", "'red cup' AS text"), str(tmp_path), 2, "id", ["text"]) == 4
+    assert len(seen) == 2
+    read = lambda name: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{name}").collect()))
+    assert [(t, k, tf, dl) for t, _, k, tf, dl, _ in read("postings")] == [("red", 1, 2, 3), ("tea", 1, 1, 3), ("tea", 4, 1, 1)]
+    assert read("terms") == [("", 3, 2), ("cup", -1, 0), ("red", 0, 0), ("tea", 2, 0)]
+    assert read("gone") == [(4, 2)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["blocks", "gone", "postings", "terms"]
