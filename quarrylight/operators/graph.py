@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from quarrylight.scratch import settle
 
 DAMPING, ITERATIONS = 0.85, 5
 TOP, COMPRESS = 12, 15
+#: Rows that a task holds to find the first ones of groups.
+HELD = 200_000
 
 
 def callers_of(edges: DataFrame, nodes: DataFrame, callee, caller_col: str, callee_col: str, node_key: str, attributes: list[str]) -> DataFrame:
@@ -29,6 +36,37 @@ def reverse_edges(edges: DataFrame, src: str, dst: str, name: str = "used_by") -
     return edges.filter(F.col(src) != F.col(dst)).groupBy(dst).agg(F.array_sort(F.collect_set(src)).alias(name)).withColumn(f"{name}_count", F.size(name).cast("long"))
 
 
+def first_of_groups(rows: DataFrame, group: str, order: list[str], limit: int) -> DataFrame:
+    """Rows among which are the first of every group without repeats: each task
+    leaves out what cannot be one. A task holds few rows at a time."""
+    columns = [group, *order]
+
+    def least(table: pa.Table) -> pa.Table:
+        table = table.group_by(columns).aggregate([]).select(columns)
+        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in columns], null_placement="at_start"))
+        code = table[group].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        begins = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        pos = np.arange(len(code)) - np.repeat(begins, np.diff(np.r_[begins, len(code)]))
+        return table.filter(pa.array(pos < limit))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                held = least(pa.Table.from_batches(held)).to_batches()
+                n = sum(b.num_rows for b in held)
+                if n > HELD // 2:  # groups of few rows: nothing is gained by holding them
+                    yield from held
+                    held, n = [], 0
+        if n:
+            yield from least(pa.Table.from_batches(held)).to_batches()
+
+    some = rows.select(columns)
+    return some.mapInArrow(firsts, some.schema)
+
+
 def external_callers(edges: DataFrame, members: DataFrame, caller_col: str, callee_col: str, member_col: str, group_col: str, limit: int | None = None) -> DataFrame:
     """Calls into a group from outside it: (group, callee, caller).
 
@@ -37,11 +75,12 @@ def external_callers(edges: DataFrame, members: DataFrame, caller_col: str, call
     """
     inside = edges.join(members.select(F.col(member_col).alias(callee_col), F.col(group_col).alias("grp")), callee_col)
     home = members.select(F.col(member_col).alias(caller_col), F.col(group_col).alias("home"))
-    out = inside.join(home, caller_col, "left").filter(~F.col("grp").eqNullSafe(F.col("home"))).select("grp", callee_col, caller_col).distinct()
-    if limit is not None:
-        w = Window.partitionBy("grp").orderBy(caller_col, callee_col)
-        out = out.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
-    return out
+    out = inside.join(home, caller_col, "left").filter(~F.col("grp").eqNullSafe(F.col("home"))).select("grp", callee_col, caller_col)
+    if limit is None:
+        return out.distinct()
+    w = Window.partitionBy("grp").orderBy(caller_col, callee_col)
+    few = first_of_groups(out, "grp", [caller_col, callee_col], limit).distinct().select("grp", callee_col, caller_col)
+    return few.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
 
 
 def call_targets(edges: DataFrame, group_col: str, target_cols: list[str], limit: int) -> DataFrame:

@@ -66,7 +66,7 @@ x AS (
 SELECT grp, callee_id, caller_id, pos::INT AS pos FROM r WHERE pos <= 8
 """)
 def external_callers(spark, d):
-    edges = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("caller_id"), F.col("l_suppkey").alias("callee_id")).distinct()
+    edges = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("caller_id"), F.col("l_suppkey").alias("callee_id"))
     members = load(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("grp"))
     return graph.external_callers(edges, members, "caller_id", "callee_id", "node", "grp", 8)
 

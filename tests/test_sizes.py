@@ -207,3 +207,18 @@ def test_texts_of_a_segment_are_tokenised_once(spark, tmp_path, monkeypatch):
     assert read("terms") == [("", 3, 2), ("cup", -1, 0), ("red", 0, 0), ("tea", 2, 0)]
     assert read("gone") == [(4, 2)]
     assert sorted(p.name for p in tmp_path.iterdir()) == ["blocks", "gone", "postings", "terms"]
+
+
+def test_callers_that_cannot_be_among_the_first_are_left_out_early(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HELD", 40)
+    members = spark.createDataFrame([(f"n{i}", [None, 1, 2, 3][i % 4]) for i in range(40)], "node string, g int")
+    edges = spark.range(4000).selectExpr("IF(id % 97 = 0, NULL, concat('n', id * 7 % 43)) AS a", "concat('n', id * id % 41) AS b").coalesce(2)
+    rows = graph.external_callers(edges, members, "a", "b", "node", "g").collect()
+    want = []
+    for g in (None, 1, 2, 3):
+        own = sorted(((r.a is not None, r.a or "", r.b) for r in rows if r.grp == g))[:5]
+        want += [(g, b, a if known else None, i + 1) for i, (known, a, b) in enumerate(own)]
+    got = graph.external_callers(edges, members, "a", "b", "node", "g", 5)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    pairs = edges.join(members, edges.b == members.node).select("g", "a", "b")
+    assert graph.first_of_groups(pairs, "g", ["a", "b"], 5).count() <= 2 * 4 * 5 * 2
