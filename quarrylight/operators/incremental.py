@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators import calls
-from quarrylight.operators.graph import by_unique_name
+from quarrylight.operators.graph import bearers
+from quarrylight.scratch import settle as scratch_settle
 
-#: Up to so many keys are handed to a scan as a filter, so that it can leave out
-#: row groups; more are joined.
-PUSHED = 1000
+PUSHED = calls.PUSHED
 
 
 @dataclass
@@ -36,7 +35,8 @@ class CodeState:
 
 
 def only_keys(df: DataFrame, column: str, keys: DataFrame, most: int = PUSHED) -> DataFrame:
-    """Rows whose column is among the (one-column) keys."""
+    """Rows whose column is among the (one-column) keys: a filter of the scan if
+    they are few, else a join."""
     name = keys.columns[0]
     some = [r[0] for r in keys.distinct().limit(most + 1).collect()]
     if len(some) <= most:
@@ -56,34 +56,51 @@ def is_other() -> Column:
     return F.col("object").isNotNull() & ~F.col("object").isin(*calls.SELF)
 
 
-def affected_sites(old: CodeState, new: CodeState, old_edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """The call sites (as ``calls.call_sites``) of the new state whose edge may
-    differ from the old one.
+@dataclass
+class Moved:
+    """What a change has moved; each is in the shared folder, so that few keys are
+    broadcast and no call sites are moved to find them."""
 
-    changed: file, for all files that were extracted again, are new or have
-    vanished. The result may hold sites whose edge turns out the same.
-    """
+    led: DataFrame  #: file: its imports lead elsewhere now
+    reached: DataFrame  #: file, name, owner: an imported file defines or shows this no longer, or only now
+    names: DataFrame  #: name, target (before): its answer for all files is another
+
+
+def moved_keys(old: CodeState, new: CodeState, changed: DataFrame) -> Moved:
+    """changed: file, for all files that were extracted again, are new or have
+    vanished."""
     part = lambda df, column="file": only_keys(df, column, changed)
-    old_functions, new_functions = (part(s.functions).select("id", "file", "class_name", "name") for s in (old, new))
-    functions = moved(old_functions, new_functions)
-    own = calls.call_sites(part(new.functions))
+    old_functions, new_functions = (part(s.functions.select("id", "file", "class_name", "name")) for s in (old, new))
+    functions = scratch_settle(moved(old_functions, new_functions), "moved")
 
     # Files whose imports lead elsewhere now: all their calls through objects.
     led = moved(old.import_edges.select("src", "dst"), new.import_edges.select("src", "dst")).select(F.col("src").alias("file")).distinct()
     # Names that an imported file has begun or ceased to define or show.
-    shown = moved(part(old.exports).select("file", "name"), part(new.exports).select("file", "name")).select(F.col("file").alias("target"), "name", F.lit(None).cast("string").alias("owner"))
+    shown = moved(part(old.exports.select("file", "name")), part(new.exports.select("file", "name"))).select(F.col("file").alias("target"), "name", F.lit(None).cast("string").alias("owner"))
     defined = functions.select(F.col("file").alias("target"), "name", F.col("class_name").alias("owner"))
-    keys = shown.unionByName(defined).distinct()
+    keys = scratch_settle(shown.unionByName(defined).distinct(), "moved")
     importers = new.import_edges.select(F.col("src").alias("file"), F.col("dst").alias("target"))
     reached = importers.join(keys, "target").select("file", "name", "owner").distinct()
 
     # Names whose answer for all files has moved.
-    names = functions.select("name").distinct()
-    count = lambda s: by_unique_name(only_keys(s.functions.select("id", "name"), "name", names), "id", "name").select("name", "target", "is_ambiguous", "candidates")
-    known = moved(count(old), count(new)).select("name").distinct()
-    # Of these, the calls that no earlier rule has answered, by the old edges.
-    before = count(old).select(F.col("name").alias("callee_name"), "target")
-    open_ = only_keys(old_edges, "callee_name", known).join(before, "callee_name", "left").filter("callee_id IS NULL OR callee_id = target").select("caller_id", "pos")
+    names = scratch_settle(functions.select("name").distinct(), "moved")
+    answers = [scratch_settle(bearers(only_keys(s.functions.select("id", "name"), "name", names), "id", "name"), "moved") for s in (old, new)]
+    known = moved(*answers).select("name").distinct().join(answers[0].select("name", "target"), "name", "left")
+    return Moved(*[scratch_settle(x, "moved") for x in (led, reached, known)])
+
+
+def affected_sites(old: CodeState, new: CodeState, old_edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """The call sites (as ``calls.call_sites``) of the new state whose edge may
+    differ from the old one.
+
+    changed: as in ``moved_keys``. The result may hold sites whose edge turns out
+    the same.
+    """
+    keys = moved_keys(old, new, changed)
+    led, reached = keys.led, keys.reached
+    own = calls.call_sites(only_keys(new.functions, "file", changed))
+    # Calls of names that have moved which no earlier rule has answered, by the old edges.
+    open_ = only_keys(old_edges, "callee_name", keys.names.select("name")).join(keys.names.withColumnRenamed("name", "callee_name"), "callee_name", "left").filter("callee_id IS NULL OR callee_id = target").select("caller_id", "pos")
 
     files = led.unionByName(reached.select("file")).unionByName(open_.select(F.substring_index("caller_id", "::", 1).alias("file"))).distinct()
     near = calls.call_sites(only_keys(new.functions, "file", files.join(changed, "file", "left_anti"))).filter(is_other())
@@ -94,6 +111,22 @@ def affected_sites(old: CodeState, new: CodeState, old_edges: DataFrame, changed
     return own.unionByName(by_led.select(columns)).unionByName(by_key.select(columns)).unionByName(by_name.select(columns)).dropDuplicates(["caller_id", "pos"])
 
 
+def edges_after(old: CodeState, new: CodeState, old_edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """All edges after a change that may be large: those of untouched files and
+    names as they were, the others resolved again.
+
+    Touched files and names tell both which edges go and which sites are resolved,
+    so that neither edges nor sites are moved to meet each other; a name that has
+    moved takes along its calls that an earlier rule has answered."""
+    keys = moved_keys(old, new, changed)
+    files = scratch_settle(changed.unionByName(keys.led).unionByName(keys.reached.select("file")).distinct(), "moved").withColumn("_file", F.lit(True))
+    names = keys.names.select("name").withColumn("_name", F.lit(True))
+    kept = old_edges.withColumn("file", F.substring_index("caller_id", "::", 1)).join(files, "file", "left_anti").join(names.withColumnRenamed("name", "callee_name"), "callee_name", "left_anti")
+    sites = calls.call_sites(new.functions).join(files, "file", "left").join(names, "name", "left").filter("_file OR _name")
+    sites = scratch_settle(sites.select("caller_id", "file", "class_name", "pos", "name", "object"), "sites")
+    return kept.select(old_edges.columns).unionByName(new.resolve(sites).select(old_edges.columns))
+
+
 def edge_changes(old: CodeState, new: CodeState, old_edges: DataFrame, changed: DataFrame, settle) -> tuple[DataFrame, DataFrame]:
     """Edges to write and (caller_id, pos) of edges to drop, after a change.
 

@@ -222,3 +222,24 @@ def test_callers_that_cannot_be_among_the_first_are_left_out_early(spark, monkey
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     pairs = edges.join(members, edges.b == members.node).select("g", "a", "b")
     assert graph.first_of_groups(pairs, "g", ["a", "b"], 5).count() <= 2 * 4 * 5 * 2
+
+
+def test_incremental_edges_move_calls_as_few_bytes(spark):
+    """Shuffled and written: calls travel within their functions, not as rows that
+    meet every rule, and candidates do not travel at all."""
+    data, status = "/root/testdata/sf0.01", spark.sparkContext._jsc.sc().statusStore()
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() + stages.apply(i).outputBytes() for i in range(stages.size())}
+
+    before, limit = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        catalog.QUERIES["incremental_edges"](spark, data).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    size = sum(n for stage, n in moved().items() if stage not in before)
+    assert 50 * lines < size < 260 * lines, size / lines
