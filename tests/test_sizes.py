@@ -3,6 +3,7 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarrylight.operators import batches, graph, imports, seeds, segments, trigrams
@@ -113,6 +114,32 @@ def test_many_seeds_over_several_blocks(spark, monkeypatch):
     assert len(got) == 28
 
 
+def test_seeds_of_a_small_graph_move_only_their_best(spark, monkeypatch):
+    """Neither a round's scores nor blocks of edges are written."""
+    written, settled = [], lambda df, name: written.append(name) or settle(df, name)
+    monkeypatch.setattr(seeds, "settle", settled)
+    monkeypatch.setattr(graph, "settle", settled)
+    nodes = spark.range(300).select(F.col("id").alias("node"))
+    edges = spark.range(4000).selectExpr("(id * 7 + id * id % 11) % 290 AS src", "(id * 13 + id * id % 17) % 310 AS dst")
+    some = nodes.filter("node % 9 = 0 OR node = 295")
+    shown = lambda: sorted((r.seed, r["rank"], r.node, round(r.score, 9)) for r in graph.best_centralities(nodes, edges, some, 4).collect())
+    for go in (seeds.GO, 50):
+        written.clear()
+        monkeypatch.setattr(seeds, "GO", go)
+        got = shown()
+        assert "seeds" not in written and "edges" not in written and len(got) == 35 * 4
+    monkeypatch.setattr(seeds, "HELD", 0)
+    monkeypatch.setattr(seeds, "EDGES", 900)
+    assert shown() == got and "seeds" in written
+
+
+def test_scores_that_are_equal_when_rounded_go_by_number():
+    score = np.array([0.3, 0.1 + 4e-10, 0.1, 0.1 + 3e-10, 0.1 - 2e-10, 0.05, 0.3, 0.1 + 5e-10])
+    idx, _ = seeds.leading(np.arange(8)[::-1], score, 3)
+    assert sorted(idx.tolist()) == [0, 1, 3, 7]  # 0 lies between two decimals
+    assert len(seeds.leading(np.arange(1000), np.full(1000, 0.1), 3)[0]) == 3
+
+
 def test_texts_of_one_file_are_indexed_and_searched_by_several_tasks(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     index = trigrams.TrigramIndex(docs, "doc_id", ["text", "source"])
