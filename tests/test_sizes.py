@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarrylight.operators import batches, graph, imports, seeds, segments, trigrams
+from quarrylight.operators import batches, graph, imports, intervals, seeds, segments, trigrams
 from quarrylight.plans import catalog, code_catalog
 from quarrylight.scratch import settle
 from quarrylight.sources import extract
@@ -31,6 +31,26 @@ def test_events_at_the_edges_of_intervals(spark, tmp_path):
     assert [tuple(r) for r in got] == want
 
 
+def test_intervals_are_summed_up_without_a_row_for_each_point(spark, monkeypatch):
+    """Any cut into slabs and shares gives what all pairs give: with empty and
+    turned intervals, nulls, points at one place and a key with two intervals."""
+    points = spark.range(3000).selectExpr("IF(id % 50 = 0, NULL, id * 7919 % 2003 - 500) AS at", "IF(id % 9 = 0 OR id * 7919 % 2003 = 77, NULL, id * 31 % 2999) AS v")
+    points = points.unionByName(spark.range(400).selectExpr("40L AS at", "id AS v"))
+    spans = spark.range(1500).selectExpr("IF(id % 97 = 0, NULL, id % 1490) AS k", "id * 37 % 2500 - 700 AS s", "id * 37 % 2500 - 700 + CASE id % 5 WHEN 0 THEN 0 WHEN 1 THEN -1 WHEN 2 THEN id % 40 ELSE id END AS e")
+    spans = spans.unionByName(spark.createDataFrame([(2001, -423, -423), (2002, 5000, 9000), (2003, -9000, -600), (2004, None, 3), (2005, -9000, 9000)], "k long, s long, e long"))
+    pairs = intervals.contained(points, spans, "at", "s", "e").groupBy("k").agg(F.count("*"), F.min("v"), F.max("v"))
+    want = sorted(map(tuple, pairs.collect()), key=str)
+    assert any(r[0] == 2001 and r[2] is None for r in want)
+    for slab, share in ((1 << 15, 250_000), (100, 30), (1, 700)):
+        monkeypatch.setattr(intervals, "SLAB", slab)
+        monkeypatch.setattr(intervals, "SHARE", share)
+        out = intervals.summaries(points, spans, "at", "v", "k", "s", "e")
+        assert sorted(map(tuple, out.collect()), key=str) == want
+        assert plan_of(out).count("Join ") == 1  # of slabs and their shares
+    assert intervals.summaries(points.filter("false"), spans, "at", "v", "k", "s", "e").count() == 0
+    assert intervals.summaries(points, spans.filter("false"), "at", "v", "k", "s", "e").count() == 0
+
+
 def test_files_of_a_small_table_are_read_by_several_tasks(spark):
     """A customer is a file, and all customers lie in one small Parquet file."""
     for language in code_catalog.EXTENSION:
